@@ -8,3 +8,10 @@ Every operator is a function from DataFrame to DataFrame.  Sub-packages:
 * ``plans``      whole workflows: load, cross-validate, train, predict
 * ``streaming``  Structured Streaming forms of the online computations
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

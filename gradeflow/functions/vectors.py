@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array of doubles: one literal, however long."""
+    return F.lit(np.asarray(values, dtype="float64"))
 
 
 def dot(x: Column, w: Column) -> Column:

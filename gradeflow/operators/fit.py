@@ -3,6 +3,8 @@
 The model that scores fold ``f`` is fitted on everything but ``f``.  All its sums are the grand
 total minus the sums of ``f``, so one pass over the data fits every fold, however unequal
 the folds are: a fold holding a third of the rows is still only one row of partial sums per task.
+Fitting is eager, as in Spark ML: the sums, one small row set per fold, are written to the scratch
+folder, and whatever uses the models reads those instead of going over the data again.
 
 A model table has one row per ``(fold, target)``: ``fold, target, n, intercept, weights``.
 The fold ``"all"`` is the model of the whole table.
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 
 from gradeflow.operators.folds import ALL
 from gradeflow.operators.pairs import present
+from gradeflow.session import checkpointed
 
 # A task hands on its partial sums once it holds this many folds.
 FOLDS_IN_MEMORY = 256
@@ -51,6 +54,7 @@ def fit_logo_mean(
     sums = usable.groupBy(F.col(key).alias("fold")).agg(
         F.count("*").alias("n"), *[F.sum(F.col(t).cast("double")).alias(t) for t in targets]
     )
+    sums = checkpointed(df.sparkSession, sums, "fold-sums")
     total = sums.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in targets])
     rest = sums.withColumn(
         "total", total.select(F.struct("n", *targets)).scalar()
@@ -78,76 +82,52 @@ def fit_logo_line(
     feature: str,
     targets: Sequence[str] = ("content", "wording"),
     key: str = "prompt_id",
+    centre: float = 0.0,
     include_all: bool = False,
 ) -> DataFrame:
-    """Least-squares lines on one feature, one per held-out fold.
+    """Least-squares lines on one feature, one per held-out fold, in built-in aggregates.
 
-    Means and centred sums are kept instead of raw sums, so taking a fold out does not
-    cancel digits.  Stays in built-in aggregates.
+    Give a rough ``centre`` for a feature whose mean is large against its spread, so that
+    taking a fold's sums out of the total does not cancel digits.
     """
-    x = F.col(feature).cast("double")
+    x = F.col(feature).cast("double") - F.lit(float(centre))
+    ys = {t: F.col(t).cast("double") for t in targets}
     usable = complete_rows(df, [*targets, feature])
     per_fold = usable.groupBy(F.col(key).alias("fold")).agg(
         F.count("*").alias("n"),
-        F.avg(x).alias("mx"),
-        (F.var_pop(x) * F.count("*")).alias("sxx"),
-        *[F.avg(F.col(t).cast("double")).alias(f"my_{t}") for t in targets],
-        *[(F.covar_pop(x, F.col(t).cast("double")) * F.count("*")).alias(f"sxy_{t}") for t in targets],
-    )
-    means = per_fold.agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("mx"),
-        *[(F.sum(F.col("n") * F.col(f"my_{t}")) / F.sum("n")).alias(f"my_{t}") for t in targets],
+        F.sum(x).alias("sx"),
+        F.sum(x * x).alias("sxx"),
+        *[F.sum(y).alias(f"sy_{t}") for t, y in ys.items()],
+        *[F.sum(x * y).alias(f"sxy_{t}") for t, y in ys.items()],
     )
-    mean_names = ["n", "mx", *[f"my_{t}" for t in targets]]
-    placed = per_fold.withColumn("grand", means.select(F.struct(*mean_names)).scalar())
-    # centre every fold's sums on the grand means; centred there they simply add up
-    dx = F.col("mx") - F.col("grand.mx")
-    about = placed.select(
-        "fold",
-        "n",
-        "grand",
-        (F.col("n") * dx).alias("sx"),
-        (F.col("sxx") + F.col("n") * dx * dx).alias("sxx"),
-        *[
-            (F.col("n") * (F.col(f"my_{t}") - F.col("grand")[f"my_{t}"])).alias(f"sy_{t}")
-            for t in targets
-        ],
-        *[
-            (
-                F.col(f"sxy_{t}") + F.col("n") * dx * (F.col(f"my_{t}") - F.col("grand")[f"my_{t}"])
-            ).alias(f"sxy_{t}")
-            for t in targets
-        ],
+    per_fold = checkpointed(df.sparkSession, per_fold, "fold-sums")
+    names = [c for c in per_fold.columns if c != "fold"]
+    total = per_fold.agg(*[F.sum(c).alias(c) for c in names])
+    held_out = (
+        per_fold.filter(F.col("fold").isNotNull())
+        .withColumn("total", total.select(F.struct(*names)).scalar())
+        .select("fold", *[(F.col("total")[c] - F.col(c)).alias(c) for c in names])
     )
-    names = ["n", "sx", "sxx", *[f"{s}_{t}" for t in targets for s in ("sy", "sxy")]]
-    total = about.agg(*[F.sum(c).alias(c) for c in names])
-    rest = about.withColumn("total", total.select(F.struct(*names)).scalar()).select(
-        "fold", "grand", *[(F.col("total")[c] - F.col(c)).alias(c) for c in names]
-    ).filter(F.col("fold").isNotNull())
     if include_all:
-        whole = about.groupBy().agg(
-            F.lit(ALL).alias("fold"),
-            F.first("grand").alias("grand"),
-            *[F.sum(c).alias(c) for c in names],
-        )
-        rest = rest.unionByName(whole)
+        held_out = held_out.unionByName(total.withColumn("fold", F.lit(ALL)))
 
     def line(t: str):
-        mx, my = F.col("sx") / F.col("n"), F.col(f"sy_{t}") / F.col("n")
+        # NULL where a lone fold leaves no rows to fit on
+        mx, my = F.try_divide("sx", "n"), F.try_divide(f"sy_{t}", "n")
         slope = F.try_divide(
-            F.col(f"sxy_{t}") - F.col("n") * mx * my, F.col("sxx") - F.col("n") * mx * mx
+            F.col(f"sxy_{t}") - F.col("sx") * my, F.col("sxx") - F.col("sx") * mx
         )
         # without spread in the feature the line is flat
         slope = F.coalesce(slope, F.lit(0.0))
-        intercept = (my + F.col("grand")[f"my_{t}"]) - slope * (mx + F.col("grand.mx"))
         return F.struct(
-            F.lit(t).alias("target"), intercept.alias("intercept"), F.array(slope).alias("weights")
+            F.lit(t).alias("target"),
+            (my - slope * (mx + F.lit(float(centre)))).alias("intercept"),
+            F.array(slope).alias("weights"),
         )
 
     return (
-        rest.filter(F.col("n") > 0)
-        .select("fold", "n", F.explode(F.array(*[line(t) for t in targets])).alias("model"))
+        held_out.select("fold", "n", F.explode(F.array(*[line(t) for t in targets])).alias("model"))
+        .filter(F.col("model.intercept").isNotNull())
         .select("fold", "model.target", "n", "model.intercept", "model.weights")
     )
 
@@ -275,7 +255,7 @@ def fit_logo(
 
     ``lam`` is the weight decay: it shrinks the weights, not the intercept.
     """
-    gram = fold_gram(df, features, targets, key)
+    gram = checkpointed(df.sparkSession, fold_gram(df, features, targets, key), "fold-grams")
     total = gram.groupBy("cell").agg(F.sum("value").alias("total"))
     # one row per cell: a size fixed by the number of features, not by the data
     rest = (
@@ -296,7 +276,10 @@ def fit_all(
     lam: float = 1.0,
 ) -> DataFrame:
     """One ridge regressor per target on every row (fold ``"all"``)."""
-    gram = fold_gram(df.withColumn("fold_all", F.lit(ALL)), features, targets, "fold_all")
+    whole = df.withColumn("fold_all", F.lit(ALL))
+    gram = checkpointed(
+        df.sparkSession, fold_gram(whole, features, targets, "fold_all"), "fold-grams"
+    )
     return gram.groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
 
 
@@ -318,6 +301,7 @@ def fit_line_all(
             )
         )
     fitted = complete_rows(df, [*targets, feature]).agg(F.array(*lines).alias("models"))
+    fitted = checkpointed(df.sparkSession, fitted, "line")
     return fitted.select(F.lit(ALL).alias("fold"), F.inline("models"))
 
 

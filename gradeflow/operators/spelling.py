@@ -4,10 +4,11 @@ Words seen at least ``k`` times form the dictionary.  Any other word is correcte
 frequent dictionary word one edit away (insertion, deletion, substitution or swap of two
 neighbours), if there is one.
 
-Two words one edit apart share a *key*: the word with one position blanked (substitution),
-with two neighbours sorted (swap), or with one letter removed (insertion, deletion).  The
-dictionary is reduced to its best word per key before the join, so each word meets at most one
-partner per key and no group of similar words is ever paired with itself.
+A word with a letter removed, or with two neighbours swapped, *is* the dictionary word or is not
+one: a plain lookup.  For the other two edits the words share a *pattern*: both have the same letters
+around one blanked position (substitution), or the dictionary word without one letter is the word
+(insertion).  The dictionary is reduced to its best word per pattern before that join, so each word
+meets at most one partner per pattern and no group of similar words is ever paired with itself.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as text_fn
+from gradeflow.session import spread
 
 
 def word_counts(df: DataFrame, col: str = "text") -> DataFrame:
@@ -32,55 +34,77 @@ def spell_dictionary(df: DataFrame, k: int = 5, col: str = "text") -> DataFrame:
     return word_counts(df, col).filter(F.col("n") >= k)
 
 
-def _keys(words: DataFrame, known: bool, transpositions: bool) -> DataFrame:
-    """One row per word and key.  Positions are exploded first, so a long word streams through
-    as single keys instead of one array of all of them."""
-    word, i = F.col("word"), F.col("i")
-    at = words.withColumn("length", F.length("word")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.col("length")))
+def _at_each_letter(words: DataFrame) -> DataFrame:
+    """One row per word and letter with what stands before and after it.
+
+    Positions are exploded before any string is cut, so a long word streams through row by
+    row instead of as one array of all its variants.
+    """
+    i = F.col("i")
+    return words.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("word")))).withColumns(
+        {
+            "before": F.substring(F.col("word"), F.lit(1), i - 1),
+            "after": F.substring(F.col("word"), i + 1, F.length("word")),
+        }
     )
-    before = F.substring(word, F.lit(1), i - 1)
-    after = F.substring(word, i + 1, F.col("length"))
-
-    def key(kind: str, *parts: Column) -> Column:
-        return F.concat(F.lit(kind), *parts)
-
-    # letters removed on one side equal whole words on the other
-    whole, cut = ("shorter:", "longer:") if known else ("longer:", "shorter:")
-    choices = [
-        F.when(i == 0, key(whole, word)),
-        F.when(i > 0, key(cut, before, after)),
-        F.when(i > 0, key("blank:", i.cast("string"), F.lit(":"), before, after)),
-    ]
+
+
+def _lookups(words: DataFrame, transpositions: bool) -> DataFrame:
+    """Strings that are one deletion or one swap away from each word."""
+    letter = F.substring(F.col("word"), F.col("i"), F.lit(1))
+    follower, rest = F.substring("after", 1, 1), F.substring(F.col("after"), F.lit(2), F.length("word"))
+    variants = [F.concat("before", "after")]
     if transpositions:
-        a, b = F.substring(word, i, F.lit(1)), F.substring(word, i + 1, F.lit(1))
-        rest = F.substring(word, i + 2, F.col("length"))
-        swap = key(
-            "swap:", i.cast("string"), F.lit(":"), before, F.least(a, b), F.greatest(a, b), rest
-        )
-        choices.append(F.when((i > 0) & (i < F.col("length")) & (a != b), swap))
+        swapped = F.concat(F.col("before"), follower, letter, rest)
+        variants.append(F.when((follower != "") & (follower != letter), swapped))
     return (
-        at.withColumn("key", F.explode(F.array(*choices)))
-        .filter(F.col("key").isNotNull())
-        .drop("i", "length")
+        _at_each_letter(words)
+        .select("word", F.explode(F.array(*variants)).alias("variant"))
+        .filter(F.col("variant").isNotNull())
+    )
+
+
+def _patterns(words: DataFrame, known: bool, *columns: str) -> DataFrame:
+    """Patterns of substitution and insertion: ``(word, *columns, at, pattern)``.
+
+    ``at`` is the blanked position, or 0 for the word without a letter (dictionary side) and for the
+    whole word (the other side).
+    """
+    at = F.explode(F.array("i", F.lit(0))) if known else F.col("i")
+    blanked = _at_each_letter(words).select(
+        "word", *columns, at.alias("at"), F.concat("before", "after").alias("pattern")
     )
+    if known:
+        return blanked
+    whole = words.select("word", *columns, F.lit(0).alias("at"), F.col("word").alias("pattern"))
+    return blanked.unionByName(whole)
 
 
 def spell_candidates(counts: DataFrame, k: int = 5, transpositions: bool = True) -> DataFrame:
     """Best correction of each word below the dictionary threshold: ``(word, fix, fix_n)``.
 
-    ``counts`` has the columns ``word`` and ``n``.  Work and shuffle grow with the letters of
-    the *distinct* words only.
+    ``counts`` has the columns ``word`` and ``n`` and should be a stored table, since both
+    sides of the joins are made from it.  Work and shuffle grow with the letters of the
+    *distinct* words only.
     """
-    rank = F.struct((-F.col("n")).alias("minus_n"), F.col("word").alias("fix"))
+    counts = spread(counts, "word")
     known = counts.filter(F.col("n") >= k)
-    best_per_key = (
-        _keys(known, True, transpositions).groupBy("key").agg(F.min(rank).alias("best"))
-    )
     unknown = counts.filter(F.col("n") < k).select("word")
+    rank = F.struct((-F.col("n")).alias("minus_n"), F.col("fix"))
+    looked_up = (
+        _lookups(unknown, transpositions)
+        .join(known.select(F.col("word").alias("variant"), F.col("word").alias("fix"), "n"), "variant")
+        .select("word", rank.alias("best"))
+    )
+    best_per_pattern = (
+        _patterns(known, True, "n")
+        .withColumnRenamed("word", "fix")
+        .groupBy("at", "pattern")
+        .agg(F.min(rank).alias("best"))
+    )
+    matched = _patterns(unknown, False).join(best_per_pattern, ["at", "pattern"]).select("word", "best")
     return (
-        _keys(unknown, False, transpositions)
-        .join(best_per_key, "key")
+        looked_up.unionByName(matched)
         .groupBy("word")
         .agg(F.min("best").alias("best"))
         .select("word", F.col("best.fix").alias("fix"), (-F.col("best.minus_n")).alias("fix_n"))
@@ -100,6 +124,7 @@ def correct_spelling(
     runs = text_fn.matches(F.col(col), text_fn.RUN)
     places = (
         df.select(key, F.posexplode(runs).alias("pos", "run"))
+        .filter(F.col("run").rlike(r"^\p{L}"))
         .withColumn("word", F.lower("run"))
         .join(fixes.select("word", "fix"), "word")
     )

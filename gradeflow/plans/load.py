@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gradeflow.operators.assemble import assemble
 from gradeflow.operators.spelling import correct_spelling, spell_candidates, word_counts
 from gradeflow.operators.summarise import MAX_LENGTH, MIN_LENGTH, reference_summary
-from gradeflow.session import checkpointed
+from gradeflow.session import checkpointed, spread
 from gradeflow.sources.tables import read_prompts, read_responses
 
 
@@ -43,6 +43,6 @@ def load_data(
     prompts = read_prompts(spark, directory, split, fmt)
     if summarise:
         prompts = with_reference_summaries(prompts, min_length, max_length)
-    responses = read_responses(spark, directory, split, fmt)
+    responses = spread(read_responses(spark, directory, split, fmt), "student_id")
     data = assemble(responses, prompts, split)
     return corrected(data, spelling_threshold) if autocorrect_spelling else data

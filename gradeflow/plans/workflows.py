@@ -13,6 +13,7 @@ from gradeflow.operators.assemble import compose_prompt
 from gradeflow.operators.evaluate import evaluate, score_report
 from gradeflow.operators.folds import ALL, fold_split
 from gradeflow.schemas import TARGET_COLUMNS, target_columns
+from gradeflow.session import checkpointed
 from gradeflow.sources import sinks
 
 DEFAULT_PARTS = ("summary", "question")
@@ -40,6 +41,15 @@ def word_features(df: DataFrame, words: DataFrame, size: int, col: str = "text")
     )
 
 
+def feature_table(
+    df: DataFrame, columns: Sequence[str] = ("features",), purpose: str = "features"
+) -> DataFrame:
+    """Keys, targets and features, written once: fitting and scoring both read this narrow
+    table instead of going through the texts again."""
+    narrow = ["student_id", "prompt_id", *[t for t in TARGET_COLUMNS if t in df.columns]]
+    return checkpointed(df.sparkSession, df.select(*narrow, *columns), purpose)
+
+
 def out_of_fold(data: DataFrame, features: str = "features", lam: float = 1.0) -> DataFrame:
     """Every row scored for both targets by the ridge model that did not see its prompt."""
     return score.oof_predict(data, fit.fit_logo(data, features, lam=lam), features)

@@ -50,3 +50,16 @@ def checkpointed(spark: SparkSession, df, purpose: str):
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """One task per core for a table read in fewer tasks than there are cores.
+
+    Files with a single row group, or CSV files with line breaks in cells, are read by one task
+    each, which would also run all the text work of the stage.  Such rows are dealt out by
+    ``keys`` first.  A table read in enough tasks is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

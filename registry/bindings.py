@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeflow.session import spread
+
 TITLE = r"^\S+(?:\s+\S+){0,2}"
 QUESTION = r"^[^.!?\n]+[.!?]*"
 STEP_EVENTS = 32
@@ -43,6 +45,11 @@ def all_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_responses(table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, spread over the cores for work on whole texts."""
+    return spread(all_responses(spark, sf_dir), "student_id")
+
+
 def train_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         "doc_id",

@@ -184,6 +184,7 @@ def with_(body: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# ``+ 1e-10`` below shifts means of two-decimal values off exact rounding ties, as on the Spark side.
 def r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
@@ -329,7 +330,7 @@ ORACLES: dict[str, str] = {
     ),
     "metric_log": with_(
         f"""SELECT 'events' AS run_id, epoch, epoch * 100 AS step, 'value' AS metric,
-            {r("sum(val * n) / sum(n)", "value", 8)} FROM logs GROUP BY epoch""",
+            {r("sum(val * n) / sum(n) + 1e-10", "value", 8)} FROM logs GROUP BY epoch""",
         "logs",
     ),
     "assemble_train": with_("SELECT * FROM train", "train"),
@@ -406,20 +407,20 @@ ORACLES: dict[str, str] = {
         "line_oof",
     ),
     "batch_weighted_mean": with_(
-        f"""SELECT 'events' AS run_id, epoch, {r("sum(val * n) / sum(n)", "avg", 8)},
+        f"""SELECT 'events' AS run_id, epoch, {r("sum(val * n) / sum(n) + 1e-10", "avg", 8)},
             CAST(sum(n) AS BIGINT) AS n FROM logs GROUP BY epoch""",
         "logs",
     ),
     "running_meter": with_(
-        f"SELECT epoch, step, {r('running', 'running', 8)} FROM ({RUNNING})", "logs"
+        f"SELECT epoch, step, {r('running + 1e-10', 'running', 8)} FROM ({RUNNING})", "logs"
     ),
     "running_meter_epoch": with_(
-        f"""SELECT epoch, step, {r("sum(val * n) OVER w / sum(n) OVER w", "running", 8)} FROM logs
+        f"""SELECT epoch, step, {r("sum(val * n) OVER w / sum(n) OVER w + 1e-10", "running", 8)} FROM logs
         WINDOW w AS (PARTITION BY epoch ORDER BY step ROWS UNBOUNDED PRECEDING)""",
         "logs",
     ),
     "interval_log": with_(
-        f"SELECT epoch, step, {r('running', 'running', 8)} FROM ({RUNNING}) WHERE step % 10 = 0", "logs"
+        f"SELECT epoch, step, {r('running + 1e-10', 'running', 8)} FROM ({RUNNING}) WHERE step % 10 = 0", "logs"
     ),
     "assign_batches": with_(
         "SELECT student_id, position, CAST(floor(position / 32) AS BIGINT) AS batch_id FROM batched",
@@ -576,7 +577,7 @@ ORACLES: dict[str, str] = {
     ),
     "stream_meter": f"""
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type AS metric,
-               {r("avg(value)", "avg")}, count(*) AS n
+               {r("avg(value) + 1e-10", "avg", 8)}, count(*) AS n
         FROM events GROUP BY 1, 2""",
     "stream_score": with_(
         f""", model AS (SELECT regr_slope(content, log_chars) AS sc, regr_intercept(content, log_chars) AS ic,

@@ -56,13 +56,18 @@ def query(run: Query) -> Query:
     return run
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+# Means of two-decimal values can lie exactly halfway between two printed values, where the
+# last bit decides.  Shifting them a little, here and in the SQL, takes them off the tie.
+OFF_TIE = 1e-10
+
+
+def tidy(df: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
     """Round doubles and widen integers so that both engines print the same values."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), digits) + F.lit(0.0)
+            column = F.round(column.cast("double") + F.lit(shift), digits) + F.lit(0.0)
         elif isinstance(field.dataType, T.IntegralType):
             column = column.cast("long")
         columns.append(column.alias(field.name))
@@ -91,7 +96,7 @@ def test(spark, sf_dir) -> DataFrame:
 
 def everything(spark, sf_dir) -> DataFrame:
     return assemble.assemble(
-        bindings.all_responses(spark, sf_dir), bindings.prompts(spark, sf_dir), "test"
+        bindings.texts(spark, sf_dir), bindings.prompts(spark, sf_dir), "test"
     )
 
 
@@ -108,8 +113,8 @@ def line_models(spark, sf_dir) -> DataFrame:
 
 
 def line_oof(spark, sf_dir) -> DataFrame:
-    data = train_features(spark, sf_dir)
-    return score.oof_predict(data, line_models(spark, sf_dir), ["log_chars"])
+    data = workflows.feature_table(train_features(spark, sf_dir), ["log_chars"])
+    return score.oof_predict(data, fit.fit_logo_line(data, "log_chars"), ["log_chars"])
 
 
 def mean_oof(spark, sf_dir) -> DataFrame:
@@ -165,8 +170,11 @@ def scan_responses(spark, sf_dir):
 
 @query
 def scan_predictions(spark, sf_dir):
-    path = f"{scratch_dir(spark, 'oof')}/oof"
-    sinks.write_predictions(line_oof(spark, sf_dir).drop("log_chars", "log_tokens", "features"), path)
+    path = scratch_dir(spark, "oof")
+    data = train_features(spark, sf_dir)
+    models = fit.fit_logo_line(data, "log_chars")
+    scored = score.oof_predict(data, models, ["log_chars"])
+    sinks.write_predictions(scored.drop("log_chars", "log_tokens", "features"), path)
     stored = tables.read_predictions(spark, path)
     return tidy(stored.select("student_id", "prompt_id", *TARGETS, *PREDICTED))
 
@@ -186,7 +194,7 @@ def metric_log(spark, sf_dir):
     means = meters.weighted_mean(bindings.logs(spark, sf_dir), ["run_id", "metric", "epoch"])
     last = F.col("epoch") * bindings.EPOCH_STEPS
     sinks.append_metrics(means.withColumn("step", last).withColumn("value", F.col("avg")), path)
-    return tidy(sinks.read_metrics(spark, path, "events"), 8)
+    return tidy(sinks.read_metrics(spark, path, "events"), 8, OFF_TIE)
 
 
 # --- projections, folds and joins -------------------------------------------
@@ -332,25 +340,25 @@ def loss_ranking(spark, sf_dir):
 
 @query
 def batch_weighted_mean(spark, sf_dir):
-    return tidy(meters.weighted_mean(bindings.logs(spark, sf_dir), ["run_id", "epoch"]), 8)
+    return tidy(meters.weighted_mean(bindings.logs(spark, sf_dir), ["run_id", "epoch"]), 8, OFF_TIE)
 
 
 @query
 def running_meter(spark, sf_dir):
     logs = bindings.logs(spark, sf_dir)
-    return tidy(meters.running_meter(logs, LOG_INTERVAL).select("epoch", "step", "running"), 8)
+    return tidy(meters.running_meter(logs, LOG_INTERVAL).select("epoch", "step", "running"), 8, OFF_TIE)
 
 
 @query
 def running_meter_epoch(spark, sf_dir):
     logs = bindings.logs(spark, sf_dir)
-    return tidy(meters.running_meter(logs).select("epoch", "step", "running"), 8)
+    return tidy(meters.running_meter(logs).select("epoch", "step", "running"), 8, OFF_TIE)
 
 
 @query
 def interval_log(spark, sf_dir):
     logs = bindings.logs(spark, sf_dir)
-    return tidy(meters.interval_log(logs, LOG_INTERVAL).select("epoch", "step", "running"), 8)
+    return tidy(meters.interval_log(logs, LOG_INTERVAL).select("epoch", "step", "running"), 8, OFF_TIE)
 
 
 # --- order, batches, samples ------------------------------------------------
@@ -399,8 +407,11 @@ def pad_static(spark, sf_dir):
 
 @query
 def pad_dynamic(spark, sf_dir):
-    batched = batches.assign_batches(encoded(spark, sf_dir), BATCH_SIZE, seed=SEED, epoch=1)
-    padded = batches.pad_dynamic(batched)
+    tokens = corpus_tokens(spark, sf_dir)
+    batched = batches.assign_batches(tokens, BATCH_SIZE, seed=SEED, epoch=1)
+    words = vocabulary(spark, sf_dir)
+    rows = vocab.encode(batched, words, MAX_TOKENS, VOCAB_SIZE, carry=["batch_id"])
+    padded = batches.pad_dynamic(rows)
     return padded.select(
         "student_id",
         F.col("batch_id").cast("long").alias("batch_id"),
@@ -420,11 +431,11 @@ def vocab_features(spark, sf_dir):
 
 @query
 def spell_dictionary(spark, sf_dir):
-    return tidy(spelling.spell_dictionary(bindings.all_responses(spark, sf_dir), SPELL_THRESHOLD))
+    return tidy(spelling.spell_dictionary(bindings.texts(spark, sf_dir), SPELL_THRESHOLD))
 
 
 def fixes(spark, sf_dir) -> DataFrame:
-    counts = spelling.word_counts(bindings.all_responses(spark, sf_dir))
+    counts = spelling.word_counts(bindings.texts(spark, sf_dir))
     counts = checkpointed(spark, counts, "word-counts")
     return spelling.spell_candidates(counts, SPELL_THRESHOLD)
 
@@ -437,14 +448,14 @@ def spell_candidates(spark, sf_dir):
 @query
 def correct_spelling(spark, sf_dir):
     return spelling.correct_spelling(
-        bindings.all_responses(spark, sf_dir), fixes(spark, sf_dir)
+        bindings.texts(spark, sf_dir), fixes(spark, sf_dir)
     ).select("student_id", "text")
 
 
 @query
 def length_gate(spark, sf_dir):
     return tidy(
-        summarise.length_gate(bindings.all_responses(spark, sf_dir), key="student_id", col="text")
+        summarise.length_gate(bindings.texts(spark, sf_dir), key="student_id", col="text")
     )
 
 
@@ -552,8 +563,10 @@ def fold_gram(spark, sf_dir):
 def logo_ridge_words(spark, sf_dir):
     """Out-of-fold report of ridge models on the counts of the most frequent words."""
     tokens = vocab.tokenise(train(spark, sf_dir), "text")
-    words = vocab.build_vocab(tokens, WORD_FEATURES)
-    data = workflows.word_features(train(spark, sf_dir), words, WORD_FEATURES)
+    words = checkpointed(spark, vocab.build_vocab(tokens, WORD_FEATURES), "vocabulary")
+    data = workflows.feature_table(
+        workflows.word_features(train(spark, sf_dir), words, WORD_FEATURES)
+    )
     return tidy(workflows.cross_validate(data, lam=RIDGE))
 
 
@@ -582,7 +595,7 @@ def fold_huber(spark, sf_dir):
 
 @query
 def rank_fit(spark, sf_dir):
-    data = train_features(spark, sf_dir)
+    data = workflows.feature_table(train_features(spark, sf_dir))
     paired = pairs.pair_rows(data, seed=SEED)
     sides = pairs.attach_sides(paired, data, ["features"])
     return two_weights(fit.fit_rank(sides, "content"))
@@ -657,7 +670,8 @@ def stream_meter(spark, sf_dir):
     )
     running.awaitTermination()
     newest = meter.read_meter(spark, f"{folder}/updates")
-    return tidy(newest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+    newest = newest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return tidy(newest, 8, OFF_TIE)
 
 
 @query
