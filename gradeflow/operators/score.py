@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,3 +155,40 @@ def score_batches(
         input_tensor_shapes=input_shapes,
     )
     return df.withColumn(out, score(*[F.col(c) for c in input_cols]))
+
+
+def stacked(paths: Sequence[str], load_model: Callable[[str], Callable]) -> Callable:
+    """A ``make_predict_fn`` that puts the outputs of several model files side by side."""
+
+    def make():
+        models = [load_model(path) for path in paths]
+
+        def predict(*inputs):
+            return np.concatenate([np.asarray(model(*inputs)) for model in models], axis=1)
+
+        return predict
+
+    return make
+
+
+def chosen_per_row(load_model: Callable[[str], Callable]) -> Callable:
+    """A ``make_predict_fn`` whose first input names the model file of each row."""
+
+    def make():
+        loaded = {}
+
+        def predict(paths, *inputs):
+            result = None
+            for path in set(paths):
+                if path not in loaded:
+                    loaded[path] = load_model(path)
+                rows = np.flatnonzero(paths == path)
+                values = np.asarray(loaded[path](*[x[rows] for x in inputs]))
+                if result is None:
+                    result = np.empty((len(paths), values.shape[1]))
+                result[rows] = values
+            return result
+
+        return predict
+
+    return make

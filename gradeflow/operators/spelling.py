@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from gradeflow.functions import text as text_fn
 from gradeflow.session import spread
 
+FREQUENT_WORDS = 50_000
+
 
 def word_counts(df: DataFrame, col: str = "text") -> DataFrame:
     """Lower-case words of the corpus with their number of occurrences."""
@@ -111,23 +113,37 @@ def spell_candidates(counts: DataFrame, k: int = 5, transpositions: bool = True)
     )
 
 
+def frequent_words(counts: DataFrame, k: int = 5) -> DataFrame:
+    """The most frequent dictionary words, at most ``FREQUENT_WORDS`` of them."""
+    known = counts.filter(F.col("n") >= k)
+    return known.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
+
+
 def correct_spelling(
-    df: DataFrame, fixes: DataFrame, key: str = "student_id", col: str = "text"
+    df: DataFrame,
+    fixes: DataFrame,
+    key: str = "student_id",
+    col: str = "text",
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the words listed in ``fixes``; everything between words stays as it is.
 
     A capital first letter is kept.  NULL texts pass through.  ``key`` must be unique.
 
     Only the words to be replaced travel: they are found by a join, gathered per text, and the
-    text is stitched from the untouched stretches between them.
+    text is stitched from the untouched stretches between them.  ``frequent`` words are known to
+    be right and skip the join, which otherwise would carry the hottest keys of all.
     """
     runs = text_fn.matches(F.col(col), text_fn.RUN)
-    places = (
+    found = (
         df.select(key, F.posexplode(runs).alias("pos", "run"))
         .filter(F.col("run").rlike(r"^\p{L}"))
         .withColumn("word", F.lower("run"))
-        .join(fixes.select("word", "fix"), "word")
     )
+    if frequent is not None:
+        # at most FREQUENT_WORDS rows
+        found = found.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    places = found.join(fixes.select("word", "fix"), "word")
     first = F.substring("run", 1, 1)
     capital = first != F.lower(first)
     fix = F.when(

@@ -43,6 +43,11 @@ def build_vocab(df: DataFrame, size: int, col: str = "tokens") -> DataFrame:
     return top.select("token", (rank + F.lit(FIRST_WORD_ID - 1)).alias("id"), "n")
 
 
+def _lookup_side(words: DataFrame, size: int | None) -> DataFrame:
+    """The vocabulary, broadcast when its size is given and within the bound."""
+    return F.broadcast(words) if size is not None and size <= BROADCAST_WORDS else words
+
+
 def _reserved_id(token):
     """Id of a tag, NULL for other tokens."""
     branches = None
@@ -70,9 +75,7 @@ def encode(
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for the two markers")
-    words = vocab.select("token", F.col("id").alias("word_id"))
-    if vocab_size is not None and vocab_size <= BROADCAST_WORDS:
-        words = F.broadcast(words)
+    words = _lookup_side(vocab.select("token", F.col("id").alias("word_id")), vocab_size)
     kept = df.select(
         key, *carry, F.posexplode_outer(F.slice(F.col(col), 1, max_length - 2)).alias("pos", "token")
     )
@@ -98,15 +101,23 @@ def encode(
 
 
 def vocab_features(
-    df: DataFrame, vocab: DataFrame, key: str = "student_id", col: str = "tokens"
+    df: DataFrame,
+    vocab: DataFrame,
+    vocab_size: int | None = None,
+    key: str = "student_id",
+    col: str = "tokens",
 ) -> DataFrame:
-    """Bag of vocabulary words in long form: ``(key, id, n)``."""
+    """Bag of vocabulary words in long form: ``(key, id, n)``.
+
+    With the vocabulary broadcast, words outside it never leave their task and a word that
+    stands in every text is no hot join key.
+    """
+    words = _lookup_side(vocab.select("token", "id"), vocab_size)
     return (
         df.select(key, F.explode(col).alias("token"))
-        .groupBy(key, "token")
+        .join(words, "token")
+        .groupBy(key, "id")
         .agg(F.count("*").alias("n"))
-        .join(vocab.select("token", "id"), "token")
-        .select(key, "id", "n")
     )
 
 

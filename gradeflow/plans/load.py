@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeflow.operators.assemble import assemble
-from gradeflow.operators.spelling import correct_spelling, spell_candidates, word_counts
+from gradeflow.operators.spelling import (
+    correct_spelling,
+    frequent_words,
+    spell_candidates,
+    word_counts,
+)
 from gradeflow.operators.summarise import MAX_LENGTH, MIN_LENGTH, reference_summary
 from gradeflow.session import checkpointed, spread
 from gradeflow.sources.tables import read_prompts, read_responses
@@ -24,7 +29,8 @@ def corrected(df: DataFrame, k: int = 5, transpositions: bool = True) -> DataFra
     The word counts feed both the dictionary and the unknown words, so they are written once.
     """
     counts = checkpointed(df.sparkSession, word_counts(df), "word-counts")
-    return correct_spelling(df, spell_candidates(counts, k, transpositions))
+    fixes = spell_candidates(counts, k, transpositions)
+    return correct_spelling(df, fixes, frequent=frequent_words(counts, k))
 
 
 def load_data(

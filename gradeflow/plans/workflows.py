@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeflow.functions import text as text_fn
 from gradeflow.operators import fit, pairs, score, vocab
 from gradeflow.operators.assemble import compose_prompt
+from gradeflow.operators.ensemble import unpack_predictions
 from gradeflow.operators.evaluate import evaluate, score_report
-from gradeflow.operators.folds import ALL, fold_split
+from gradeflow.operators.folds import ALL, fold_split, folds
 from gradeflow.schemas import TARGET_COLUMNS, target_columns
 from gradeflow.session import checkpointed
 from gradeflow.sources import sinks
@@ -34,7 +36,7 @@ def length_features(df: DataFrame, parts: Sequence[str] = DEFAULT_PARTS) -> Data
 def word_features(df: DataFrame, words: DataFrame, size: int, col: str = "text") -> DataFrame:
     """Add the counts of ``size`` vocabulary words as an array column ``features``."""
     tokenised = vocab.tokenise(df.select("student_id", col), col)
-    bags = vocab.vocab_features(tokenised, words)
+    bags = vocab.vocab_features(tokenised, words, size)
     zeros = F.array_repeat(F.lit(0.0), size)
     return df.join(vocab.dense_features(bags, size), "student_id", "left").withColumn(
         "features", F.coalesce("features", zeros)
@@ -116,7 +118,84 @@ def predict(
     models: DataFrame,
     features: str = "features",
     targets: Sequence[str] = TARGET_COLUMNS,
+    allow_missing: bool = False,
 ) -> DataFrame:
-    """Submission table: mean prediction of all models for each new response."""
+    """Submission table: mean prediction of all models for each new response.
+
+    Models may predict both targets or one each.  A target without a model is an error unless
+    ``allow_missing``, which leaves it NULL.
+    """
+    have = {r.target for r in models.select("target").distinct().limit(len(TARGET_COLUMNS)).collect()}
+    if not allow_missing and not set(targets) <= have:
+        raise ValueError(f"no model predicts {sorted(set(targets) - have)}")
     scored = score.predict_ensemble(data, models, features, targets)
     return scored.select("student_id", *targets)
+
+
+def predict_with_files(
+    data: DataFrame,
+    files: DataFrame,
+    load_model: Callable[[str], Callable],
+    input_cols: Sequence[str],
+    batch_size: int = 32,
+    input_shapes: list[list[int]] | None = None,
+) -> DataFrame:
+    """Submission table from a catalogue of two-target model files of any kind.
+
+    ``load_model(path)`` returns a function from numpy batches to an ``n x 2`` array.  The rows
+    are read and batched once for all files; their mean is taken inside the row.
+    """
+    # one entry per model file
+    paths = sorted(r.path for r in files.select("path").distinct().collect())
+    if not paths:
+        raise FileNotFoundError("no model files")
+    scored = score.score_batches(
+        data,
+        score.stacked(paths, load_model),
+        input_cols,
+        T.ArrayType(T.DoubleType()),
+        batch_size,
+        input_shapes,
+        "stacked",
+    )
+    width = len(TARGET_COLUMNS)
+
+    def mean(i: int):
+        picked = F.transform(
+            F.sequence(F.lit(0), F.lit(len(paths) - 1)),
+            lambda m: F.get(F.col("stacked"), m * width + i),
+        )
+        return F.aggregate(picked, F.lit(0.0), lambda total, v: total + v) / len(paths)
+
+    return scored.select("student_id", *[mean(i).alias(t) for i, t in enumerate(TARGET_COLUMNS)])
+
+
+def out_of_fold_with_files(
+    data: DataFrame,
+    catalog: DataFrame,
+    load_model: Callable[[str], Callable],
+    input_cols: Sequence[str],
+    batch_size: int = 32,
+    input_shapes: list[list[int]] | None = None,
+) -> DataFrame:
+    """Out-of-fold predictions from one model file per fold.
+
+    Each row learns its file by a join on the fold id and stays where it is, so a fold holding a
+    third of all rows is scored by all tasks.  A worker loads the files its rows ask for.
+    """
+    from gradeflow.sources.catalog import resolve_model
+
+    chosen = resolve_model(catalog, folds(data)).select(
+        F.col("fold").alias("prompt_id"), F.col("path").alias("model_path")
+    )
+    scored = score.score_batches(
+        data.join(chosen, "prompt_id"),
+        score.chosen_per_row(load_model),
+        ["model_path", *input_cols],
+        T.ArrayType(T.DoubleType()),
+        batch_size,
+        None if input_shapes is None else [None, *input_shapes],
+        "prediction",
+    )
+    unpacked = unpack_predictions(scored, "prediction")
+    return unpacked.select(*data.columns, *[f"predicted_{t}" for t in TARGET_COLUMNS])

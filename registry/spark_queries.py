@@ -423,7 +423,8 @@ def pad_dynamic(spark, sf_dir):
 
 @query
 def vocab_features(spark, sf_dir):
-    return tidy(vocab.vocab_features(corpus_tokens(spark, sf_dir), vocabulary(spark, sf_dir)))
+    words = vocabulary(spark, sf_dir)
+    return tidy(vocab.vocab_features(corpus_tokens(spark, sf_dir), words, VOCAB_SIZE))
 
 
 # --- spelling and summaries -------------------------------------------------
@@ -434,22 +435,17 @@ def spell_dictionary(spark, sf_dir):
     return tidy(spelling.spell_dictionary(bindings.texts(spark, sf_dir), SPELL_THRESHOLD))
 
 
-def fixes(spark, sf_dir) -> DataFrame:
-    counts = spelling.word_counts(bindings.texts(spark, sf_dir))
-    counts = checkpointed(spark, counts, "word-counts")
-    return spelling.spell_candidates(counts, SPELL_THRESHOLD)
-
-
 @query
 def spell_candidates(spark, sf_dir):
-    return tidy(fixes(spark, sf_dir))
+    counts = spelling.word_counts(bindings.texts(spark, sf_dir))
+    counts = checkpointed(spark, counts, "word-counts")
+    return tidy(spelling.spell_candidates(counts, SPELL_THRESHOLD))
 
 
 @query
 def correct_spelling(spark, sf_dir):
-    return spelling.correct_spelling(
-        bindings.texts(spark, sf_dir), fixes(spark, sf_dir)
-    ).select("student_id", "text")
+    texts = bindings.texts(spark, sf_dir)
+    return load.corrected(texts, SPELL_THRESHOLD).select("student_id", "text")
 
 
 @query

@@ -149,6 +149,46 @@ def test_train_on_everything_is_not_evaluated(skewed):
         workflows.train_fold(skewed, "hot", "hinge")
 
 
+def test_model_files_of_any_kind(spark, skewed, tmp_path):
+    def load_line(path):
+        """A toy model file: two numbers, slope and offset."""
+        from urllib.parse import urlparse
+
+        with open(urlparse(path).path) as file:
+            slope, offset = map(float, file.read().split())
+        return lambda x: np.stack([slope * x[:, 0] + offset, slope * x[:, 1] - offset], axis=1)
+
+    names = sorted(r.fold for r in folds.folds(skewed).collect())
+    for i, fold in enumerate(names):
+        (tmp_path / f"r-m-{fold}.bin").write_text(f"{i + 1} {10 * i}")
+    found = catalog.model_catalog(spark, str(tmp_path))
+    oof = workflows.out_of_fold_with_files(skewed, found, load_line, ["features"], 16, [[3]])
+    assert oof.columns == [*skewed.columns, "predicted_content", "predicted_wording"]
+    assert oof.count() == 900
+    for r in oof.collect():
+        i = names.index(r.prompt_id)
+        assert r.predicted_content == pytest.approx((i + 1) * r.features[0] + 10 * i)
+        assert r.predicted_wording == pytest.approx((i + 1) * r.features[1] - 10 * i)
+    mean = workflows.predict_with_files(skewed, found, load_line, ["features"], 16, [[3]])
+    x = {r.student_id: r.features for r in skewed.collect()}
+    for r in mean.collect():
+        assert r.content == pytest.approx(4.5 * x[r.student_id][0] + 35)
+    with pytest.raises(FileNotFoundError):
+        missing = found.filter("fold <> 'hot'")
+        workflows.out_of_fold_with_files(skewed, missing, load_line, ["features"], 16, [[3]])
+
+
+def test_single_target_models(skewed):
+    models = fit.fit_logo(skewed)
+    both = workflows.predict(skewed, models)
+    assert both.columns == ["student_id", "content", "wording"]
+    only = models.filter("target = 'content'")
+    with pytest.raises(ValueError, match="wording"):
+        workflows.predict(skewed, only)
+    part = workflows.predict(skewed, only, allow_missing=True).first()
+    assert part.wording is None and part.content is not None
+
+
 def test_predictions_round_trip(spark, responses, prompts, tmp_path):
     scored = assemble(responses, prompts).withColumns(
         {"predicted_content": F.lit(0.25), "predicted_wording": F.lit(None).cast("double")}
