@@ -145,10 +145,12 @@ def correct_spelling(
         found = found.join(F.broadcast(frequent.select("word")), "word", "left_anti")
     places = found.join(fixes.select("word", "fix"), "word")
     first = F.substring("run", 1, 1)
-    capital = first != F.lower(first)
+    letter = F.substring("fix", 1, 1)
+    # the capital of one letter is one letter, where there is one
+    raised = F.when(letter == "ß", "ẞ").otherwise(F.upper(letter))
+    capital = (first != F.lower(first)) & (F.length(raised) == 1)
     fix = F.when(
-        capital,
-        F.concat(F.upper(F.substring("fix", 1, 1)), F.substring(F.col("fix"), F.lit(2), F.length("fix"))),
+        capital, F.concat(raised, F.substring(F.col("fix"), F.lit(2), F.length("fix")))
     ).otherwise(F.col("fix"))
     # bounded by the words of one text
     edits = places.groupBy(key).agg(
