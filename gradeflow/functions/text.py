@@ -1,10 +1,10 @@
-"""Text expressions: tagged composition, tokens, words and sentences."""
+"""Text expressions: tagged composition, tokens, words and sentences, and rows of them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.schemas import PART_COLUMNS, TAGS
@@ -23,6 +23,22 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def each(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a computed array, next to the columns ``keep``.
+
+    A plain ``explode`` makes the optimiser filter on the array's size first, which computes an
+    expensive array several times; the outer form with a filter behind it does not.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
+def each_at(df: DataFrame, array: Column, pos: str, name: str, *keep: str) -> DataFrame:
+    """Like :func:`each`, with the 0-based position of the element."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def compose(parts: Sequence[str], null_parts: str = "skip") -> Column:
     """``"<tag> value"`` per requested part, in the caller's order, one space apart.
 

@@ -137,50 +137,67 @@ def _upper_products(z: np.ndarray) -> np.ndarray:
     return gram[np.triu_indices(gram.shape[0])]
 
 
+def _summed(partials: Iterator[tuple[str | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Add up arrays per fold, holding only so many folds at a time."""
+    held: dict[str | None, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        names, values = pa.array(list(held), pa.string()), list(held.values())
+        flat = pa.array(np.concatenate(values), pa.float64())
+        offsets = np.arange(len(values) + 1, dtype="int32") * len(values[0])
+        products = pa.ListArray.from_arrays(pa.array(offsets), flat)
+        held.clear()
+        return pa.RecordBatch.from_arrays([names, products], names=["fold", "products"])
+
+    for fold, products in partials:
+        if fold in held:
+            held[fold] += products
+        else:
+            held[fold] = products.copy()
+        if len(held) > FOLDS_IN_MEMORY:
+            yield flush()
+    if held:
+        yield flush()
+
+
 def _partial_grams(n_targets: int):
-    """Sum the products of ``[1, features, targets]`` per fold over the batches of a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(held), pa.string()),
-                    pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64())),
-                ],
-                names=["fold", "products"],
-            )
-            held.clear()
-            return batch
+    """Products of ``[1, features, targets]`` per fold of the rows of a task."""
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, np.ndarray]]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             columns = batch.columns
-            fold_codes = columns[0].dictionary_encode()
-            codes = fold_codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            names = fold_codes.dictionary.to_pylist()
+            folds = columns[0].dictionary_encode()
+            codes = folds.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            names = folds.dictionary.to_pylist()
             features = columns[1].flatten().to_numpy(zero_copy_only=False)
-            x = features.reshape(batch.num_rows, -1)
-            y = [c.to_numpy(zero_copy_only=False) for c in columns[2 : 2 + n_targets]]
-            z = np.column_stack([np.ones(batch.num_rows), x, *y])
+            targets = [c.to_numpy(zero_copy_only=False) for c in columns[2 : 2 + n_targets]]
+            z = np.column_stack(
+                [np.ones(batch.num_rows), features.reshape(batch.num_rows, -1), *targets]
+            )
             order = np.argsort(codes, kind="stable")
             starts = np.flatnonzero(np.diff(codes[order], prepend=-2))
             for rows in np.split(order, starts[1:]):
                 code = codes[rows[0]]
-                fold = None if code < 0 else names[code]
-                products = _upper_products(z[rows])
-                if fold in held:
-                    held[fold] += products
-                else:
-                    held[fold] = products
-            if len(held) > FOLDS_IN_MEMORY:
-                yield flush()
-        if held:
-            yield flush()
+                yield (None if code < 0 else names[code]), _upper_products(z[rows])
 
-    return run
+    return lambda batches: _summed(products(batches))
+
+
+def _merge_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the partial sums that several tasks found for the same folds."""
+
+    def partials() -> Iterator[tuple[str | None, np.ndarray]]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            yield from zip(
+                batch.column(0).to_pylist(), values.reshape(batch.num_rows, -1), strict=True
+            )
+
+    return _summed(partials())
 
 
 def fold_gram(
@@ -192,19 +209,21 @@ def fold_gram(
     """Sums of products per fold: ``(fold, cell, value)``.
 
     With ``z = [1, features, targets]`` the cells are the upper triangle of the sum of
-    ``z z'``, row by row.  Tasks send one partial triangle per fold; the cells are then summed
-    like any other column, so no task gathers the partials of a fold.
+    ``z z'``, row by row.  Tasks send one partial triangle per fold.  Partials are brought
+    together by fold in partitions of a set size, so those of a hot fold spread over several
+    tasks, and are added up there while they stream through; the last step sums what is left as
+    plain cells.
     """
     usable = complete_rows(df, targets).filter(F.col(features).isNotNull()).select(
         F.col(key).cast("string").alias("fold"),
         F.col(features).cast("array<double>").alias("features"),
         *[F.col(t).cast("double").alias(t) for t in targets],
     )
-    partial = usable.mapInArrow(
-        _partial_grams(len(targets)), "fold string, products array<double>"
-    )
+    layout = "fold string, products array<double>"
+    partial = usable.mapInArrow(_partial_grams(len(targets)), layout)
+    merged = partial.hint("rebalance", "fold").mapInArrow(_merge_partials, layout)
     return (
-        partial.select("fold", F.posexplode("products").alias("cell", "value"))
+        merged.select("fold", F.posexplode("products").alias("cell", "value"))
         .groupBy("fold", "cell")
         .agg(F.sum("value").alias("value"))
     )

@@ -25,7 +25,7 @@ FREQUENT_WORDS = 50_000
 def word_counts(df: DataFrame, col: str = "text") -> DataFrame:
     """Lower-case words of the corpus with their number of occurrences."""
     return (
-        df.select(F.explode(text_fn.words(F.col(col))).alias("word"))
+        text_fn.each(df, text_fn.words(F.col(col)), "word")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -136,7 +136,7 @@ def correct_spelling(
     """
     runs = text_fn.matches(F.col(col), text_fn.RUN)
     found = (
-        df.select(key, F.posexplode(runs).alias("pos", "run"))
+        text_fn.each_at(df, runs, "pos", "run", key)
         .filter(F.col("run").rlike(r"^\p{L}"))
         .withColumn("word", F.lower("run"))
     )

@@ -37,17 +37,13 @@ def rank_sentences(
     All steps need the rows of one text together, so when ``texts`` is partitioned by ``key``
     none of them shuffles.
     """
-    each = texts.select(
-        key,
-        F.posexplode(
-            F.transform(
-                text_fn.sentences(F.col(col)),
-                lambda s: text_fn.matches(F.lower(s), text_fn.PLAIN_TOKEN),
-            )
-        ).alias("pos", "tokens"),
+    tokens_of_each = F.transform(
+        text_fn.sentences(F.col(col)),
+        lambda sentence: text_fn.matches(F.lower(sentence), text_fn.PLAIN_TOKEN),
     )
+    by_sentence = text_fn.each_at(texts, tokens_of_each, "pos", "tokens", key)
     in_sentence = (
-        each.select(key, "pos", F.explode("tokens").alias("token"))
+        text_fn.each(by_sentence, F.col("tokens"), "token", key, "pos")
         .groupBy(key, "pos", "token")
         .agg(F.count("*").alias("n"))
     )

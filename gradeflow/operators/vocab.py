@@ -25,9 +25,7 @@ def tokenise(df: DataFrame, col: str = "input_text", out: str = "tokens") -> Dat
 
 def token_frequencies(df: DataFrame, col: str = "tokens") -> DataFrame:
     """Occurrences of each token; a hot token is summed before the shuffle."""
-    return df.select(F.explode(col).alias("token")).groupBy("token").agg(
-        F.count("*").alias("n")
-    )
+    return text_fn.each(df, F.col(col), "token").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def build_vocab(df: DataFrame, size: int, col: str = "tokens") -> DataFrame:
@@ -114,7 +112,7 @@ def vocab_features(
     """
     words = _lookup_side(vocab.select("token", "id"), vocab_size)
     return (
-        df.select(key, F.explode(col).alias("token"))
+        text_fn.each(df, F.col(col), "token", key)
         .join(words, "token")
         .groupBy(key, "id")
         .agg(F.count("*").alias("n"))

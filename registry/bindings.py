@@ -50,13 +50,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(all_responses(spark, sf_dir), "student_id")
 
 
-def train_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def train_responses(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
+    """Labelled documents, spread over the cores when their whole texts are worked on."""
+    documents = table(spark, sf_dir, "documents")
+    if whole_texts:
+        documents = spread(documents, "doc_id")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id",
         F.col("quality").cast("double").alias("content"),
         F.col("toxic").cast("double").alias("wording"),
     )
-    return table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return documents.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("student_id"),
         F.col("source").alias("prompt_id"),
         "text",

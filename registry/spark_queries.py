@@ -82,10 +82,9 @@ def ids(column: str):
 # --- shared inputs ----------------------------------------------------------
 
 
-def train(spark, sf_dir) -> DataFrame:
-    return assemble.assemble(
-        bindings.train_responses(spark, sf_dir), bindings.prompts(spark, sf_dir), "train"
-    )
+def train(spark, sf_dir, whole_texts: bool = False) -> DataFrame:
+    responses = bindings.train_responses(spark, sf_dir, whole_texts)
+    return assemble.assemble(responses, bindings.prompts(spark, sf_dir), "train")
 
 
 def test(spark, sf_dir) -> DataFrame:
@@ -542,7 +541,8 @@ def two_weights(models: DataFrame) -> DataFrame:
 
 @query
 def logo_ridge(spark, sf_dir):
-    return two_weights(fit.fit_logo(train_features(spark, sf_dir), lam=RIDGE))
+    data = workflows.length_features(train(spark, sf_dir, whole_texts=True), PARTS)
+    return two_weights(fit.fit_logo(data, lam=RIDGE))
 
 
 @query
@@ -558,11 +558,11 @@ def fold_gram(spark, sf_dir):
 @query
 def logo_ridge_words(spark, sf_dir):
     """Out-of-fold report of ridge models on the counts of the most frequent words."""
-    tokens = vocab.tokenise(train(spark, sf_dir), "text")
+    data = train(spark, sf_dir, whole_texts=True)
+    tokens = vocab.tokenise(data, "text")
     words = checkpointed(spark, vocab.build_vocab(tokens, WORD_FEATURES), "vocabulary")
-    data = workflows.feature_table(
-        workflows.word_features(train(spark, sf_dir), words, WORD_FEATURES)
-    )
+    features = workflows.word_features(data, words, WORD_FEATURES)
+    data = workflows.feature_table(features)
     return tidy(workflows.cross_validate(data, lam=RIDGE))
 
 
