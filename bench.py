@@ -71,7 +71,7 @@ def main() -> None:
         "gradeflow-bench",
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=str(cpus),
-        spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"),
+        spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds, throughput = {}, {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as text_fn
@@ -14,7 +14,8 @@ from gradeflow.schemas import TAGS
 RESERVED = {"pad": 0, "unk": 1, "cls": 2, "sep": 3}
 FIRST_TAG_ID = 4
 FIRST_WORD_ID = 9
-# Encoding broadcasts the vocabulary; above this many words it leaves the choice to Spark.
+# Vocabularies up to these sizes are sent to every task, as one value or as a broadcast table.
+TABLE_WORDS = 100_000
 BROADCAST_WORDS = 500_000
 
 
@@ -46,13 +47,63 @@ def _lookup_side(words: DataFrame, size: int | None) -> DataFrame:
     return F.broadcast(words) if size is not None and size <= BROADCAST_WORDS else words
 
 
-def _reserved_id(token):
-    """Id of a tag, NULL for other tokens."""
-    branches = None
-    for offset, tag in enumerate(TAGS.values()):
-        hit, value = token == tag, F.lit(FIRST_TAG_ID + offset)
-        branches = F.when(hit, value) if branches is None else branches.when(hit, value)
-    return branches
+def _with_tags(vocab: DataFrame) -> DataFrame:
+    """Vocabulary and tags as ``(token, id)``."""
+    tags = [(tag, FIRST_TAG_ID + i) for i, tag in enumerate(TAGS.values())]
+    rows = vocab.sparkSession.createDataFrame(tags, "token string, id int")
+    return vocab.select("token", F.col("id").cast("int").alias("id")).unionByName(rows)
+
+
+def _slot(token: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
+
+def _word_table(words: DataFrame, slots: int) -> Column:
+    """All words in one value: an array of small maps, addressed by the hash of the word."""
+    filled = words.groupBy(_slot(F.col("token"), slots).alias("slot")).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("words")
+    )
+    none = F.create_map().cast("map<string,int>")
+    every = words.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    table = every.join(filled, "slot", "left").select(
+        "slot", F.coalesce("words", none).alias("words")
+    )
+    by_slot = F.array_sort(
+        F.collect_list(F.struct("slot", "words")), lambda a, b: a["slot"] - b["slot"]
+    )
+    return table.agg(by_slot["words"].alias("word_table")).scalar()
+
+
+def _ids_by_table(df: DataFrame, vocab: DataFrame, size: int, kept: Column) -> DataFrame:
+    """Look tokens up inside their row: no explode, no shuffle."""
+    slots = max(size, len(TAGS))
+    table = _word_table(_with_tags(vocab), slots)
+
+    def token_id(token: Column) -> Column:
+        words = F.get(F.col("word_table"), _slot(token, slots))
+        return F.coalesce(F.try_element_at(words, token), F.lit(RESERVED["unk"]))
+
+    return df.withColumn("word_table", table).withColumn("body", F.transform(kept, token_id))
+
+
+def _ids_by_join(
+    df: DataFrame, vocab: DataFrame, key: str, carry: Sequence[str], kept: Column
+) -> DataFrame:
+    """Look tokens up by a join and gather them again, for vocabularies of any size."""
+    words = _with_tags(vocab).withColumnRenamed("id", "word_id")
+    tokens = df.select(key, *carry, F.posexplode_outer(kept).alias("pos", "token"))
+    token_id = F.coalesce(F.col("word_id"), F.lit(RESERVED["unk"]))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("id")))
+    # at most max_length items per row
+    gathered = (
+        tokens.join(words, "token", "left")
+        .groupBy(key)
+        .agg(
+            *[F.first(c).alias(c) for c in carry],
+            F.array_sort(F.collect_list(item)).alias("items"),
+        )
+    )
+    return gathered.withColumn("body", F.col("items.id"))
 
 
 def encode(
@@ -66,34 +117,22 @@ def encode(
 ) -> DataFrame:
     """Token ids with start and end markers, cut at the tail to ``max_length`` in all.
 
-    Gives ``key``, the ``carry`` columns, ``input_ids`` and ``attention_mask`` (ones); texts
-    stay behind.  ``key`` must be unique.  Only the kept tokens are looked up, and each task
-    gathers them again before the shuffle.  The vocabulary is broadcast when ``vocab_size``
-    proves it small.
+    Gives ``key``, the ``carry`` columns, ``input_ids`` and ``attention_mask`` (ones).
+
+    When ``vocab_size`` proves the vocabulary small, it travels to the rows as one value and every
+    row is encoded where it stands.  Otherwise tokens are joined with the vocabulary; ``key`` must
+    then be unique.
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for the two markers")
-    words = _lookup_side(vocab.select("token", F.col("id").alias("word_id")), vocab_size)
-    kept = df.select(
-        key, *carry, F.posexplode_outer(F.slice(F.col(col), 1, max_length - 2)).alias("pos", "token")
-    )
-    token_id = F.coalesce(
-        _reserved_id(F.col("token")), F.col("word_id"), F.lit(RESERVED["unk"])
-    )
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("id")))
-    # at most max_length items per row
-    bodies = (
-        kept.join(words, "token", "left")
-        .groupBy(key)
-        .agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.array_sort(F.collect_list(item)).alias("items"),
-        )
-    )
-    ids = F.concat(
-        F.array(F.lit(RESERVED["cls"])), F.col("items.id"), F.array(F.lit(RESERVED["sep"]))
-    )
-    return bodies.select(key, *carry, ids.alias("input_ids")).withColumn(
+    kept = F.slice(F.col(col), 1, max_length - 2)
+    if vocab_size is not None and vocab_size <= TABLE_WORDS:
+        looked_up = _ids_by_table(df, vocab, vocab_size, kept)
+    else:
+        looked_up = _ids_by_join(df, vocab, key, carry, kept)
+    body = F.coalesce(F.col("body"), F.array().cast("array<int>"))
+    ids = F.concat(F.array(F.lit(RESERVED["cls"])), body, F.array(F.lit(RESERVED["sep"])))
+    return looked_up.select(key, *carry, ids.alias("input_ids")).withColumn(
         "attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))
     )
 

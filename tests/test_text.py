@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators import batches, spelling, summarise, vocab
 from gradeflow.plans import load
+from gradeflow.session import checkpointed
 
 
 def texts(spark, *values):
@@ -32,10 +33,11 @@ def test_vocabulary_order_and_reserved_ids(spark):
     assert [tuple(r) for r in words.orderBy("id").collect()] == [("a", 9, 2), ("b", 10, 2), ("c", 11, 2)]
 
 
-def test_encode(spark):
+@pytest.mark.parametrize("size", [10, 1, None])
+def test_encode(spark, size):
     data = tokens(spark, "<summary> b zzz a a", "", "a b a b a b a b", None)
     words = vocab.build_vocab(tokens(spark, "a a b"), 10)
-    rows = {r.student_id: r for r in vocab.encode(data, words, 6, 10, carry=["text"]).collect()}
+    rows = {r.student_id: r for r in vocab.encode(data, words, 6, size, carry=["text"]).collect()}
     assert rows["s0"].input_ids == [2, 7, 10, 1, 9, 3]
     assert rows["s0"].attention_mask == [1] * 6
     assert rows["s1"].input_ids == [2, 3] and rows["s1"].text == ""
@@ -46,6 +48,15 @@ def test_encode(spark):
         vocab.encode(data, words, 1)
 
 
+def test_encoding_with_a_small_vocabulary_moves_no_rows(spark):
+    data = tokens(spark, "a b", "c")
+    words = checkpointed(spark, vocab.build_vocab(data, 3), "vocabulary")
+    plan = vocab.encode(data, words, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    # the lookup table is a subquery; outside it the plan is a plain projection
+    main = [line for line in plan.splitlines() if not line.lstrip().startswith((":", "+- Subquery"))]
+    assert not [line for line in main if "Exchange" in line or "Generate" in line]
+
+
 def test_padding(spark):
     rows = [(f"s{i}", i // 2, list(range(1, i + 2)), [1] * (i + 1)) for i in range(5)]
     df = spark.createDataFrame(
