@@ -53,13 +53,13 @@ def checkpointed(spark: SparkSession, df, purpose: str):
 
 
 def spread(df, *keys: str):
-    """One task per core for a table read in fewer tasks than there are cores.
+    """Rows dealt out by ``keys`` when a table is read in fewer than two tasks per core.
 
     Files with a single row group, or CSV files with line breaks in cells, are read by one task
-    each, which would also run all the text work of the stage.  Such rows are dealt out by
-    ``keys`` first.  A table read in enough tasks is left alone.
+    each (the other tasks of their splits stay empty), which would also run all the text work of
+    the stage.  A table read in enough tasks is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(2 * cores, *keys)

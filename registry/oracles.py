@@ -355,7 +355,7 @@ ORACLES: dict[str, str] = {
            FROM folds CROSS JOIN train GROUP BY 1, 2""",
         "folds",
     ),
-    "fold_ids": with_("SELECT fold FROM folds", "folds"),
+    "folds": with_("SELECT fold FROM folds", "folds"),
     "union_folds": with_(
         f"""SELECT student_id, prompt_id, {r("predicted_content", "predicted_content")},
             {r("predicted_wording", "predicted_wording")} FROM line_oof""",

@@ -93,10 +93,9 @@ def test(spark, sf_dir) -> DataFrame:
     )
 
 
-def everything(spark, sf_dir) -> DataFrame:
-    return assemble.assemble(
-        bindings.texts(spark, sf_dir), bindings.prompts(spark, sf_dir), "test"
-    )
+def everything(spark, sf_dir, whole_texts: bool = False) -> DataFrame:
+    responses = bindings.texts if whole_texts else bindings.all_responses
+    return assemble.assemble(responses(spark, sf_dir), bindings.prompts(spark, sf_dir), "test")
 
 
 def train_features(spark, sf_dir) -> DataFrame:
@@ -123,7 +122,7 @@ def mean_oof(spark, sf_dir) -> DataFrame:
 
 
 def corpus_tokens(spark, sf_dir) -> DataFrame:
-    composed = assemble.compose_prompt(everything(spark, sf_dir), PARTS)
+    composed = assemble.compose_prompt(everything(spark, sf_dir, whole_texts=True), PARTS)
     return vocab.tokenise(composed).select("student_id", "tokens")
 
 
@@ -248,9 +247,7 @@ def fold_frames(spark, sf_dir):
     return tidy(folds.fold_frames(train(spark, sf_dir)))
 
 
-@query
-def fold_ids(spark, sf_dir):
-    return folds.folds(train(spark, sf_dir))
+QUERIES["folds"] = lambda spark, sf_dir: folds.folds(train(spark, sf_dir))
 
 
 @query
@@ -406,11 +403,8 @@ def pad_static(spark, sf_dir):
 
 @query
 def pad_dynamic(spark, sf_dir):
-    tokens = corpus_tokens(spark, sf_dir)
-    batched = batches.assign_batches(tokens, BATCH_SIZE, seed=SEED, epoch=1)
-    words = vocabulary(spark, sf_dir)
-    rows = vocab.encode(batched, words, MAX_TOKENS, VOCAB_SIZE, carry=["batch_id"])
-    padded = batches.pad_dynamic(rows)
+    batched = batches.assign_batches(encoded(spark, sf_dir), BATCH_SIZE, seed=SEED, epoch=1)
+    padded = batches.pad_dynamic(batched)
     return padded.select(
         "student_id",
         F.col("batch_id").cast("long").alias("batch_id"),

@@ -273,7 +273,7 @@ def test_scratch_folder_is_the_shared_one(spark):
 
 def test_spread_leaves_enough_tasks_alone(spark):
     assert spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
-    assert spread(spark.range(10, numPartitions=1), "id").rdd.getNumPartitions() == 4
+    assert spread(spark.range(10, numPartitions=4), "id").rdd.getNumPartitions() == 8
 
 
 # --- streams ----------------------------------------------------------------
