@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,17 +30,17 @@ def get_session(app: str = "gradeflow", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
+    """A fresh path below the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder.  Only a local session may go
-    without it; executors on other machines could not see a folder made here.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, the folder lies in the warehouse, which
+    is shared too.  The path is deleted when the driver's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="gradeflow-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gradeflow-scratch"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def checkpointed(spark: SparkSession, df, purpose: str):
