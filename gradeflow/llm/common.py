@@ -44,13 +44,6 @@ def broadcast_if_small(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow
 
 
-def small_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Arrow batches of at most ``records`` rows from here on: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= records:
-        spark.conf.set(key, str(records))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node reachable.
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import connected_components, small_batches
+from gradeflow.llm.common import connected_components
 from gradeflow.session import checkpointed
 
 ROWS, BANDS, BITS = 8, 40, 2
@@ -117,7 +117,6 @@ def _fingerprint_udf(n: int):
 
 def fingerprints(documents: DataFrame, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored (row, id, textkey, n, digest, bands, bits), one row per document; ``row`` is unique."""
-    small_batches(documents.sparkSession)
     prints = documents.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).alias("id"),

@@ -6,10 +6,10 @@ of its contract from the operator's output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import decontaminate, licenses, lines, minhash
+from gradeflow.llm import decontaminate, langid, licenses, lines, minhash, packing, pii, toxicity, urls, warc
 from gradeflow.llm.sql import ORACLES
 
 QUERIES = {}
@@ -43,6 +43,71 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def remainder(parts: int) -> Column:
+    """crc32 of doc_id as text, modulo ``parts``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), learn=remainder(4) != 2)
+    found = toxicity.score(documents, model, threshold=0.3)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, learn=remainder(3) != 1)
+    found = langid.identify(documents, model).select("doc.doc_id", "found.*")
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end=1, capacity=2048)
+
+
 @query
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality(table(spark, sf_dir, "documents"))

@@ -139,9 +139,29 @@ WITH doc AS (
 SELECT *, NOT base_failed AND NOT 100 * n_lost_words > 70 * n_words AS kept FROM judged
 """
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUAD = " || ".join(
+    f"substr('{_BASE32}', ((('0x' || substr(hex, {5 * j + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+    for j in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+ARC_TO_WARC = f"""
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), winner AS (
+  SELECT hex, max(page_id) AS page_id FROM page GROUP BY hex
+)
+SELECT p.page_id, payload_bytes::BIGINT AS payload_bytes, {_QUAD} AS payload_digest,
+  CASE WHEN p.page_id = w.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> w.page_id THEN w.page_id END AS refers_to
+FROM page p JOIN winner w USING (hex)
+"""
+
 ORACLES = {
     "op1_license_scan": LICENSE_SCAN,
     "op2_decontamination": DECONTAMINATION,
     "op3_minhash_dedup": NEAR_DUPLICATES,
+    "op6_arc_to_warc": ARC_TO_WARC,
     "op10_line_quality": LINE_QUALITY,
 }

@@ -1,0 +1,263 @@
+"""Decontamination, near-duplicates, line quality and licences against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from corpus import LOWER, TOKEN, WORD, as_set, messy, messy_texts, prose
+
+from gradeflow.llm import decontaminate, licenses, lines, minhash
+from gradeflow.llm.common import connected_components
+
+
+def brute_contamination(docs, items, n=10):
+    grams = defaultdict(set)
+    for item, text in items:
+        words = TOKEN.findall((text or "").translate(LOWER))
+        size = min(n, len(words))
+        for i in range(len(words) - size + 1 if words else 0):
+            grams[tuple(words[i : i + size])].add("" if item is None else str(item))
+    out = []
+    for doc, text, *_ in docs:
+        words = TOKEN.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for size in {len(g) for g in grams}:
+            for i in range(len(words) - size + 1):
+                if items_here := grams.get(tuple(words[i : i + size])):
+                    hit.update(range(i, i + size))
+                    found |= items_here
+        out.append((doc, len(words), len(hit), len(found), ",".join(sorted(found)), bool(hit)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def items():
+    rng = random.Random(9)
+    base = messy_texts()[0][1].split()
+    return [
+        (1, " ".join(base[10:30]).title()),
+        (2, "leading, words: " + " ".join(base[95:107])),
+        (10, " ".join(base[12:24])),
+        (3, "two WORDS"),
+        (4, "der"),
+        (5, None),
+        (6, " ... "),
+        (None, "der der der"),
+        (7, prose(rng, 30)),
+    ]
+
+
+def test_contamination_matches_brute_force(spark, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(messy(spark), benchmark).collect()
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in found]
+    assert as_set(rows) == as_set(brute_contamination(messy_texts(), items))
+
+
+@pytest.mark.parametrize("length", range(1, 14))
+def test_windows_of_every_length_at_every_place(spark, length):
+    rng = random.Random(length)
+    item = prose(rng, length, 10_000)
+    docs = [(i, f"{prose(rng, i, 10_000)} {item} {prose(rng, 3, 10_000)}", None, None) for i in range(15)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.contamination(messy(spark, docs), benchmark).collect()
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in found]
+    assert as_set(rows) == as_set(brute_contamination(docs, [(1, item)]))
+
+
+def test_contamination_of_empty_tables(spark, items):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    found = decontaminate.contamination(messy(spark), nothing)
+    assert found.count() == len(messy_texts()) and not found.filter("contaminated or n_hit > 0").count()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.contamination(messy(spark, []), benchmark).count() == 0
+
+
+def test_shuffled_join_gives_the_same_rows(spark, items, monkeypatch):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    before = decontaminate.contamination(messy(spark), benchmark).collect()
+    monkeypatch.setattr(decontaminate, "broadcast_if_small", lambda df: df.hint("shuffle_hash"))
+    assert as_set(decontaminate.contamination(messy(spark), benchmark).collect()) == as_set(before)
+
+
+def test_decontaminate_removes_documents_or_spans(spark, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = messy(spark)
+    bad = [r[0] for r in brute_contamination(messy_texts(), items) if r[5]]
+    left = decontaminate.decontaminate(docs, benchmark)
+    assert left.columns == docs.columns
+    assert as_set(r.doc_id for r in left.collect()) == as_set(d for d, *_ in messy_texts() if d not in bad)
+    spans = decontaminate.decontaminate(docs, benchmark, remove="span")
+    assert spans.count() == docs.count() and spans.columns == docs.columns
+    texts = {r.doc_id: r.text for r in spans.collect()}
+    assert texts[11] == "" and texts[5] == "" and texts[4] is None and texts[8] == messy_texts()[10][1]
+    base = messy_texts()[0][1].split()
+    assert texts[1].split() == base[:10] + base[30:95] + base[107:]
+
+
+def shingles(text, n=3):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_components(docs, percent=85):
+    sets = [shingles(d[1]) for d in docs]
+    part = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    smallest = {}
+    for p, d in zip(part, docs, strict=True):
+        if d[0] is not None:
+            smallest[p] = min(smallest.get(p, d[0]), d[0])
+    return [(d[0], len(s), smallest.get(p)) for d, s, p in zip(docs, sets, part, strict=True)]
+
+
+def near_copies(seed: int, count: int, edits: int, words: int = 120):
+    rng = random.Random(seed)
+    base = prose(rng, words, 3000).split()
+    for _ in range(count):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        yield " ".join(copy)
+
+
+def found_components(spark, docs):
+    found = minhash.near_duplicates(messy(spark, docs)).collect()
+    return [(r.doc_id, r.n_shingles, r.component_id) for r in found], found
+
+
+def test_components_match_brute_force(spark):
+    docs = messy_texts()
+    for group, (count, edits) in enumerate([(2, 1), (5, 3), (30, 2), (40, 4)]):
+        docs += [(1000 * (group + 1) + i, t, "en", "a") for i, t in enumerate(near_copies(group, count, edits))]
+    random.Random(1).shuffle(docs)
+    rows, found = found_components(spark, docs)
+    assert as_set(rows) == as_set(brute_components(docs))
+    kept = Counter(r.component_id for r in found if r.kept and r.n_shingles)
+    assert set(kept.values()) == {1}
+
+
+def test_families_of_several_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    docs = [(i, t, "en", "a") for i, t in enumerate(t for g in range(3) for t in near_copies(50 + g, 25, 3 + g))]
+    rows, _ = found_components(spark, docs)
+    assert as_set(rows) == as_set(brute_components(docs))
+
+
+def test_dropping_near_duplicates_keeps_one_row_each(spark):
+    docs = messy(spark)
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    ids = Counter(r.doc_id for r in left.collect())
+    assert ids[1] == 1 and not {2, 3, 9} & set(ids) and ids[4] == ids[5] == 1 and ids[None] == 2
+    assert minhash.drop_near_duplicates(messy(spark, [])).count() == 0
+    assert minhash.near_duplicates(messy(spark, [(1, None, None, None), (2, None, None, None)])).filter("kept").count() == 2
+
+
+def test_estimate_is_corrected_for_chance():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    factors, shifts = minhash.permutations()
+    shared, one, two = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (800, 100, 100))
+    a, b = (minhash.pack_bits(minhash.minima(np.concatenate([shared, x]), factors, shifts)).view(np.uint64) for x in (one, two))
+    words = minhash.K // 64
+    unequal = np.bitwise_count((a[:words] ^ b[:words]) | (a[words:] ^ b[words:])).sum()
+    estimate = ((minhash.K - unequal) / minhash.K - 0.25) / 0.75
+    assert abs(estimate - 0.8) < 0.08
+
+
+def test_connected_components_of_a_path_a_star_and_loops(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 300), (41, 40)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    roots = {r.node: r.root for r in connected_components(frame).collect()}
+    assert roots == {**dict.fromkeys(range(42), 0), **dict.fromkeys(range(100, 150), 100)}
+    assert connected_components(frame.limit(0)).count() == 0
+
+
+def normal(line):
+    import re
+
+    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", re.sub("[0-9]+", "0", line.translate(LOWER))).strip(" ")
+
+
+def brute_quality(docs, limit):
+    seen = defaultdict(set)
+    for _, text, _, host in docs:
+        for line in (text or "").split("\n"):
+            if WORD.search(line) and normal(line):
+                seen[host, normal(line)].add(text)
+    out = []
+    for doc, text, _, host in docs:
+        text = text or ""
+        words, full = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        often = Counter(grams)
+        repeat = {p for i, g in enumerate(grams) if often[g] > 1 for p in (i, i + 1, i + 2)}
+        lost = [x for x in full if len(seen[host, normal(x)]) > limit]
+        n, n_lost = len(words), sum(len(WORD.findall(x)) for x in lost)
+        failed = n < 50 or 100 * len(repeat) > 50 * n
+        out.append(
+            (doc, n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(full) - len(set(full)), len(repeat), failed,
+             len(lost), n_lost, not failed and not 100 * n_lost > 70 * n)
+        )
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 5, 30])
+def test_quality_matches_brute_force(spark, limit):
+    found = lines.quality(messy(spark), max_documents=limit).collect()
+    rows = [
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+         r.n_frequent_lines, r.n_lost_words, r.kept) for r in found
+    ]
+    assert as_set(rows) == as_set(brute_quality(messy_texts(), limit))
+
+
+def test_frequent_lines_are_cut(spark):
+    docs = messy(spark)
+    cut = {r.doc_id: r.text for r in lines.remove_frequent_lines(docs, max_documents=5).collect()}
+    before = {d: t for d, t, *_ in messy_texts()}
+    assert all(cut[100 + i] == before[100 + i].split("\n")[1] for i in range(12))
+    assert cut[4] is None and cut[1] == before[1] and cut[10] == before[10]
+    assert lines.quality(messy(spark, [])).count() == 0
+
+
+SPELLED = [
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "this software is licenced under the terms of the MIT licence"),
+    ("Apache-2.0", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"),
+    ("Apache-2.0", "Distributed under Apache License v2.0"),
+    ("GPL-3.0", "This program is distributed under the terms of the GNU General Public License, version 3."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License v3"),
+    ("CC-BY-NC-4.0", "This work is licensed under Creative Commons Attribution-NonCommercial 4.0"),
+    (None, "Licensed under the MIT License, with changes"),
+    (None, "Nothing here"),
+]
+
+
+def test_license_spellings_and_whole_texts(spark):
+    mit = dict(licenses.TEXTS)["MIT"]
+    docs = [(i, text, None, None) for i, (_, text) in enumerate(SPELLED)]
+    docs += [
+        (50, "Copyright (c) 1999 A. Person\n\n" + mit.upper().replace(" ", "\n"), None, None),
+        (51, mit + " And more.", None, None),
+        (52, "Words first.\nReleased under the MIT License.\nwords\nlicensed under CC BY-NC 4.0", None, None),
+        *messy_texts(),
+    ]
+    known = licenses.known_licenses(spark)
+    for cue in (None, licenses.CUE):
+        found = {r.doc_id: r for r in licenses.scan_licenses(messy(spark, docs), known, cue).collect() if r.doc_id is not None}
+        for i, (name, _) in enumerate(SPELLED):
+            assert found[i].license == name and found[i].n_notices == (name is not None)
+        assert found[50].license == "MIT" and found[51].license is None
+        assert found[52].notices == "CC-BY-NC-4.0,MIT" and found[52].license is None
+        assert found[4].license is None and found[4].digest == hashlib.md5(b"").hexdigest()
+    assert licenses.scan_licenses(messy(spark, []), known).count() == 0
+    assert licenses.scan_licenses(messy(spark), known.limit(0)).filter("license is not null").count() == 0
