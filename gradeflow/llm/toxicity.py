@@ -8,8 +8,9 @@ risk
 
 estimates the risk on fully labelled data without bias while its second part is not negative.  On a
 batch where that part falls below zero, the step goes the other way (the non-negative estimator),
-which keeps the model from fitting the unlabelled positives away.  l is the logistic loss, so the
-logistic curve of f is the score.
+which keeps the model from fitting the unlabelled positives away.  l is the logistic loss.  A fifth
+of the sample is set apart; the slope and shift of the logistic curve that turns values into scores
+are those of least risk, as above, on it.
 
 Features: each distinct word of a text, in lower case, and its beginnings of four to six letters.
 A word's weight is the sum over its features; a text's value is the sum over its distinct words
@@ -46,6 +47,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 400_000
 
 
+Sample = list[tuple[np.ndarray, int]]
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # float32, by bucket
@@ -67,13 +71,37 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(positives: list[tuple[np.ndarray, int]], unlabelled: list[tuple[np.ndarray, int]], prior: float) -> ToxicityModel | None:
-    """Both lists hold (features of all words, number of words) of texts that have words."""
+def values(sample: Sample, model: ToxicityModel) -> np.ndarray:
+    return np.array([model.weights[ids].sum(dtype=np.float64) / words**0.5 + model.bias for ids, words in sample])
+
+
+def calibrated(model: ToxicityModel, positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel:
+    """The model with slope and shift of least non-negative risk on rows it was not trained on."""
+    fp, fu = values(positives, model), values(unlabelled, model)
+    best = (np.inf, 1.0, 0.0)
+    for slope in np.geomspace(0.25, 8, 21):
+        for shift in np.linspace(-6, 6, 97):
+            p, u = slope * fp + shift, slope * fu + shift
+            second = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+            risk = prior * np.logaddexp(0, -p).mean() + max(0.0, second) + 1e-4 * slope**2
+            best = min(best, (risk, slope, shift))
+    return ToxicityModel((best[1] * model.weights).astype(np.float32), float(best[1] * model.bias + best[2]))
+
+
+def train(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel | None:
+    """Both samples hold (features of all words, number of words) of texts that have words."""
     if not positives:
         return None
+    apart = {ids.tobytes() for ids, _ in positives[::5]}
+    fit_p = [p for p in positives if p[0].tobytes() not in apart] or positives
+    fit_u = [u for i, u in enumerate(unlabelled) if i % 5 and u[0].tobytes() not in apart]
+    return calibrated(_trained(fit_p, fit_u, prior), positives[::5], unlabelled[::5] or positives[::5], prior)
+
+
+def _trained(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel:
     unlabelled = unlabelled or positives
     rng = np.random.default_rng(11)
-    weights, squares, bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), float(np.log(prior / (1 - prior)))
+    weights, squares, bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2), float(np.log(prior / (1 - prior)))
     mean_weights, mean_bias, averaged = np.zeros(BUCKETS), 0.0, 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(unlabelled))
@@ -122,7 +150,7 @@ def _features_udf():
     return features
 
 
-def _collected(rows: DataFrame, order: Column, limit: int, text: str) -> list[tuple[np.ndarray, int]]:
+def _collected(rows: DataFrame, order: Column, limit: int, text: str) -> Sample:
     found = (
         rows.select(order.alias("order"), _features_udf()(F.col(text).cast("string")).alias("f"))
         .select("order", "f.*")
