@@ -57,7 +57,13 @@ def score_report(df: DataFrame, key: str = "prompt_id", nan_policy: str = "skip"
     The data are reduced once to one row of statistics per fold; the roll-up that derives
     the other two levels sees only those rows.
     """
-    per_fold = _with_scores(_statistics(df, key, nan_policy)).withColumn("member", F.col("fold"))
+    return report_from_statistics(_statistics(df, key, nan_policy))
+
+
+def report_from_statistics(statistics: DataFrame) -> DataFrame:
+    """The report of rows ``fold, n_rows`` and, per target, ``<target>_sum`` of squared errors and
+    their number ``<target>_n``, as ``fit.line_statistics`` derives them from sums."""
+    per_fold = _with_scores(statistics).withColumn("member", F.col("fold"))
     in_fold = F.col("member").isNotNull()
     sums = [
         F.sum(f"{t}_{part}").alias(f"{t}_{part}") for t in TARGET_COLUMNS for part in ("sum", "n")

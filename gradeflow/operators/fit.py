@@ -3,8 +3,13 @@
 The model that scores fold ``f`` is fitted on everything but ``f``.  All its sums are the grand
 total minus the sums of ``f``, so one pass over the data fits every fold, however unequal
 the folds are: a fold holding a third of the rows is still only one row of partial sums per task.
-Fitting is eager, as in Spark ML: the sums, one small row set per fold, are written to the scratch
-folder, and whatever uses the models reads those instead of going over the data again.
+Models are plans like any other table: the sums per fold are one shuffle, which Spark reuses for
+the total and for each fold.
+
+Products are summed of values less their mean over all rows, so a feature whose mean is large
+against its spread loses no digits.  That mean is one more aggregate over the features; store a
+narrow feature table first where they are costly to make.  Rows with a missing or NaN feature are left
+out (:func:`unusable_rows` counts them), and features of unequal length are an error.
 
 A model table has one row per ``(fold, target)``: ``fold, target, n, intercept, weights``.
 The fold ``"all"`` is the model of the whole table.
@@ -17,16 +22,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeflow.operators.folds import ALL
 from gradeflow.operators.pairs import present
-from gradeflow.session import checkpointed
 
-# A task hands on its partial sums once it holds this many folds.
-FOLDS_IN_MEMORY = 256
+# A task hands on its partial sums once they hold this many bytes.
+PARTIAL_BYTES = 64 << 20
 
 MODEL_SCHEMA = T.StructType(
     [
@@ -54,7 +58,6 @@ def fit_logo_mean(
     sums = usable.groupBy(F.col(key).alias("fold")).agg(
         F.count("*").alias("n"), *[F.sum(F.col(t).cast("double")).alias(t) for t in targets]
     )
-    sums = checkpointed(df.sparkSession, sums, "fold-sums")
     total = sums.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in targets])
     rest = sums.withColumn(
         "total", total.select(F.struct("n", *targets)).scalar()
@@ -82,17 +85,20 @@ def fit_logo_line(
     feature: str,
     targets: Sequence[str] = ("content", "wording"),
     key: str = "prompt_id",
-    centre: float = 0.0,
+    centre: float | None = None,
     include_all: bool = False,
 ) -> DataFrame:
     """Least-squares lines on one feature, one per held-out fold, in built-in aggregates.
 
-    Give a rough ``centre`` for a feature whose mean is large against its spread, so that
-    taking a fold's sums out of the total does not cancel digits.
+    Products are summed about ``centre``, the mean of the feature over all rows if not given.
     """
-    x = F.col(feature).cast("double") - F.lit(float(centre))
-    ys = {t: F.col(t).cast("double") for t in targets}
     usable = complete_rows(df, [*targets, feature])
+    if centre is None:
+        middle = F.coalesce(usable.agg(F.avg(F.col(feature).cast("double")).alias("mean")).scalar(), F.lit(0.0))
+    else:
+        middle = F.lit(float(centre))
+    x = F.col(feature).cast("double") - middle
+    ys = {t: F.col(t).cast("double") for t in targets}
     per_fold = usable.groupBy(F.col(key).alias("fold")).agg(
         F.count("*").alias("n"),
         F.sum(x).alias("sx"),
@@ -100,7 +106,6 @@ def fit_logo_line(
         *[F.sum(y).alias(f"sy_{t}") for t, y in ys.items()],
         *[F.sum(x * y).alias(f"sxy_{t}") for t, y in ys.items()],
     )
-    per_fold = checkpointed(df.sparkSession, per_fold, "fold-sums")
     names = [c for c in per_fold.columns if c != "fold"]
     total = per_fold.agg(*[F.sum(c).alias(c) for c in names])
     held_out = (
@@ -121,7 +126,7 @@ def fit_logo_line(
         slope = F.coalesce(slope, F.lit(0.0))
         return F.struct(
             F.lit(t).alias("target"),
-            (my - slope * (mx + F.lit(float(centre)))).alias("intercept"),
+            (my - slope * (mx + middle)).alias("intercept"),
             F.array(slope).alias("weights"),
         )
 
@@ -132,6 +137,56 @@ def fit_logo_line(
     )
 
 
+def line_statistics(
+    df: DataFrame,
+    feature: str,
+    targets: Sequence[str] = ("content", "wording"),
+    key: str = "prompt_id",
+    centre: float = 0.0,
+) -> DataFrame:
+    """Squared errors of every fold under the line fitted on all others, from sums alone.
+
+    The error of a line is a quadratic form of a fold's count, sums and sums of products, so the
+    rows are read once and neither models nor predictions are made.  Give a ``centre`` near the mean
+    of a feature whose mean is large against its spread.  One row per fold with rows elsewhere:
+    ``fold, n_rows, <target>_sum, <target>_n``.
+    """
+    x = F.col(feature).cast("double") - F.lit(float(centre))
+    ys = {t: F.col(t).cast("double") for t in targets}
+    per_fold = complete_rows(df, [*targets, feature]).groupBy(F.col(key).alias("fold")).agg(
+        F.count("*").alias("n"),
+        F.sum(x).alias("sx"),
+        F.sum(x * x).alias("sxx"),
+        *[F.sum(y).alias(f"sy_{t}") for t, y in ys.items()],
+        *[F.sum(y * y).alias(f"syy_{t}") for t, y in ys.items()],
+        *[F.sum(x * y).alias(f"sxy_{t}") for t, y in ys.items()],
+    )
+    names = [c for c in per_fold.columns if c != "fold"]
+    total = per_fold.agg(*[F.sum(c).alias(c) for c in names]).select(F.struct(*names)).scalar()
+    folds = per_fold.filter(F.col("fold").isNotNull()).withColumn("total", total)
+
+    def rest(name: str) -> Column:
+        return F.col("total")[name] - F.col(name)
+
+    def squared_error(t: str) -> Column:
+        mx, my = F.try_divide(rest("sx"), rest("n")), F.try_divide(rest(f"sy_{t}"), rest("n"))
+        slope = F.try_divide(rest(f"sxy_{t}") - rest("sx") * my, rest("sxx") - rest("sx") * mx)
+        slope = F.coalesce(slope, F.lit(0.0))
+        start = my - slope * mx
+        error = (
+            F.col(f"syy_{t}") - 2 * start * F.col(f"sy_{t}") - 2 * slope * F.col(f"sxy_{t}")
+            + F.col("n") * start * start + 2 * start * slope * F.col("sx") + slope * slope * F.col("sxx")
+        )
+        return F.greatest(error, F.lit(0.0))
+
+    return folds.filter(rest("n") > 0).select(
+        "fold",
+        F.col("n").alias("n_rows"),
+        *[squared_error(t).alias(f"{t}_sum") for t in targets],
+        *[F.col("n").alias(f"{t}_n") for t in targets],
+    )
+
+
 def _upper_products(z: np.ndarray) -> np.ndarray:
     gram = z.T @ z
     return gram[np.triu_indices(gram.shape[0])]
@@ -154,7 +209,7 @@ def _summed(partials: Iterator[tuple[str | None, np.ndarray]]) -> Iterator[pa.Re
             held[fold] += products
         else:
             held[fold] = products.copy()
-        if len(held) > FOLDS_IN_MEMORY:
+        if len(held) * products.nbytes > PARTIAL_BYTES:
             yield flush()
     if held:
         yield flush()
@@ -200,23 +255,56 @@ def _merge_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     return _summed(partials())
 
 
+def _finite(features: str) -> Column:
+    """Whether a row has features and all of them are numbers."""
+    bad = F.exists(F.col(features), lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.coalesce(~bad, F.lit(False))
+
+
+def unusable_rows(
+    df: DataFrame, features: str = "features", targets: Sequence[str] = ("content", "wording")
+) -> DataFrame:
+    """One row: ``n_rows`` in all, and ``n_left_out`` of fits for a missing or NaN value."""
+    usable = _finite(features)
+    for target in targets:
+        usable = usable & F.coalesce(present(target), F.lit(False))
+    return df.agg(F.count("*").alias("n_rows"), F.count(F.when(~usable, 1)).alias("n_left_out"))
+
+
+def feature_means(df: DataFrame, features: str = "features") -> Column:
+    """The mean of each feature over all rows with features, as one value of the plan."""
+    cells = df.filter(_finite(features)).select(F.size(features).alias("size"), F.posexplode(features).alias("i", "x"))
+    per_feature = cells.groupBy("i").agg(
+        F.avg(F.col("x").cast("double")).alias("mean"), F.min("size").alias("low"), F.max("size").alias("high")
+    )
+    ragged = F.raise_error(F.lit("features have unequal lengths")).cast("array<double>")
+    # one item per feature
+    means = F.array_sort(F.collect_list(F.struct("i", "mean")))["mean"]
+    return per_feature.agg(F.when(F.min("low") == F.max("high"), means).otherwise(F.when(F.count("*") > 0, ragged)).alias("means")).scalar()
+
+
 def fold_gram(
     df: DataFrame,
     features: str = "features",
     targets: Sequence[str] = ("content", "wording"),
     key: str = "prompt_id",
+    means: Column | None = None,
 ) -> DataFrame:
     """Sums of products per fold: ``(fold, cell, value)``.
 
     With ``z = [1, features, targets]`` the cells are the upper triangle of the sum of
-    ``z z'``, row by row.  Tasks send one partial triangle per fold.  Partials are brought
+    ``z z'``, row by row; ``means`` are taken off the features first.  Tasks send one partial triangle per fold.  Partials are brought
     together by fold in partitions of a set size, so those of a hot fold spread over several
     tasks, and are added up there while they stream through; the last step sums what is left as
     plain cells.
     """
-    usable = complete_rows(df, targets).filter(F.col(features).isNotNull()).select(
+    values = F.col(features).cast("array<double>")
+    if means is not None:
+        df = df.withColumn("means_", means)
+        values = F.zip_with(values, "means_", lambda x, mean: x - mean)
+    usable = complete_rows(df, targets).filter(_finite(features)).select(
         F.col(key).cast("string").alias("fold"),
-        F.col(features).cast("array<double>").alias("features"),
+        values.alias("features"),
         *[F.col(t).cast("double").alias(t) for t in targets],
     )
     layout = "fold string, products array<double>"
@@ -233,6 +321,7 @@ def _solver(targets: Sequence[str], lam: float):
     """Ridge solution of one fold from its triangle; the intercept is not shrunk."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        shift = np.asarray(pdf["means"].iloc[0] if pdf["means"].iloc[0] is not None else [], float)
         values = pdf.sort_values("cell")["value"].to_numpy()
         size = int((np.sqrt(8 * len(values) + 1) - 1) / 2)
         gram = np.zeros((size, size))
@@ -248,7 +337,7 @@ def _solver(targets: Sequence[str], lam: float):
         a = centred[1:d, 1:d] + lam * np.eye(d - 1)
         b = centred[1:d, d:]
         weights = np.linalg.lstsq(a, b, rcond=None)[0]
-        intercept = mean[d:] - mean[1:d] @ weights
+        intercept = mean[d:] - (mean[1:d] + shift) @ weights
         return pd.DataFrame(
             {
                 "fold": pdf["fold"].iloc[0],
@@ -274,18 +363,18 @@ def fit_logo(
 
     ``lam`` is the weight decay: it shrinks the weights, not the intercept.
     """
-    gram = checkpointed(df.sparkSession, fold_gram(df, features, targets, key), "fold-grams")
+    means = feature_means(complete_rows(df, targets), features)
+    gram = fold_gram(df, features, targets, key, means)
     total = gram.groupBy("cell").agg(F.sum("value").alias("total"))
-    # one row per cell: a size fixed by the number of features, not by the data
     rest = (
         gram.filter(F.col("fold").isNotNull())
-        .join(F.broadcast(total), "cell")
+        .join(total, "cell")
         .select("fold", "cell", (F.col("total") - F.col("value")).alias("value"))
     )
     if include_all:
         rest = rest.unionByName(total.select(F.lit(ALL).alias("fold"), "cell", F.col("total").alias("value")))
     # a group is one triangle of products
-    return rest.groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
+    return rest.withColumn("means", means).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
 
 
 def fit_all(
@@ -296,10 +385,9 @@ def fit_all(
 ) -> DataFrame:
     """One ridge regressor per target on every row (fold ``"all"``)."""
     whole = df.withColumn("fold_all", F.lit(ALL))
-    gram = checkpointed(
-        df.sparkSession, fold_gram(whole, features, targets, "fold_all"), "fold-grams"
-    )
-    return gram.groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
+    means = feature_means(complete_rows(df, targets), features)
+    gram = fold_gram(whole, features, targets, "fold_all", means)
+    return gram.withColumn("means", means).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
 
 
 def fit_line_all(
@@ -320,7 +408,6 @@ def fit_line_all(
             )
         )
     fitted = complete_rows(df, [*targets, feature]).agg(F.array(*lines).alias("models"))
-    fitted = checkpointed(df.sparkSession, fitted, "line")
     return fitted.select(F.lit(ALL).alias("fold"), F.inline("models"))
 
 
@@ -353,9 +440,15 @@ def fit_fold(
         featuresCol="x", labelCol="y", loss=loss, regParam=lam, epsilon=epsilon, maxIter=max_iter,
         solver="auto" if loss == "squaredError" else "l-bfgs",
     )
-    model = estimator.fit(rows)
+    # the optimiser goes over the rows again and again: keep the narrow table, not the texts
+    rows = rows.persist()
+    try:
+        n = rows.count()
+        model = estimator.fit(rows)
+    finally:
+        rows.unpersist()
     spark = df.sparkSession
-    row = (fold, target, int(model.summary.numInstances), float(model.intercept), model.coefficients.tolist())
+    row = (fold, target, n, float(model.intercept), model.coefficients.tolist())
     return spark.createDataFrame([row], MODEL_SCHEMA)
 
 

@@ -52,15 +52,16 @@ def running_meter(logs: DataFrame, log_interval: int | None = None) -> DataFrame
             F.coalesce(F.sum("block_n").over(earlier), F.lit(0)).alias("start_n"),
         )
     )
+    parts = blocked.withColumn("part_sum", total).withColumn("part_n", count)
+    # missing run, metric or epoch ids are groups like any other
+    same = [parts[c].eqNullSafe(starts[c]) for c in [*group, "block"]]
     return (
-        blocked.withColumn("part_sum", total)
-        .withColumn("part_n", count)
-        .join(starts, [*group, "block"])
+        parts.join(starts, same)
         .withColumn(
             "running",
             (F.col("start_sum") + F.col("part_sum")) / (F.col("start_n") + F.col("part_n")),
         )
-        .select(*logs.columns, "running")
+        .select(*[parts[c] for c in logs.columns], "running")
     )
 
 

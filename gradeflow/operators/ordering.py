@@ -14,11 +14,18 @@ BUCKET_DIGITS = 4  # 16**4 = 65,536 buckets: the size bound of every broadcast b
 HASH, BUCKET = "order_hash", "order_bucket"
 
 
+def order_hash(df: DataFrame, key: str, seed: int | str):
+    """The hash of the seed and the key; rows without a key are told apart by all their columns."""
+    own = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
+    rest = F.concat(F.lit(f"{seed}::"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    return F.md5(F.coalesce(own, rest))
+
+
 def with_order(df: DataFrame, key: str, seed: int | str) -> DataFrame:
     """Add the order hash and its bucket."""
-    return df.withColumn(
-        HASH, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ).withColumn(BUCKET, F.substring(HASH, 1, BUCKET_DIGITS))
+    return df.withColumn(HASH, order_hash(df, key, seed)).withColumn(
+        BUCKET, F.substring(HASH, 1, BUCKET_DIGITS)
+    )
 
 
 def with_position(df: DataFrame, key: str, seed: int | str, out: str = "position") -> DataFrame:
@@ -27,8 +34,7 @@ def with_position(df: DataFrame, key: str, seed: int | str, out: str = "position
     within = Window.partitionBy(BUCKET).orderBy(HASH, key)
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        with_order(df.select(key), key, seed)
-        .groupBy(BUCKET)
+        ordered.groupBy(BUCKET)
         .agg(F.count("*").alias("bucket_rows"))
         # at most 65,536 rows from here on
         .select(BUCKET, F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("bucket_start"))
@@ -51,8 +57,7 @@ def with_successor(
     ordered = with_order(df, key, seed)
     within = Window.partitionBy(BUCKET).orderBy(HASH, key)
     side = F.struct(*[F.col(c) for c in columns])
-    narrow = with_order(df.select(*dict.fromkeys([key, *columns])), key, seed)
-    heads = narrow.groupBy(BUCKET).agg(
+    heads = ordered.groupBy(BUCKET).agg(
         F.min_by(side, F.struct(F.col(HASH), F.col(key))).alias("head")
     )
     # at most 65,536 rows from here on
@@ -72,5 +77,4 @@ def with_successor(
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str = 0) -> DataFrame:
     """``n`` rows chosen by hash order: the same rows whatever the partition layout."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(order, F.col(key)).limit(n)
+    return df.orderBy(order_hash(df, key, seed), F.col(key)).limit(n)

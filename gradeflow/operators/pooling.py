@@ -105,11 +105,13 @@ def attend(
     weight = F.exp(F.col("score") - F.col("peak")) / F.col("total")
     if masked:
         weight = F.when(F.col("mask") == 0, F.lit(0.0)).otherwise(weight)
+    # groups that are masked throughout have no total and weights of 0; a missing group is one group
+    totals = totals.withColumnRenamed(group, "of_group")
     return (
-        scored.join(totals, group)
+        scored.join(totals, scored[group].eqNullSafe(totals["of_group"]), "left")
         .withColumn("attention", weight)
         .withColumn(
             out, F.transform("embedding", lambda x: x.cast("double") * F.col("attention"))
         )
-        .drop("score", "level", "peak", "total")
+        .drop("score", "level", "peak", "total", "of_group")
     )

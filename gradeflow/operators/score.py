@@ -35,11 +35,20 @@ def linear_score(
 
 
 def wide_models(models: DataFrame, targets: Sequence[str] = TARGET_COLUMNS) -> DataFrame:
-    """One row per fold with a struct of intercept and weights per target."""
+    """One row per fold with a struct of intercept and weights per target.
+
+    Two models of one fold and target are an error.
+    """
     head = F.struct("intercept", "weights")
-    return models.groupBy("fold").agg(
-        *[F.first(F.when(F.col("target") == t, head), ignorenulls=True).alias(f"model_{t}") for t in targets]
-    )
+    kind = "struct<intercept:double,weights:array<double>>"
+
+    def only(t: str) -> Column:
+        of_target = F.col("target") == t
+        several = F.raise_error(F.lit(f"several models of one fold predict {t}")).cast(kind)
+        first = F.first(F.when(of_target, head), ignorenulls=True).cast(kind)
+        return F.when(F.count(F.when(of_target, 1)) > 1, several).otherwise(first)
+
+    return models.groupBy("fold").agg(*[only(t).alias(f"model_{t}") for t in targets])
 
 
 def _predictions(features: Column, targets: Sequence[str], prefix: str) -> dict[str, Column]:

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as text_fn
-from gradeflow.session import spread
 
-FREQUENT_WORDS = 50_000
+SALTS = 8
 
 
 def word_counts(df: DataFrame, col: str = "text") -> DataFrame:
@@ -89,9 +88,17 @@ def spell_candidates(counts: DataFrame, k: int = 5, transpositions: bool = True)
     sides of the joins are made from it.  Work and shuffle grow with the letters of the
     *distinct* words only.
     """
-    counts = spread(counts, "word")
-    known = counts.filter(F.col("n") >= k)
-    unknown = counts.filter(F.col("n") < k).select("word")
+    is_known = F.col("n") >= k
+    length = F.length("word")
+    # One edit changes the length by one at most: longer words than the longest of the other
+    # side and one more letter have no partner, and are never cut into their variants.
+    bounds = counts.agg(
+        F.max(F.when(is_known, length)).alias("known"), F.max(F.when(~is_known, length)).alias("unknown")
+    )
+    longest_known = bounds.select("known").scalar()
+    longest_unknown = bounds.select("unknown").scalar()
+    known = counts.filter(is_known & (length <= longest_unknown + 1))
+    unknown = counts.filter(~is_known & (length <= longest_known + 1)).select("word")
     rank = F.struct((-F.col("n")).alias("minus_n"), F.col("fix"))
     looked_up = (
         _lookups(unknown, transpositions)
@@ -113,37 +120,40 @@ def spell_candidates(counts: DataFrame, k: int = 5, transpositions: bool = True)
     )
 
 
-def frequent_words(counts: DataFrame, k: int = 5) -> DataFrame:
-    """The most frequent dictionary words, at most ``FREQUENT_WORDS`` of them."""
-    known = counts.filter(F.col("n") >= k)
-    return known.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
-
-
 def correct_spelling(
     df: DataFrame,
     fixes: DataFrame,
     key: str = "student_id",
     col: str = "text",
-    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the words listed in ``fixes``; everything between words stays as it is.
 
     A capital first letter is kept.  NULL texts pass through.  ``key`` must be unique.
 
-    Only the words to be replaced travel: they are found by a join, gathered per text, and the
-    text is stitched from the untouched stretches between them.  ``frequent`` words are known to
-    be right and skip the join, which otherwise would carry the hottest keys of all.
+    Each text sends its distinct words to the join, so a frequent word is one narrow row per
+    text, spread over ``SALTS`` keys.  Only texts with a word to be replaced take part in what
+    follows: these words are found again among the runs of their text, gathered, and the text is
+    stitched from the untouched stretches between them.
     """
     runs = text_fn.matches(F.col(col), text_fn.RUN)
+    salt = F.pmod(F.hash(key), F.lit(SALTS))
+    words = df.select(
+        key, salt.alias("salt"), F.array_distinct(text_fn.words(F.col(col))).alias("words")
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = fixes.select("word", "fix", salts.alias("salt"))
     found = (
-        text_fn.each_at(df, runs, "pos", "run", key)
+        text_fn.each(words, F.col("words"), "word", key, "salt")
+        .join(salted, ["word", "salt"])
+        .select(key, "word", "fix")
+    )
+    touched = df.select(key, col).join(found.select(key).distinct(), key, "left_semi")
+    places = (
+        text_fn.each_at(touched, runs, "pos", "run", key)
         .filter(F.col("run").rlike(r"^\p{L}"))
         .withColumn("word", F.lower("run"))
+        .join(found, [key, "word"])
     )
-    if frequent is not None:
-        # at most FREQUENT_WORDS rows
-        found = found.join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    places = found.join(fixes.select("word", "fix"), "word")
     first = F.substring("run", 1, 1)
     letter = F.substring("fix", 1, 1)
     # the capital of one letter is one letter, where there is one

@@ -14,9 +14,9 @@ from gradeflow.schemas import TAGS
 RESERVED = {"pad": 0, "unk": 1, "cls": 2, "sep": 3}
 FIRST_TAG_ID = 4
 FIRST_WORD_ID = 9
-# Vocabularies up to these sizes are sent to every task, as one value or as a broadcast table.
+# The most words that may travel as one value; more are an error there.
 TABLE_WORDS = 100_000
-BROADCAST_WORDS = 500_000
+HOW = ("table", "join")
 
 
 def tokenise(df: DataFrame, col: str = "input_text", out: str = "tokens") -> DataFrame:
@@ -42,11 +42,6 @@ def build_vocab(df: DataFrame, size: int, col: str = "tokens") -> DataFrame:
     return top.select("token", (rank + F.lit(FIRST_WORD_ID - 1)).alias("id"), "n")
 
 
-def _lookup_side(words: DataFrame, size: int | None) -> DataFrame:
-    """The vocabulary, broadcast when its size is given and within the bound."""
-    return F.broadcast(words) if size is not None and size <= BROADCAST_WORDS else words
-
-
 def _with_tags(vocab: DataFrame) -> DataFrame:
     """Vocabulary and tags as ``(token, id)``."""
     tags = [(tag, FIRST_TAG_ID + i) for i, tag in enumerate(TAGS.values())]
@@ -59,7 +54,10 @@ def _slot(token: Column, slots: int) -> Column:
 
 
 def _word_table(words: DataFrame, slots: int) -> Column:
-    """All words in one value: an array of small maps, addressed by the hash of the word."""
+    """All words in one value: an array of small maps, addressed by the hash of the word.
+
+    The words are counted in the plan; too many are an error, not another way of working.
+    """
     filled = words.groupBy(_slot(F.col("token"), slots).alias("slot")).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("words")
     )
@@ -71,12 +69,17 @@ def _word_table(words: DataFrame, slots: int) -> Column:
     by_slot = F.array_sort(
         F.collect_list(F.struct("slot", "words")), lambda a, b: a["slot"] - b["slot"]
     )
-    return table.agg(by_slot["words"].alias("word_table")).scalar()
+    n_words = F.sum(F.size("words"))
+    too_many = F.raise_error(F.lit(f"more than {TABLE_WORDS} words: use how='join'"))
+    return table.agg(
+        F.when(n_words <= TABLE_WORDS + len(TAGS), by_slot["words"])
+        .otherwise(too_many.cast("array<map<string,int>>"))
+        .alias("word_table")
+    ).scalar()
 
 
-def _ids_by_table(df: DataFrame, vocab: DataFrame, size: int, kept: Column) -> DataFrame:
+def _ids_by_table(df: DataFrame, vocab: DataFrame, kept: Column, slots: int = 8192) -> DataFrame:
     """Look tokens up inside their row: no explode, no shuffle."""
-    slots = max(size, len(TAGS))
     table = _word_table(_with_tags(vocab), slots)
 
     def token_id(token: Column) -> Column:
@@ -89,28 +92,32 @@ def _ids_by_table(df: DataFrame, vocab: DataFrame, size: int, kept: Column) -> D
 def _ids_by_join(
     df: DataFrame, vocab: DataFrame, key: str, carry: Sequence[str], kept: Column
 ) -> DataFrame:
-    """Look tokens up by a join and gather them again, for vocabularies of any size."""
+    """Look tokens up by a join and gather them again, for vocabularies of any size.
+
+    Rows are told apart by a number of their own, so keys may repeat or be NULL.
+    """
     words = _with_tags(vocab).withColumnRenamed("id", "word_id")
-    tokens = df.select(key, *carry, F.posexplode_outer(kept).alias("pos", "token"))
+    columns = [key, *carry]
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("row_number"), F.struct(*columns).alias("kept"), kept.alias("body")
+    )
+    tokens = numbered.select("row_number", "kept", F.posexplode_outer("body").alias("pos", "token"))
     token_id = F.coalesce(F.col("word_id"), F.lit(RESERVED["unk"]))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("id")))
     # at most max_length items per row
     gathered = (
         tokens.join(words, "token", "left")
-        .groupBy(key)
-        .agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.array_sort(F.collect_list(item)).alias("items"),
-        )
+        .groupBy("row_number")
+        .agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(item)).alias("items"))
     )
-    return gathered.withColumn("body", F.col("items.id"))
+    return gathered.select(*[F.col("kept")[c].alias(c) for c in columns], F.col("items.id").alias("body"))
 
 
 def encode(
     df: DataFrame,
     vocab: DataFrame,
     max_length: int,
-    vocab_size: int | None = None,
+    how: str = "table",
     key: str = "student_id",
     col: str = "tokens",
     carry: Sequence[str] = (),
@@ -119,15 +126,17 @@ def encode(
 
     Gives ``key``, the ``carry`` columns, ``input_ids`` and ``attention_mask`` (ones).
 
-    When ``vocab_size`` proves the vocabulary small, it travels to the rows as one value and every
-    row is encoded where it stands.  Otherwise tokens are joined with the vocabulary; ``key`` must
-    then be unique.
+    With ``how="table"`` the vocabulary, at most ``TABLE_WORDS`` words, travels to the rows as one
+    value and every row is encoded where it stands.  With ``how="join"`` tokens are joined with a
+    vocabulary of any size.  Both give the same rows.
     """
+    if how not in HOW:
+        raise ValueError(f"how must be one of {HOW}")
     if max_length < 2:
         raise ValueError("max_length must leave room for the two markers")
     kept = F.slice(F.col(col), 1, max_length - 2)
-    if vocab_size is not None and vocab_size <= TABLE_WORDS:
-        looked_up = _ids_by_table(df, vocab, vocab_size, kept)
+    if how == "table":
+        looked_up = _ids_by_table(df, vocab, kept)
     else:
         looked_up = _ids_by_join(df, vocab, key, carry, kept)
     body = F.coalesce(F.col("body"), F.array().cast("array<int>"))
@@ -140,21 +149,19 @@ def encode(
 def vocab_features(
     df: DataFrame,
     vocab: DataFrame,
-    vocab_size: int | None = None,
     key: str = "student_id",
     col: str = "tokens",
 ) -> DataFrame:
     """Bag of vocabulary words in long form: ``(key, id, n)``.
 
-    With the vocabulary broadcast, words outside it never leave their task and a word that
-    stands in every text is no hot join key.
+    Each text sends one row per distinct word.  The join carries no hint: Spark knows the size
+    of a vocabulary cut by ``build_vocab`` and broadcasts it while that is below its threshold.
     """
-    words = _lookup_side(vocab.select("token", "id"), vocab_size)
+    counted = text_fn.each(df, F.col(col), "token", key).groupBy(key, "token").agg(F.count("*").alias("n_here"))
     return (
-        text_fn.each(df, F.col(col), "token", key)
-        .join(words, "token")
+        counted.join(vocab.select("token", "id"), "token")
         .groupBy(key, "id")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n_here").alias("n"))
     )
 
 

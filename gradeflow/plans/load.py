@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from gradeflow.operators.assemble import assemble
 from gradeflow.operators.spelling import (
     correct_spelling,
-    frequent_words,
     spell_candidates,
     word_counts,
 )
 from gradeflow.operators.summarise import MAX_LENGTH, MIN_LENGTH, reference_summary
-from gradeflow.session import checkpointed, spread
+from gradeflow.session import checkpointed
 from gradeflow.sources.tables import read_prompts, read_responses
 
 
@@ -30,7 +29,7 @@ def corrected(df: DataFrame, k: int = 5, transpositions: bool = True) -> DataFra
     """
     counts = checkpointed(df.sparkSession, word_counts(df), "word-counts")
     fixes = spell_candidates(counts, k, transpositions)
-    return correct_spelling(df, fixes, frequent=frequent_words(counts, k))
+    return correct_spelling(df, fixes)
 
 
 def load_data(
@@ -49,6 +48,6 @@ def load_data(
     prompts = read_prompts(spark, directory, split, fmt)
     if summarise:
         prompts = with_reference_summaries(prompts, min_length, max_length)
-    responses = spread(read_responses(spark, directory, split, fmt), "student_id")
+    responses = read_responses(spark, directory, split, fmt)
     data = assemble(responses, prompts, split)
     return corrected(data, spelling_threshold) if autocorrect_spelling else data

@@ -36,7 +36,7 @@ def length_features(df: DataFrame, parts: Sequence[str] = DEFAULT_PARTS) -> Data
 def word_features(df: DataFrame, words: DataFrame, size: int, col: str = "text") -> DataFrame:
     """Add the counts of ``size`` vocabulary words as an array column ``features``."""
     tokenised = vocab.tokenise(df.select("student_id", col), col)
-    bags = vocab.vocab_features(tokenised, words, size)
+    bags = vocab.vocab_features(tokenised, words)
     zeros = F.array_repeat(F.lit(0.0), size)
     return df.join(vocab.dense_features(bags, size), "student_id", "left").withColumn(
         "features", F.coalesce("features", zeros)
@@ -125,7 +125,8 @@ def predict(
     Models may predict both targets or one each.  A target without a model is an error unless
     ``allow_missing``, which leaves it NULL.
     """
-    have = {r.target for r in models.select("target").distinct().limit(len(TARGET_COLUMNS)).collect()}
+    wanted = models.filter(F.col("target").isin(list(targets)))
+    have = {r.target for r in wanted.select("target").distinct().collect()}
     if not allow_missing and not set(targets) <= have:
         raise ValueError(f"no model predicts {sorted(set(targets) - have)}")
     scored = score.predict_ensemble(data, models, features, targets)

@@ -51,14 +51,11 @@ def checkpointed(spark: SparkSession, df, purpose: str):
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df, *keys: str):
-    """Rows dealt out by ``keys`` when a table is read in fewer than two tasks per core.
+def spread(df, tasks: int, *keys: str):
+    """Rows dealt out by ``keys`` to ``tasks`` tasks, for files that too few tasks can read.
 
-    Files with a single row group, or CSV files with line breaks in cells, are read by one task
-    each (the other tasks of their splits stay empty), which would also run all the text work of
-    the stage.  A table read in enough tasks is left alone.
+    A single row group, or a CSV file with line breaks in cells, is read by one task, which would
+    also run all the text work of its stage.  The caller knows the files; a large table needs no
+    such step.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(tasks, *keys)

@@ -27,10 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     if fmt != "csv":
         raise ValueError("fmt must be 'csv' or 'parquet'")
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    # columns are taken by name: files may hold them in another order
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE"
-    )
+    raw = _by_header(spark, path)
     missing = [name for name in as_text.names if name not in raw.columns]
     if missing:
         raise ValueError(f"{path} has no column {missing}")
@@ -44,6 +41,38 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return raw.select(*[cell(f) for f in schema])
 
 
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV files of ``path`` with their columns taken by name, file by file.
+
+    Files are grouped by their first line; each group, one as a rule, is read with its own header,
+    which Spark checks.  A record with too many or too few cells is an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    heads = (
+        spark.read.text(path, wholetext=False)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        .withColumn("line", F.monotonically_increasing_id())
+        .filter(F.col("at") == 0)
+        .groupBy("file")
+        .agg(F.min_by("value", "line").alias("head"))
+    )
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()
+    parts = [
+        spark.read.csv(
+            sorted(group.files), header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False
+        )
+        for group in groups
+    ]
+    if not parts:
+        raise FileNotFoundError(f"no rows below {path}: {files.count()} files")
+    if any(set(part.columns) != set(parts[0].columns) for part in parts):
+        raise ValueError(f"the files of {path} do not have the same columns")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def _split_path(directory: str, table: str, split: str, fmt: str) -> str:
     if split not in SPLITS:
         raise ValueError(f"split must be one of {SPLITS}")

@@ -35,9 +35,14 @@ def stream_meter(
     )
 
 
-def write_meter(meter: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_meter(
+    meter: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Write the windows that changed in each batch to ``path/batch_id=<n>``.
 
+    ``trigger`` is that of Spark, e.g. ``{"processingTime": "1 minute"}``; without it the stream
+    ends once it has read what is there.
+
     A batch that is run again after a failure overwrites its own folder, so every change is
     kept exactly once.
     """
@@ -48,7 +53,7 @@ def write_meter(meter: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         meter.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(write)
         .start()
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeflow.operators.assemble import assemble
@@ -14,10 +15,20 @@ from gradeflow.schemas import TARGET_COLUMNS
 Coefficients = dict[str, tuple[Sequence[float], float]]
 
 
-def model_coefficients(model: DataFrame) -> Coefficients:
-    """Weights and intercept per target of one model: as many numbers as it has features."""
-    rows = model.select("target", "weights", "intercept").limit(len(TARGET_COLUMNS)).collect()
-    return {r.target: (list(r.weights), r.intercept) for r in rows}
+def model_coefficients(model: DataFrame, targets: Sequence[str] = TARGET_COLUMNS) -> Coefficients:
+    """Weights and intercept per target of one model: as many numbers as it has features.
+
+    Several models of a target are an error; choose a fold first.
+    """
+    rows = (
+        model.filter(F.col("target").isin(list(targets)))
+        .groupBy("target")
+        .agg(F.count("*").alias("n"), F.first(F.struct("weights", "intercept")).alias("model"))
+        .collect()  # a row per target
+    )
+    if several := sorted(r.target for r in rows if r.n > 1):
+        raise ValueError(f"several models of {several}: choose one fold")
+    return {r.target: (list(r.model.weights), r.model.intercept) for r in rows}
 
 
 def stream_score(
@@ -35,13 +46,19 @@ def stream_score(
     return scored.select("student_id", "prompt_id", *coefficients)
 
 
-def write_scores(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append scored rows to a Parquet folder, each exactly once."""
+def write_scores(
+    scores: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append scored rows to a Parquet folder, each exactly once.
+
+    ``trigger`` is that of Spark, e.g. ``{"processingTime": "1 minute"}``; without it the stream
+    ends once it has read what is there.
+    """
     return (
         scores.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

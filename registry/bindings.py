@@ -32,6 +32,15 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(documents: DataFrame, sf_dir: str, key: str) -> DataFrame:
+    """Documents of fewer bytes than a megabyte per task are read by too few tasks: deal them out."""
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return spread(documents, tasks, key) if size < tasks << 20 else documents
+
+
 def as_responses(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("string").alias("student_id"),
@@ -47,14 +56,14 @@ def all_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, spread over the cores for work on whole texts."""
-    return spread(all_responses(spark, sf_dir), "student_id")
+    return dealt(all_responses(spark, sf_dir), sf_dir, "student_id")
 
 
 def train_responses(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
     """Labelled documents, spread over the cores when their whole texts are worked on."""
     documents = table(spark, sf_dir, "documents")
     if whole_texts:
-        documents = spread(documents, "doc_id")
+        documents = dealt(documents, sf_dir, "doc_id")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id",
         F.col("quality").cast("double").alias("content"),

@@ -261,12 +261,12 @@ def _report(source: str) -> str:
     )
 
 
-def _ridge(rows: str) -> str:
+def _ridge(rows: str, lam: float = 1.0, columns: str | None = None) -> str:
     """Closed-form ridge with two features over ``rows(fold, x1, x2, content, wording)``."""
     per_target = " UNION ALL ".join(
         f"""SELECT fold, '{t}' AS target, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg({t}) AS my,
-            var_pop(x1) * count(*) + 1.0 AS a, covar_pop(x1, x2) * count(*) AS b,
-            var_pop(x2) * count(*) + 1.0 AS d, covar_pop(x1, {t}) * count(*) AS e,
+            var_pop(x1) * count(*) + {lam} AS a, covar_pop(x1, x2) * count(*) AS b,
+            var_pop(x2) * count(*) + {lam} AS d, covar_pop(x1, {t}) * count(*) AS e,
             covar_pop(x2, {t}) * count(*) AS f
         FROM rows_ GROUP BY fold"""
         for t in ("content", "wording")
@@ -275,9 +275,12 @@ def _ridge(rows: str) -> str:
     sums AS ({per_target}),
     solved AS (SELECT *, (e * d - b * f) / (a * d - b * b) AS w1, (a * f - b * e) / (a * d - b * b) AS w2
                FROM sums)
-    SELECT fold, target, n, {r("my - w1 * m1 - w2 * m2", "intercept")}, {r("w1", "w_chars")},
-           {r("w2", "w_tokens")}
-    FROM solved"""
+    SELECT {columns or RIDGE_COLUMNS} FROM solved"""
+
+
+RIDGE_COLUMNS = ", ".join(
+    ["fold, target, n", r("my - w1 * m1 - w2 * m2", "intercept"), r("w1", "w_chars"), r("w2", "w_tokens")]
+)
 
 
 def _loss(body: str) -> str:
@@ -385,6 +388,7 @@ ORACLES: dict[str, str] = {
         f"SELECT n_rows, {THREE} FROM (SELECT count(*) AS n_rows, {SCORES} FROM mean_oof)", "mean_oof"
     ),
     "score_report": _report("line_oof"),
+    "score_report_rows": _report("line_oof"),
     "mean_baseline_report": _report("mean_oof"),
     "eval_holdout": with_(
         f"""SELECT {r("(c + w) / 2", "eval_MCRMSE")}, {r("c", "eval_ContentRMSE")},
@@ -436,6 +440,21 @@ ORACLES: dict[str, str] = {
         "corpus",
     ),
     "vocab_topk": with_("SELECT token, id, n FROM vocab", "vocab"),
+    "assign_batches_null_keys": with_(
+        """SELECT CAST(floor(p / 32) AS BIGINT) AS batch_id, count(*) AS n, min(p) AS first, max(p) AS last
+           FROM (SELECT row_number() OVER (ORDER BY student_id) - 1 AS p FROM all_responses) GROUP BY 1""",
+        "all_responses",
+    ),
+    "compose_with_text": with_(
+        """SELECT student_id, '<text> ' || prompt_text || ' <summary> ' || text AS input_text
+           FROM everything""",
+        "everything",
+    ),
+    "encode_tokens_join": with_(
+        """SELECT student_id, array_to_string(ids, ',') AS input_ids,
+           array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM encoded""",
+        "encoded",
+    ),
     "encode_tokens": with_(
         """SELECT student_id, array_to_string(ids, ',') AS input_ids,
            array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask FROM encoded""",
@@ -504,6 +523,17 @@ ORACLES: dict[str, str] = {
         FROM cells JOIN weights USING ("group", pos) GROUP BY 1, 2""",
         "cells",
     ),
+    "attention_pool_masked": with_(
+        f""", shown AS (SELECT "group", pos, dim, v, CASE WHEN "group" = '0' THEN 0 ELSE mask END AS mask FROM cells),
+        scores AS (SELECT "group", pos, mask, sum(tanh(v)) AS s FROM shown GROUP BY 1, 2, 3),
+        weights AS (
+            SELECT "group", pos, CASE WHEN mask = 0 THEN 0.0 ELSE exp(s - max(s) FILTER (mask <> 0) OVER g)
+                   / sum(exp(s)) FILTER (mask <> 0) OVER g * exp(max(s) FILTER (mask <> 0) OVER g) END AS a
+            FROM scores WINDOW g AS (PARTITION BY "group"))
+        SELECT "group", dim, {r("sum(v * a * mask) / greatest(sum(mask), 1e-9)", "value", 8)}
+        FROM shown JOIN weights USING ("group", pos) GROUP BY 1, 2""",
+        "cells",
+    ),
     "linear_head": f"""
         SELECT vec_id, {r("sum(v / (dim + 1)) + 0.5", "predicted_content")},
                {r("sum(CASE WHEN dim % 2 = 0 THEN v ELSE -v END) - 0.25", "predicted_wording")}
@@ -527,6 +557,24 @@ ORACLES: dict[str, str] = {
         "folds",
         "train_x",
     ),
+    "logo_ridge_large_mean": with_(
+        _ridge(
+            """SELECT fold, log_chars AS x1, log_tokens AS x2, content, wording
+            FROM folds f JOIN train_x t ON t.prompt_id <> f.fold""",
+            columns=", ".join(["fold, target, n", r("w1", "w_chars"), r("w2", "w_tokens")]),
+        ),
+        "folds",
+        "train_x",
+    ),
+    "fold_squared": with_(
+        _ridge(
+            """SELECT 'src3' AS fold, log_chars AS x1, log_tokens AS x2, content, wording
+            FROM train_x WHERE prompt_id <> 'src3'""",
+            lam=0.0,
+            columns=RIDGE_COLUMNS.replace(", 6)", ", 4)"),
+        ),
+        "train_x",
+    ),
     "full_ridge": with_(
         _ridge("SELECT 'all' AS fold, log_chars AS x1, log_tokens AS x2, content, wording FROM train_x"),
         "train_x",

@@ -45,6 +45,7 @@ LOG_INTERVAL = 10
 SPELL_THRESHOLD = 5
 RIDGE = 1.0
 DIMENSIONS = 64
+LOG_CHARS = 7.0  # near the mean of the feature
 PREDICTED = ["predicted_content", "predicted_wording"]
 TARGETS = ["content", "wording"]
 
@@ -107,12 +108,12 @@ def test_features(spark, sf_dir) -> DataFrame:
 
 
 def line_models(spark, sf_dir) -> DataFrame:
-    return fit.fit_logo_line(train_features(spark, sf_dir), "log_chars")
+    return fit.fit_logo_line(train_features(spark, sf_dir), "log_chars", centre=LOG_CHARS)
 
 
 def line_oof(spark, sf_dir) -> DataFrame:
-    data = workflows.feature_table(train_features(spark, sf_dir), ["log_chars"])
-    return score.oof_predict(data, fit.fit_logo_line(data, "log_chars"), ["log_chars"])
+    data = train_features(spark, sf_dir).select("student_id", "prompt_id", *TARGETS, "log_chars")
+    return score.oof_predict(data, fit.fit_logo_line(data, "log_chars", centre=LOG_CHARS), ["log_chars"])
 
 
 def mean_oof(spark, sf_dir) -> DataFrame:
@@ -131,9 +132,7 @@ def vocabulary(spark, sf_dir, size: int = VOCAB_SIZE) -> DataFrame:
 
 
 def encoded(spark, sf_dir) -> DataFrame:
-    return vocab.encode(
-        corpus_tokens(spark, sf_dir), vocabulary(spark, sf_dir), MAX_TOKENS, VOCAB_SIZE
-    )
+    return vocab.encode(corpus_tokens(spark, sf_dir), vocabulary(spark, sf_dir), MAX_TOKENS)
 
 
 def model_lines(models: DataFrame) -> DataFrame:
@@ -216,6 +215,14 @@ def compose_prompt(spark, sf_dir):
     )
 
 
+@query
+def compose_with_text(spark, sf_dir):
+    """Every response behind the whole text of its prompt."""
+    return assemble.compose_prompt(everything(spark, sf_dir), ["text", "summary"]).select(
+        "student_id", "input_text"
+    )
+
+
 @query
 def select_targets(spark, sf_dir):
     labelled = assemble.select_targets(train(spark, sf_dir), "both")
@@ -294,6 +301,14 @@ def oof_pooled(spark, sf_dir):
 
 @query
 def score_report(spark, sf_dir):
+    """From sums per fold: one pass over the texts, no models or predictions."""
+    statistics = fit.line_statistics(train_features(spark, sf_dir), "log_chars", centre=LOG_CHARS)
+    return tidy(evaluate.report_from_statistics(statistics))
+
+
+@query
+def score_report_rows(spark, sf_dir):
+    """The same report from scored rows."""
     return tidy(evaluate.score_report(line_oof(spark, sf_dir)))
 
 
@@ -366,6 +381,21 @@ def assign_batches(spark, sf_dir):
     return tidy(batches.assign_batches(rows, BATCH_SIZE, seed=SEED, epoch=1))
 
 
+@query
+def assign_batches_null_keys(spark, sf_dir):
+    """Rows without a key take their place in the order too."""
+    unnamed = F.col("student_id").cast("long") % 3 == 0
+    rows = bindings.all_responses(spark, sf_dir).select(
+        F.when(~unnamed, F.col("student_id")).alias("student_id"), F.col("student_id").alias("row")
+    )
+    batched = batches.assign_batches(rows, BATCH_SIZE, seed=SEED, epoch=1)
+    return tidy(
+        batched.groupBy("batch_id").agg(
+            F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")
+        )
+    )
+
+
 @query
 def sample_rows(spark, sf_dir):
     return ordering.sample_n(bindings.all_responses(spark, sf_dir), "student_id", 50, SEED)
@@ -395,6 +425,13 @@ def encode_tokens(spark, sf_dir):
     return encoded(spark, sf_dir).select("student_id", ids("input_ids"), ids("attention_mask"))
 
 
+@query
+def encode_tokens_join(spark, sf_dir):
+    """The same ids by a join with the vocabulary."""
+    rows = vocab.encode(corpus_tokens(spark, sf_dir), vocabulary(spark, sf_dir), MAX_TOKENS, "join")
+    return rows.select("student_id", ids("input_ids"), ids("attention_mask"))
+
+
 @query
 def pad_static(spark, sf_dir):
     padded = batches.pad_static(encoded(spark, sf_dir), MAX_TOKENS)
@@ -417,7 +454,7 @@ def pad_dynamic(spark, sf_dir):
 @query
 def vocab_features(spark, sf_dir):
     words = vocabulary(spark, sf_dir)
-    return tidy(vocab.vocab_features(corpus_tokens(spark, sf_dir), words, VOCAB_SIZE))
+    return tidy(vocab.vocab_features(corpus_tokens(spark, sf_dir), words))
 
 
 # --- spelling and summaries -------------------------------------------------
@@ -495,6 +532,15 @@ def attention_pool(spark, sf_dir):
     return tidy(cells(pooling.pool(attended, "mean")), 8)
 
 
+@query
+def attention_pool_masked(spark, sf_dir):
+    """Attention without padding; the first group is masked throughout and keeps its rows."""
+    rows = bindings.vectors(spark, sf_dir)
+    hidden = rows.withColumn("mask", F.when(F.col("group") == "0", 0).otherwise(F.col("mask")))
+    attended = pooling.attend(hidden, [1.0] * DIMENSIONS, masked=True)
+    return tidy(cells(pooling.pool(attended, "mean")), 8)
+
+
 @query
 def linear_head(spark, sf_dir):
     coefficients = {
@@ -539,6 +585,14 @@ def logo_ridge(spark, sf_dir):
     return two_weights(fit.fit_logo(data, lam=RIDGE))
 
 
+@query
+def logo_ridge_large_mean(spark, sf_dir):
+    """The same fit with a feature whose mean is 1e8 times its spread."""
+    data = workflows.length_features(train(spark, sf_dir, whole_texts=True), PARTS)
+    shifted = F.array(F.col("features")[0] + F.lit(1e8), F.col("features")[1])
+    return two_weights(fit.fit_logo(data.withColumn("features", shifted), lam=RIDGE)).drop("intercept")
+
+
 @query
 def fold_gram(spark, sf_dir):
     """Sums of products per fold of 64-dimensional vectors."""
@@ -577,10 +631,21 @@ def full_ridge(spark, sf_dir):
     return two_weights(fit.fit_all(train_features(spark, sf_dir), lam=RIDGE))
 
 
+def fold_models(spark, sf_dir, loss: str) -> DataFrame:
+    data = train_features(spark, sf_dir)
+    content, wording = (fit.fit_fold(data, FOLD, t, loss=loss) for t in TARGETS)
+    return content.unionByName(wording)
+
+
 @query
 def fold_huber(spark, sf_dir):
-    models = fit.fit_fold(train_features(spark, sf_dir), FOLD, "content", loss="huber")
-    return two_weights(models)
+    return two_weights(fold_models(spark, sf_dir, "huber"))
+
+
+@query
+def fold_squared(spark, sf_dir):
+    """The same fit with squared errors, which SQL can solve."""
+    return tidy(two_weights(fold_models(spark, sf_dir, "squaredError")), 4)
 
 
 @query
@@ -588,7 +653,8 @@ def rank_fit(spark, sf_dir):
     data = workflows.feature_table(train_features(spark, sf_dir))
     paired = pairs.pair_rows(data, seed=SEED)
     sides = pairs.attach_sides(paired, data, ["features"])
-    return two_weights(fit.fit_rank(sides, "content"))
+    content, wording = (fit.fit_rank(sides, t) for t in TARGETS)
+    return two_weights(content.unionByName(wording))
 
 
 def summing_model():

@@ -7,9 +7,10 @@ from conftest import TESTDATA
 from parity import compare, duck_connection
 
 import __spark_entry__ as contract
+from registry.oracles import ORACLES
+from registry.spark_queries import QUERIES
 
 SMALL = f"{TESTDATA}/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,8 @@ def con():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
     assert set(QUERIES) - set(ORACLES) == {"logo_ridge_words", "fold_huber", "rank_fit"}
 
 

@@ -9,7 +9,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeflow.operators import fit, folds, meters
+from gradeflow.operators import evaluate, fit, folds, meters
 from gradeflow.operators.assemble import assemble
 from gradeflow.plans import load, workflows
 from gradeflow.schemas import NA_TOKENS
@@ -271,9 +271,70 @@ def test_scratch_folder_is_the_shared_one(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
 
 
-def test_spread_leaves_enough_tasks_alone(spark):
-    assert spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
-    assert spread(spark.range(10, numPartitions=4), "id").rdd.getNumPartitions() == 8
+def test_spread_deals_rows_to_as_many_tasks_as_asked(spark):
+    dealt = spread(spark.range(100, numPartitions=1), 6, "id").withColumn("task", F.spark_partition_id())
+    assert dealt.count() == 100 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_csv_files_of_a_folder_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "summaries_test.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('student_id,prompt_id,text\n1,p1,"hello\nthere"\n')
+    (folder / "b.csv").write_text("text,student_id,prompt_id\nworld,2,p2\n")
+    rows = {r.student_id: (r.prompt_id, r.text) for r in tables.read_responses(spark, str(tmp_path), "test").collect()}
+    assert rows == {"1": ("p1", "hello\nthere"), "2": ("p2", "world")}
+    (folder / "c.csv").write_text("text,student_id\nworld,2\n")
+    with pytest.raises(ValueError, match="same columns|no column"):
+        tables.read_responses(spark, str(tmp_path), "test")
+
+
+def test_broken_csv_records_are_errors(spark, tmp_path):
+    (tmp_path / "summaries_test.csv").write_text("student_id,prompt_id,text\n1,p1\n2,p2,b\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_responses(spark, str(tmp_path), "test").collect()
+
+
+def test_models_of_several_folds_or_targets(spark):
+    rows = [(f, t, 3, 0.5, [float(i)]) for i, (f, t) in enumerate([("a", "content"), ("b", "content"), ("a", "wording")])]
+    models = spark.createDataFrame(rows, fit.MODEL_SCHEMA)
+    with pytest.raises(ValueError, match="content"):
+        scoring.model_coefficients(models)
+    one = scoring.model_coefficients(models.filter("fold = 'a'"))
+    assert one == {"content": ([0.0], 0.5), "wording": ([2.0], 0.5)}
+    third = models.unionByName(spark.createDataFrame([("a", "other", 3, 0.0, [1.0])], fit.MODEL_SCHEMA))
+    data = spark.createDataFrame([("s", [1.0])], "student_id string, features array<double>")
+    assert workflows.predict(data, third).count() == 1
+    twice = models.unionByName(models.limit(1))
+    held_out = data.withColumn("prompt_id", F.lit("a"))
+    with pytest.raises(Exception, match="several models"):
+        spark_queries.score.oof_predict(held_out, twice).collect()
+
+
+# --- rows that must not vanish ---
+
+
+def test_null_keys_keep_their_place(spark):
+    rows = [(None if i % 2 else f"s{i}", f"t{i}", float(i % 3), float(i % 5)) for i in range(20)]
+    df = spark.createDataFrame(rows, "student_id string, text string, content double, wording double")
+    batched = spark_queries.batches.assign_batches(df, 3, seed=1).collect()
+    assert sorted(r.position for r in batched) == list(range(20))
+    paired = spark_queries.pairs.pair_rows(df, carry=["text"]).collect()
+    assert sorted(r.first_text for r in paired) == sorted(r.second_text for r in paired) == sorted(r[1] for r in rows)
+
+
+def test_null_groups_in_meters_and_masked_groups_in_attention(spark):
+    logs = spark.createDataFrame(
+        [(None, 1, i, "m", float(i), 1) for i in (1, 2)] + [("r", 1, 1, "m", 4.0, 1)],
+        "run_id string, epoch int, step long, metric string, val double, n long",
+    )
+    found = spark_queries.meters.running_meter(logs).collect()
+    assert sorted(r.running for r in found) == [1.0, 1.5, 4.0]
+    cells = spark.createDataFrame(
+        [("a", 0, 0, [1.0]), ("a", 1, 0, [2.0]), ("b", 0, 1, [3.0]), (None, 0, 1, [4.0])],
+        "group string, pos int, mask int, embedding array<double>",
+    )
+    attended = spark_queries.pooling.attend(cells, [1.0], masked=True).collect()
+    assert sorted((str(r.group), r.attention) for r in attended) == [("None", 1.0), ("a", 0.0), ("a", 0.0), ("b", 1.0)]
 
 
 # --- streams ----------------------------------------------------------------
@@ -362,11 +423,17 @@ def test_ordering_windows_are_partitioned(spark):
         assert "hashpartitioning(order_bucket" in text
 
 
-def test_report_has_one_pass_over_the_rows(spark):
-    data = workflows.feature_table(spark_queries.train_features(spark, SMALL), ["log_chars"])
-    scored = spark_queries.score.oof_predict(data, fit.fit_logo_line(data, "log_chars"), ["log_chars"])
-    text = plan(spark_queries.evaluate.score_report(scored))
-    assert text.count("content#") and len(re.findall(r"FileScan parquet \[prompt_id", text)) == 1
+def test_report_needs_no_job_before_it_runs_and_no_second_pass(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("report", "building a report")
+    report = spark_queries.QUERIES["score_report"](spark, SMALL)
+    assert len(tracker.getJobIdsForGroup("report")) <= 3  # the schemas of three tables
+    spark.sparkContext.setJobGroup("other", "")
+    stored = workflows.feature_table(spark_queries.train_features(spark, SMALL), ["log_chars"])
+    scored = spark_queries.score.oof_predict(stored, fit.fit_logo_line(stored, "log_chars"), ["log_chars"])
+    by_rows = {(r.level, r.fold): r for r in evaluate.score_report(scored).collect()}
+    for row in report.collect():
+        assert abs(row.MCRMSE - by_rows[row.level, row.fold].MCRMSE) < 1e-6
 
 
 def test_no_cross_joins_anywhere(spark):

@@ -33,25 +33,53 @@ def test_vocabulary_order_and_reserved_ids(spark):
     assert [tuple(r) for r in words.orderBy("id").collect()] == [("a", 9, 2), ("b", 10, 2), ("c", 11, 2)]
 
 
-@pytest.mark.parametrize("size", [10, 1, None])
-def test_encode(spark, size):
+@pytest.mark.parametrize("how", ["table", "join"])
+def test_encode(spark, how):
     data = tokens(spark, "<summary> b zzz a a", "", "a b a b a b a b", None)
     words = vocab.build_vocab(tokens(spark, "a a b"), 10)
-    rows = {r.student_id: r for r in vocab.encode(data, words, 6, size, carry=["text"]).collect()}
+    rows = {r.student_id: r for r in vocab.encode(data, words, 6, how, carry=["text"]).collect()}
     assert rows["s0"].input_ids == [2, 7, 10, 1, 9, 3]
     assert rows["s0"].attention_mask == [1] * 6
     assert rows["s1"].input_ids == [2, 3] and rows["s1"].text == ""
     assert rows["s2"].input_ids == [2, 9, 10, 9, 10, 3]
     assert rows["s3"].input_ids == [2, 3]
     assert len(rows) == 4
-    with pytest.raises(ValueError):
-        vocab.encode(data, words, 1)
+    for wrong in ({"max_length": 1}, {"max_length": 6, "how": "guess"}):
+        with pytest.raises(ValueError):
+            vocab.encode(data, words, **wrong)
+
+
+def test_encoding_keeps_rows_with_repeated_and_null_keys(spark):
+    data = tokens(spark, "a b", "b", "a a", "").withColumn(
+        "student_id", F.when(F.col("student_id").isin("s0", "s1"), "same")
+    )
+    words = vocab.build_vocab(tokens(spark, "a a b"), 10)
+    found = [sorted(map(repr, vocab.encode(data, words, 6, how).collect())) for how in vocab.HOW]
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
+def test_too_many_words_for_the_table_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "TABLE_WORDS", 1)
+    data = tokens(spark, "a b c d e f g h")
+    with pytest.raises(Exception, match="how='join'"):
+        vocab.encode(data, vocab.build_vocab(data, 8), 6).collect()
+    assert vocab.encode(data, vocab.build_vocab(data, 8), 6, "join").count() == 1
+
+
+def test_spelling_survives_a_very_long_word(spark):
+    junk = "x" * 100_000
+    data = spark.createDataFrame([("1", f"house {junk} " + "house " * 6), ("2", "hause")], "student_id string, text string")
+    counts = spelling.word_counts(data)
+    fixes = spelling.spell_candidates(counts, 5)
+    assert [(r.word, r.fix) for r in fixes.collect()] == [("hause", "house")]
+    fixed = {r.student_id: r.text for r in spelling.correct_spelling(data, fixes).collect()}
+    assert fixed["2"] == "house" and junk in fixed["1"]
 
 
 def test_encoding_with_a_small_vocabulary_moves_no_rows(spark):
     data = tokens(spark, "a b", "c")
     words = checkpointed(spark, vocab.build_vocab(data, 3), "vocabulary")
-    plan = vocab.encode(data, words, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = vocab.encode(data, words, 6)._jdf.queryExecution().executedPlan().toString()
     # the lookup table is a subquery; outside it the plan is a plain projection
     main = [line for line in plan.splitlines() if not line.lstrip().startswith((":", "+- Subquery"))]
     assert not [line for line in main if "Exchange" in line or "Generate" in line]

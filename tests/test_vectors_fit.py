@@ -92,7 +92,7 @@ def test_ridge_of_every_fold_equals_numpy(skewed):
 
 
 def test_partial_sums_leave_a_task_early_without_loss(skewed, monkeypatch):
-    monkeypatch.setattr(fit, "FOLDS_IN_MEMORY", 1)
+    monkeypatch.setattr(fit, "PARTIAL_BYTES", 1)
     few = {(r.fold, r.cell): r.value for r in fit.fold_gram(skewed).collect()}
     monkeypatch.undo()
     many = {(r.fold, r.cell): r.value for r in fit.fold_gram(skewed.repartition(6)).collect()}
@@ -222,3 +222,21 @@ def test_batches_reach_the_model_whole_and_keep_their_keys(spark):
     assert score.score_batches(
         df.limit(1), model, ["embedding"], T.ArrayType(T.DoubleType()), 16, [[2]]
     ).first().prediction
+
+
+def test_ridge_with_a_large_mean_and_rows_without_numbers(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    rows = [(f"s{i}", f"p{i % 4}", [1e8 + float(v)], 2.0 * float(v), -float(v)) for i, v in enumerate(x)]
+    rows += [("bad", "p0", [float("nan")], 1.0, 1.0), ("none", "p1", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "student_id string, prompt_id string, features array<double>, content double, wording double")
+    for models in (fit.fit_logo(df, lam=0.0), fit.fit_all(df, lam=0.0)):
+        for row in models.collect():
+            assert abs(row.weights[0] - (2.0 if row.target == "content" else -1.0)) < 1e-6
+    counted = fit.unusable_rows(df).first()
+    assert (counted.n_rows, counted.n_left_out) == (302, 2)
+    for row in fit.fit_logo_line(df.filter("student_id like 's%'").withColumn("x", F.col("features")[0]), "x").collect():
+        assert abs(row.weights[0] - (2.0 if row.target == "content" else -1.0)) < 1e-6
+    ragged = df.unionByName(df.limit(1).withColumn("features", F.array(F.lit(1.0), F.lit(2.0))))
+    with pytest.raises(Exception, match="unequal lengths"):
+        fit.fit_logo(ragged).collect()
