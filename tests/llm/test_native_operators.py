@@ -244,7 +244,7 @@ SPELLED = [
 
 def test_license_spellings_and_whole_texts(spark):
     mit = dict(licenses.TEXTS)["MIT"]
-    docs = [(i, text, None, None) for i, (_, text) in enumerate(SPELLED)]
+    docs = [(200 + i, text, None, None) for i, (_, text) in enumerate(SPELLED)]
     docs += [
         (50, "Copyright (c) 1999 A. Person\n\n" + mit.upper().replace(" ", "\n"), None, None),
         (51, mit + " And more.", None, None),
@@ -255,7 +255,7 @@ def test_license_spellings_and_whole_texts(spark):
     for cue in (None, licenses.CUE):
         found = {r.doc_id: r for r in licenses.scan_licenses(messy(spark, docs), known, cue).collect() if r.doc_id is not None}
         for i, (name, _) in enumerate(SPELLED):
-            assert found[i].license == name and found[i].n_notices == (name is not None)
+            assert found[200 + i].license == name and found[200 + i].n_notices == (name is not None)
         assert found[50].license == "MIT" and found[51].license is None
         assert found[52].notices == "CC-BY-NC-4.0,MIT" and found[52].license is None
         assert found[4].license is None and found[4].digest == hashlib.md5(b"").hexdigest()
