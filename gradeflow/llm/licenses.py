@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gradeflow.llm.common import broadcast_if_small, lower_ascii
 
 #: Lines dropped before comparison, found after lower-casing.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]|by )|\(c\)|©|all rights reserved)[^\n]*$"
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings, applied in this order to the blank-separated form.
 SPELLINGS = (
