@@ -12,6 +12,9 @@ from gradeflow.functions import vectors
 from gradeflow.operators.folds import ALL
 from gradeflow.schemas import TARGET_COLUMNS
 
+# Model files that one Python worker keeps loaded.
+MODELS_IN_MEMORY = 8
+
 
 def _as_vector(features: str | Sequence[str]) -> Column:
     if isinstance(features, str):
@@ -166,33 +169,45 @@ def score_batches(
     return df.withColumn(out, score(*[F.col(c) for c in input_cols]))
 
 
-def stacked(paths: Sequence[str], load_model: Callable[[str], Callable]) -> Callable:
-    """A ``make_predict_fn`` that puts the outputs of several model files side by side."""
+def keeping(load_model: Callable[[str], Callable], most: int) -> Callable[[str], Callable]:
+    """``load_model`` that keeps the ``most`` models used last, so a worker's memory is bounded."""
+    from functools import lru_cache
+
+    return lru_cache(maxsize=most)(load_model)
+
+
+def stacked(
+    paths: Sequence[str], load_model: Callable[[str], Callable], most: int = MODELS_IN_MEMORY
+) -> Callable:
+    """A ``make_predict_fn`` that puts the outputs of several model files side by side.
+
+    Models are loaded as they are needed and at most ``most`` stay in a worker; with more files,
+    take larger batches, since each batch goes through all of them.
+    """
 
     def make():
-        models = [load_model(path) for path in paths]
+        model = keeping(load_model, most)
 
         def predict(*inputs):
-            return np.concatenate([np.asarray(model(*inputs)) for model in models], axis=1)
+            outputs = [np.asarray(model(path)(*inputs)) for path in paths]
+            return np.concatenate([o.reshape(len(o), -1) for o in outputs], axis=1)
 
         return predict
 
     return make
 
 
-def chosen_per_row(load_model: Callable[[str], Callable]) -> Callable:
+def chosen_per_row(load_model: Callable[[str], Callable], most: int = MODELS_IN_MEMORY) -> Callable:
     """A ``make_predict_fn`` whose first input names the model file of each row."""
 
     def make():
-        loaded = {}
+        model = keeping(load_model, most)
 
         def predict(paths, *inputs):
             result = None
             for path in set(paths):
-                if path not in loaded:
-                    loaded[path] = load_model(path)
                 rows = np.flatnonzero(paths == path)
-                values = np.asarray(loaded[path](*[x[rows] for x in inputs]))
+                values = np.asarray(model(path)(*[x[rows] for x in inputs]))
                 if result is None:
                     result = np.empty((len(paths), values.shape[1]))
                 result[rows] = values

@@ -43,14 +43,16 @@ def rank_sentences(
     )
     by_sentence = text_fn.each_at(texts, tokens_of_each, "pos", "tokens", key)
     tokens = text_fn.each(by_sentence, F.col("tokens"), "token", key, "pos")
+    # each sentence counts its words first, so the window sorts distinct words, not all tokens;
     # the token leads the sort order: it tells rows apart faster than the key does
-    frequency = F.count("*").over(Window.partitionBy("token", key))
+    counted = tokens.groupBy(key, "pos", "token").agg(F.count("*").alias("n"))
+    frequency = F.sum("n").over(Window.partitionBy("token", key))
     scored = (
-        tokens.withColumn("frequency", frequency)
+        counted.withColumn("frequency", frequency)
         .groupBy(key, "pos")
         .agg(
-            F.count("*").alias("n_tokens"),
-            (F.sum("frequency") / F.count("*")).alias("score"),
+            F.sum("n").alias("n_tokens"),
+            (F.sum(F.col("n") * F.col("frequency")) / F.sum("n")).alias("score"),
         )
     )
     by_rank = Window.partitionBy(key).orderBy(F.desc("score"), "pos")

@@ -140,35 +140,49 @@ def predict_with_files(
     input_cols: Sequence[str],
     batch_size: int = 32,
     input_shapes: list[list[int]] | None = None,
+    allow_missing: bool = False,
 ) -> DataFrame:
-    """Submission table from a catalogue of two-target model files of any kind.
+    """Submission table from a catalogue of model files of any kind.
 
-    ``load_model(path)`` returns a function from numpy batches to an ``n x 2`` array.  The rows
-    are read and batched once for all files; their mean is taken inside the row.
+    ``load_model(path)`` returns a function from numpy batches to predictions: two columns for a
+    file without a ``target``, one for a file of a single target.  Each target is the mean over the
+    files that predict it; a target without any is an error unless ``allow_missing``, which leaves
+    it NULL.  The rows are read and batched once for all files.
     """
+    target = F.col("target") if "target" in files.columns else F.lit(None).cast("string")
     # one entry per model file
-    paths = sorted(r.path for r in files.select("path").distinct().collect())
-    if not paths:
+    found = sorted(
+        {(r.path, r.target) for r in files.select("path", target.alias("target")).collect()},
+        key=lambda file: (file[1] or "", file[0]),
+    )
+    if not found:
         raise FileNotFoundError("no model files")
+    places: dict[str, list[int]] = {t: [] for t in TARGET_COLUMNS}
+    width = 0
+    for _, kind in found:
+        for t in [kind] if kind else TARGET_COLUMNS:
+            places[t].append(width)
+            width += 1
+    missing = [t for t in TARGET_COLUMNS if not places[t]]
+    if missing and not allow_missing:
+        raise ValueError(f"no model predicts {missing}")
     scored = score.score_batches(
         data,
-        score.stacked(paths, load_model),
+        score.stacked([path for path, _ in found], load_model),
         input_cols,
         T.ArrayType(T.DoubleType()),
         batch_size,
         input_shapes,
         "stacked",
     )
-    width = len(TARGET_COLUMNS)
 
-    def mean(i: int):
-        picked = F.transform(
-            F.sequence(F.lit(0), F.lit(len(paths) - 1)),
-            lambda m: F.get(F.col("stacked"), m * width + i),
-        )
-        return F.aggregate(picked, F.lit(0.0), lambda total, v: total + v) / len(paths)
+    def mean(at: list[int]):
+        if not at:
+            return F.lit(None).cast("double")
+        picked = F.transform(F.array(*[F.lit(i) for i in at]), lambda i: F.get(F.col("stacked"), i))
+        return F.aggregate(picked, F.lit(0.0), lambda total, v: total + v) / len(at)
 
-    return scored.select("student_id", *[mean(i).alias(t) for i, t in enumerate(TARGET_COLUMNS)])
+    return scored.select("student_id", *[mean(places[t]).alias(t) for t in TARGET_COLUMNS])
 
 
 def out_of_fold_with_files(

@@ -126,3 +126,20 @@ def load_models(spark: SparkSession, folder: str) -> DataFrame:
     if wrong:
         raise ValueError(f"{folder} is not a coefficient table: check {wrong}")
     return coefficients_wide(spark.read.schema(COEFFICIENTS).parquet(folder))
+
+
+def load_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """The models of all runs that ``save_models`` wrote below ``directory``, with their ``run``.
+
+    Only the names of the run folders are listed, one per saved model.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    folders = sorted(s.getPath().toString() for s in listing if s.isDirectory())
+    if not folders:
+        raise FileNotFoundError(f"no saved models below {directory}")
+    runs = [load_models(spark, f).withColumn("run", F.lit(f.rstrip("/").rsplit("/", 1)[-1])) for f in folders]
+    whole = runs[0]
+    for run in runs[1:]:
+        whole = whole.unionByName(run)
+    return whole

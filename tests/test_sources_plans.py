@@ -310,6 +310,53 @@ def test_models_of_several_folds_or_targets(spark):
         spark_queries.score.oof_predict(held_out, twice).collect()
 
 
+def test_all_saved_runs_predict_together(spark, tmp_path):
+    for run, value in (("r1", 1.0), ("r2", 3.0)):
+        rows = [("a", t, 3, value, [0.0]) for t in ("content", "wording")]
+        sinks.save_models(spark.createDataFrame(rows, fit.MODEL_SCHEMA), str(tmp_path), run, "m")
+    models = sinks.load_runs(spark, str(tmp_path))
+    assert {r.run for r in models.collect()} == {"r1-m", "r2-m"}
+    data = spark.createDataFrame([("s", [1.0])], "student_id string, features array<double>")
+    assert workflows.predict(data, models).first()[1:] == (2.0, 2.0)
+    with pytest.raises(FileNotFoundError):
+        sinks.load_runs(spark, str(tmp_path / "r1-m" / "fold=a"))
+
+
+def test_files_of_one_target_average_apart(spark):
+    files = spark.createDataFrame(
+        [("b1", None), ("c1", "content"), ("c2", "content"), ("w1", "wording")], "path string, target string"
+    )
+    values = {"b1": [[1.0, 2.0]], "c1": [[3.0]], "c2": [[5.0]], "w1": [[8.0]]}
+
+    def load_model(path):
+        return lambda x: np.repeat(np.array(values[path]), len(x), axis=0)
+
+    data = spark.createDataFrame([("s1", 0.0), ("s2", 0.0)], "student_id string, x double")
+    rows = workflows.predict_with_files(data, files, load_model, ["x"]).collect()
+    assert sorted(map(tuple, rows)) == [("s1", 3.0, 5.0), ("s2", 3.0, 5.0)]
+    single = files.filter("target = 'content'")
+    with pytest.raises(ValueError, match="wording"):
+        workflows.predict_with_files(data, single, load_model, ["x"])
+    half = workflows.predict_with_files(data, single, load_model, ["x"], allow_missing=True).first()
+    assert (half.content, half.wording) == (4.0, None)
+
+
+def test_workers_keep_few_models():
+    loads = []
+
+    def load_model(path):
+        loads.append(path)
+        return lambda x: np.full((len(x), 1), float(path))
+
+    predict = spark_queries.score.stacked(["1", "2", "3"], load_model, most=3)()
+    for _ in range(2):
+        assert predict(np.zeros(2)).tolist() == [[1.0, 2.0, 3.0]] * 2
+    assert loads == ["1", "2", "3"]
+    predict = spark_queries.score.stacked(["1", "2", "3"], load_model, most=1)()
+    predict(np.zeros(2))
+    assert predict(np.zeros(2)).tolist() == [[1.0, 2.0, 3.0]] * 2
+
+
 # --- rows that must not vanish ---
 
 
