@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeflow.functions import vectors
 from gradeflow.operators.folds import ALL
 from gradeflow.operators.pairs import present
 
@@ -216,7 +217,8 @@ def _summed(partials: Iterator[tuple[str | None, np.ndarray]]) -> Iterator[pa.Re
 
 
 def _partial_grams(n_targets: int):
-    """Products of ``[1, features, targets]`` per fold of the rows of a task."""
+    """Products of ``[1, features, targets]`` per fold of the rows of a task, each row times its
+    weight, the last column."""
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, np.ndarray]]:
         for batch in batches:
@@ -231,6 +233,7 @@ def _partial_grams(n_targets: int):
             z = np.column_stack(
                 [np.ones(batch.num_rows), features.reshape(batch.num_rows, -1), *targets]
             )
+            z *= np.sqrt(columns[2 + n_targets].to_numpy(zero_copy_only=False))[:, None]
             order = np.argsort(codes, kind="stable")
             starts = np.flatnonzero(np.diff(codes[order], prepend=-2))
             for rows in np.split(order, starts[1:]):
@@ -289,11 +292,13 @@ def fold_gram(
     targets: Sequence[str] = ("content", "wording"),
     key: str = "prompt_id",
     means: Column | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Sums of products per fold: ``(fold, cell, value)``.
 
     With ``z = [1, features, targets]`` the cells are the upper triangle of the sum of
-    ``z z'``, row by row; ``means`` are taken off the features first.  Tasks send one partial triangle per fold.  Partials are brought
+    ``z z'``, row by row; ``means`` are taken off the features first, and a row counts ``weight``
+    times (once if not given).  Tasks send one partial triangle per fold.  Partials are brought
     together by fold in partitions of a set size, so those of a hot fold spread over several
     tasks, and are added up there while they stream through; the last step sums what is left as
     plain cells.
@@ -306,6 +311,7 @@ def fold_gram(
         F.col(key).cast("string").alias("fold"),
         values.alias("features"),
         *[F.col(t).cast("double").alias(t) for t in targets],
+        (F.lit(1.0) if weight is None else weight).alias("weight_"),
     )
     layout = "fold string, products array<double>"
     partial = usable.mapInArrow(_partial_grams(len(targets)), layout)
@@ -342,7 +348,7 @@ def _solver(targets: Sequence[str], lam: float):
             {
                 "fold": pdf["fold"].iloc[0],
                 "target": list(targets),
-                "n": round(n),
+                "n": round(float(n)),
                 "intercept": intercept,
                 "weights": [weights[:, j].tolist() for j in range(len(targets))],
             }
@@ -452,6 +458,45 @@ def fit_fold(
     return spark.createDataFrame([row], MODEL_SCHEMA)
 
 
+def fit_robust(
+    df: DataFrame,
+    fold: str,
+    target: str,
+    threshold: float,
+    features: str = "features",
+    lam: float = 0.0,
+    steps: int = 30,
+    key: str = "prompt_id",
+) -> DataFrame:
+    """Regressor of one fold under Huber's loss with an absolute threshold.
+
+    Smooth L1 with the same threshold is this loss divided by it, so the best model is the same.
+    Each step weighs a row by ``min(1, threshold / |error|)`` and solves the weighted least squares
+    from sums of products; the first step is plain least squares.  A step is one pass over the
+    rows: store a narrow feature table first.  The driver sees the sums only.
+    """
+    from gradeflow.operators.folds import fold_split
+
+    if threshold <= 0:
+        raise ValueError("threshold must be positive")
+    train, _ = fold_split(complete_rows(df, [target]), fold, key)
+    train = train.filter(_finite(features)).withColumn("fold_all", F.lit(ALL))
+    x, y = F.col(features).cast("array<double>"), F.col(target).cast("double")
+    means, solve, weight, model = feature_means(train, features), _solver([target], lam), None, None
+    shift = train.select(means.alias("means")).first()
+    if shift is None:
+        raise ValueError("no rows to fit on")
+    for _ in range(steps):
+        # as many numbers as there are pairs of features
+        cells = fold_gram(train, features, [target], "fold_all", means, weight).toPandas()
+        cells["means"] = [shift["means"]] * len(cells)
+        model = solve(cells).iloc[0]
+        error = F.abs(y - vectors.linear(x, vectors.literal(model["weights"]), F.lit(float(model["intercept"]))))
+        weight = F.when(error > threshold, F.lit(float(threshold)) / error).otherwise(1.0)
+    row = (fold, target, train.count(), float(model["intercept"]), [float(w) for w in model["weights"]])
+    return df.sparkSession.createDataFrame([row], MODEL_SCHEMA)
+
+
 def fit_rank(
     pairs: DataFrame,
     target: str,

@@ -79,19 +79,23 @@ def train_fold(
     model_name: str = "ridge",
     save_dir: str | None = None,
     log_path: str | None = None,
+    threshold: float = 0.5,
+    epoch: int = 1,
+    save_strategy: str = "last",
 ) -> tuple[DataFrame, DataFrame | None]:
     """Fit one fold and evaluate it on the prompt left out: ``(models, metrics or None)``.
 
     ``mse``, ``rmse`` and ``mcrmse`` have the same best linear model and share one fit;
-    ``huber`` and ``smoothl1`` are fitted robustly, ``ranking`` on seeded pairs.  Fold
-    ``"all"`` trains on every row and is not evaluated.
+    ``huber`` and ``smoothl1`` are fitted by reweighting with the loss's own ``threshold``,
+    ``ranking`` on seeded pairs.  Fold ``"all"`` trains on every row and is not evaluated.
+    ``save_strategy`` and ``epoch`` are those of ``save_models``.
     """
     targets = target_columns(target)
     train, valid = fold_split(data, fold)
     if loss in ("mse", "rmse", "mcrmse"):
         models = fit.fit_all(train, features, targets, lam)
     elif loss in ("huber", "smoothl1"):
-        one = [fit.fit_fold(train, ALL, t, features, "huber") for t in targets]
+        one = [fit.fit_robust(train, ALL, t, threshold, features) for t in targets]
         models = one[0] if len(one) == 1 else one[0].unionByName(one[1])
     elif loss == "ranking":
         pairing = pairs.pair_rows(train, targets=targets, seed=seed)
@@ -107,9 +111,9 @@ def train_fold(
         predicted = score.predict_ensemble(valid, models, features, targets, prefix="predicted_")
         metrics = evaluate(predicted, target)
     if save_dir is not None:
-        sinks.save_models(models, save_dir, run_id or "run", model_name)
+        sinks.save_models(models, save_dir, run_id or "run", model_name, epoch, save_strategy)
     if log_path is not None and metrics is not None:
-        sinks.append_metrics(sinks.metric_rows(metrics, run_id or "run", 1, 1), log_path)
+        sinks.append_metrics(sinks.metric_rows(metrics, run_id or "run", epoch, epoch), log_path)
     return models, metrics
 
 

@@ -278,6 +278,33 @@ def _ridge(rows: str, lam: float = 1.0, columns: str | None = None) -> str:
     SELECT {columns or RIDGE_COLUMNS} FROM solved"""
 
 
+def _reweighted(target: str, steps: int, threshold: float) -> tuple[str, str]:
+    """CTEs that refine a line by weights min(1, threshold / error), and the last CTE's name."""
+    ctes, line = [], None
+    for step in range(steps):
+        error = f"abs({target} - (SELECT a FROM {line}) - (SELECT b FROM {line}) * log_chars)" if line else "0"
+        rows, line = f"rows_{target}_{step}", f"line_{target}_{step}"
+        previous = f"CASE WHEN {error} > {threshold} THEN {threshold} / {error} ELSE 1.0 END"
+        ctes.append(
+            f"""{rows} AS MATERIALIZED (SELECT log_chars AS x, {target} AS y, {previous} AS w FROM train_x WHERE prompt_id <> 'src3'),
+            mean_{rows} AS MATERIALIZED (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM {rows}),
+            {line} AS MATERIALIZED (
+                SELECT sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS b,
+                       any_value(my) - b * any_value(mx) AS a, count(*) AS n
+                FROM {rows}, mean_{rows})"""
+        )
+    return ", ".join(ctes), line
+
+
+def _huber_steps(steps: int = 3, threshold: float = 0.4) -> str:
+    parts = {t: _reweighted(t, steps, threshold) for t in ("content", "wording")}
+    lines = " UNION ALL ".join(
+        f"SELECT 'src3' AS fold, '{t}' AS target, n, {r('a', 'intercept')}, {r('b', 'slope')} FROM {line}"
+        for t, (_, line) in parts.items()
+    )
+    return f", {', '.join(ctes for ctes, _ in parts.values())} {lines}"
+
+
 RIDGE_COLUMNS = ", ".join(
     ["fold, target, n", r("my - w1 * m1 - w2 * m2", "intercept"), r("w1", "w_chars"), r("w2", "w_tokens")]
 )
@@ -566,6 +593,7 @@ ORACLES: dict[str, str] = {
         "folds",
         "train_x",
     ),
+    "fold_huber_steps": with_(_huber_steps(), "train_x"),
     "fold_squared": with_(
         _ridge(
             """SELECT 'src3' AS fold, log_chars AS x1, log_tokens AS x2, content, wording

@@ -45,6 +45,7 @@ LOG_INTERVAL = 10
 SPELL_THRESHOLD = 5
 RIDGE = 1.0
 DIMENSIONS = 64
+HUBER_THRESHOLD, HUBER_STEPS = 0.4, 3
 LOG_CHARS = 7.0  # near the mean of the feature
 PREDICTED = ["predicted_content", "predicted_wording"]
 TARGETS = ["content", "wording"]
@@ -642,6 +643,15 @@ def fold_huber(spark, sf_dir):
     return two_weights(fold_models(spark, sf_dir, "huber"))
 
 
+@query
+def fold_huber_steps(spark, sf_dir):
+    """Huber's loss with an absolute threshold, by a few reweighting steps that SQL can repeat."""
+    data = train_features(spark, sf_dir).select("prompt_id", *TARGETS, F.array("log_chars").alias("features"))
+    data = checkpointed(spark, data, "features")
+    models = [fit.fit_robust(data, FOLD, t, HUBER_THRESHOLD, steps=HUBER_STEPS) for t in TARGETS]
+    return tidy(model_lines(models[0].unionByName(models[1])))
+
+
 @query
 def fold_squared(spark, sf_dir):
     """The same fit with squared errors, which SQL can solve."""

@@ -240,3 +240,18 @@ def test_ridge_with_a_large_mean_and_rows_without_numbers(spark):
     ragged = df.unionByName(df.limit(1).withColumn("features", F.array(F.lit(1.0), F.lit(2.0))))
     with pytest.raises(Exception, match="unequal lengths"):
         fit.fit_logo(ragged).collect()
+
+
+def test_robust_fit_is_the_least_loss(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 2))
+    y = 1.0 + x @ [0.5, -2.0] + rng.normal(scale=0.1, size=200) + 5.0 * (rng.random(200) < 0.1)
+    rows = [(f"p{i % 3}", [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "prompt_id string, features array<double>, content double")
+    model = fit.fit_robust(df, "all", "content", 0.3, steps=40).first()
+    error = y - model.intercept - x @ np.array(model.weights)
+    slope = np.clip(error, -0.3, 0.3)
+    assert abs(slope.sum()) < 1e-3 and np.abs(slope @ x).max() < 1e-3
+    assert model.n == 200
+    with pytest.raises(ValueError):
+        fit.fit_robust(df, "all", "content", 0.0)
