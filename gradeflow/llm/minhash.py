@@ -7,7 +7,8 @@
 3. Per band key the smallest class is the pivot.  Members meet their pivot, never each other: one
    pair per member and bucket.  Pairs are kept if the similarity estimated by bit counts, corrected
    for chance agreement of two bits, is at most ``SLACK`` below the threshold.  A member unlike its
-   pivot is tried against the whole bucket, so no candidate is lost.
+   pivot is tried against all of a bucket of at most ``WIDE``; in a wider one its pair is kept as it
+   is, for the full sets to decide.  So no candidate is lost and pairs grow with members.
 4. Components of candidate pairs are families: all links lie inside them.  A family is dealt into
    blocks of at most ``BLOCK`` classes, each with a few members common to all blocks; a task joins
    what it can within a block, comparing full shingle sets, and skips pairs already connected.  In
@@ -36,7 +37,7 @@ from gradeflow.session import checkpointed
 
 ROWS, BANDS, BITS = 8, 40, 2
 K = ROWS * BANDS
-SLACK = 0.2
+SLACK, WIDE = 0.2, 16
 #: Classes, and shingles, of one block of a family; members shared by all blocks of a family.
 BLOCK, BLOCK_SHINGLES, SHARED = 256, 4_000_000, 8
 FINGERPRINT = "n long, digest string, bands array<long>, bits array<long>"
@@ -162,12 +163,18 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     )
     pairs = checkpointed(spark, _close(starred.select("a", "b").distinct(), classes, percent), "pairs")
     far = pairs.filter(~F.col("close")).select("a", "b")
-    left = starred.filter("size > 2").join(far, ["a", "b"], "left_semi").select("band", "a")
-    others = starred.filter("size > 2").select("band", F.col("a").alias("b"))
-    more = left.join(others, "band").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.filter("close").select("a", "b").unionByName(
-        _close(more.distinct(), classes, percent).filter("close").select("a", "b")
+    left = starred.filter("size > 2").join(far, ["a", "b"], "left_semi")
+    few = F.col("size") <= WIDE
+    others = starred.filter(few).select("band", F.col("a").alias("b"))
+    more = (
+        left.filter(few)
+        .select("band", "a")
+        .join(others, "band")
+        .filter("a != b")
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     )
+    near = _close(more.distinct(), classes, percent).filter("close").select("a", "b")
+    return pairs.filter("close").select("a", "b").unionByName(near).unionByName(left.filter(~few).select("a", "b"))
 
 
 def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
