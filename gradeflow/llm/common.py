@@ -71,9 +71,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         stars = checkpointed(spark, small, "edges")
         roots = stars.select(F.col("b").alias("a")).distinct()
-        chained = stars.join(roots, "a", "left_semi").limit(1).count()
-        shared = stars.groupBy("a").count().filter("count > 1").limit(1).count()
-        if not chained and not shared:
+        chained = stars.join(roots, "a", "left_semi").select("a")
+        shared = stars.groupBy("a").count().filter("count > 1").select("a")
+        if not chained.unionByName(shared).limit(1).count():
             break
     nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

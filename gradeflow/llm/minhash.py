@@ -270,15 +270,23 @@ def _rooted(documents: DataFrame, n: int, percent: int, doc_id: str, text: str)
         spark,
         prints.filter("n > 0")
         .groupBy("digest")
-        .agg(*[F.min_by(F.struct("textkey", "n", "bands", "bits"), "row").alias("f"), F.min("row").alias("node"), F.count("*").alias("copies")])
+        .agg(
+            F.min_by(F.struct("id", "textkey", "n", "bands", "bits"), "row").alias("f"),
+            F.min("row").alias("node"),
+            F.count("*").alias("copies"),
+        )
         .select("digest", "node", "copies", "f.*"),
         "classes",
     )
     pairs = checkpointed(spark, candidates(classes, percent), "candidates")
     families = connected_components(pairs).withColumnRenamed("root", "family")
-    chosen = families.join(classes.select("node", "textkey", "n", "bits"), "node")
-    texts = documents.select(F.md5(F.col(text)).alias("textkey"), F.col(text).cast("string").alias("text"))
-    members = chosen.join(texts, "textkey").dropDuplicates(["node"]).select("node", "family", "n", "bits", "text")
+    chosen = families.join(classes.select("node", "id", "textkey", "n", "bits"), "node")
+    texts = documents.select(
+        F.col(doc_id).alias("own_id"), F.md5(F.col(text)).alias("own_key"), F.col(text).cast("string").alias("text")
+    )
+    # One row of each class is fetched, not its copies.
+    same = chosen["id"].eqNullSafe(texts["own_id"]) & (chosen["textkey"] == texts["own_key"])
+    members = chosen.join(texts, same).dropDuplicates(["node"]).select("node", "family", "n", "bits", "text")
     links = checkpointed(spark, confirmed_links(checkpointed(spark, members, "members"), n, percent), "links")
     roots = connected_components(links)
     grouped = (

@@ -40,7 +40,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 @query
