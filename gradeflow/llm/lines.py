@@ -144,8 +144,9 @@ def quality(
         _keyed_lines(F.col("host"), F.col("lines")).alias("keyed"),
     )
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    # A head's own key keeps heads apart in the shuffle; without g it meets no line.
     head = F.struct(
-        F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g"), F.lit(None).cast("int").alias("words"),
+        F.xxhash64("row").alias("h"), F.lit(None).cast("int").alias("g"), F.lit(None).cast("int").alias("words"),
         F.struct("id", *measures).alias("m"),
     )
     bare = F.transform(
