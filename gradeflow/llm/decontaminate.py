@@ -88,7 +88,7 @@ def window_hits(
     head = F.struct(
         F.lit(0).alias("length"),
         F.size("words").alias("start"),
-        F.lit(None).cast("long").alias("gram"),
+        F.xxhash64("row").alias("gram"),  # keeps the heads apart in a shuffle; no window has length 0
         F.lit(None).cast("array<string>").alias("near"),
     )
     probes = F.concat(F.array(head), *[_probes(F.col("words"), length) for length in lengths])
@@ -114,7 +114,7 @@ def window_hits(
     )
     tried = found.select(
         "row", "key", "length", "start", F.explode_outer(F.when(F.col("length") > 0, candidates)).alias("c")
-    ).select("row", "key", "length", "start", "c.at", "c.window")
+    ).select("row", "key", "length", "start", "c.at", F.coalesce("c.window", F.col("row").cast("string")).alias("window"))
     span = F.struct(F.col("at"), (F.col("at") + F.col("length")).alias("end"))
     return (
         tried.join(windows, ["length", "window"], "left")
