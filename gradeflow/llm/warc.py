@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from gradeflow.session import scratch_dir
 
-RECORDS = 2000
+#: Records of a WARC file, and of an ARC archive in memory.
+RECORDS, ARC_RECORDS = 2000, 200
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {
@@ -137,13 +138,14 @@ def converted(data: bytes) -> Iterator[tuple]:
 
 
 def archives(pages: DataFrame, version: int = 1, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(arc): ARC archives of the pages as binary values, one per batch of rows."""
+    """(arc): ARC archives of the pages as binary values, one per ``ARC_RECORDS`` rows."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [int(k) if k is not None else None for k in batch["key"]]
-            bodies = [http_block(k, (h or "").encode("utf-8", "surrogatepass")) for k, h in zip(keys, batch["html"], strict=True)]
-            yield pd.DataFrame({"arc": [build_arc(list(zip(batch["url"], bodies, strict=True)), version)]})
+        for whole in batches:
+            for batch in (whole[i : i + ARC_RECORDS] for i in range(0, len(whole), ARC_RECORDS)):
+                keys = [int(k) if k is not None else None for k in batch["key"]]
+                bodies = [http_block(k, (h or "").encode("utf-8", "surrogatepass")) for k, h in zip(keys, batch["html"], strict=True)]
+                yield pd.DataFrame({"arc": [build_arc(list(zip(batch["url"], bodies, strict=True)), version)]})
 
     rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     return rows.mapInPandas(write, "arc binary")
