@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,24 @@ from pyspark.sql import functions as F
 
 GROUP = 4096
 #: Distinct words kept by one task, some 150 bytes each.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+#: Below it, composed form and lower case are those of single characters.
+BEYOND, STOPS = "\u0300", ".,!?;:"
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class ByteSigns(dict):
+    """For ``str.translate``: the signs that stand for the bytes of a character in the vocabulary."""
+
+    def __init__(self, byte_level):
+        super().__init__()
+        self.byte_level = byte_level
+
+    def __missing__(self, code: int) -> str:
+        signs = self[code] = self.byte_level.pre_tokenize_str(chr(code))[0][0]
+        return signs
+
+
 class WordEncoder(dict):
     """Ids of white-space-free words, by word.
 
@@ -40,7 +55,7 @@ class WordEncoder(dict):
     tokenizer.
     """
 
-    PLAIN = re.compile("[!-~¡-˿]+")
+    PLAIN = re.compile("[!-~\u00a1-\u02ff]+")
 
     def __init__(self, path: str):
         import json
@@ -50,21 +65,22 @@ class WordEncoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.parts = Tokenizer(self.whole.model)
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merge = self.whole.model.tokenize
+        self.signs = ByteSigns(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
         self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.dtype = "<u2" if self.whole.get_vocab_size() <= 2**16 else "<u4"
+        self.code = "H" if self.whole.get_vocab_size() <= 2**16 else "I"
         self.part_ids: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         ids = self.part_ids.get(part)
         if ids is None:
-            ids = self.part_ids[part] = self._pack(self.parts.encode(part, add_special_tokens=False).ids)
+            tokens = self.merge(part if part.isascii() else part.translate(self.signs))
+            ids = self.part_ids[part] = self._pack([token.id for token in tokens])
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -72,8 +88,14 @@ class WordEncoder(dict):
             self.clear()
         if len(self.part_ids) >= CACHED_WORDS:
             self.part_ids.clear()
-        if self.PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join(map(self._part, self.cut(word.lower())))
+        lower = word.lower()
+        body = lower[:-1]
+        if lower.isalpha() and (lower.isascii() or max(lower) < BEYOND):
+            ids = self._part(lower)  # letters alone are one part
+        elif body.isalpha() and lower[-1] in STOPS and (body.isascii() or max(body) < BEYOND):
+            ids = self._part(body) + self._part(lower[-1])
+        elif self.PLAIN.fullmatch(word) and "<|" not in word:
+            ids = b"".join(map(self._part, self.cut(lower)))
         else:
             ids = self._pack(self.whole.encode(word, add_special_tokens=False).ids) if word else b""
         if len(word) <= 64:
@@ -82,7 +104,7 @@ class WordEncoder(dict):
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         words = (text or "").replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + self._pack([end]), self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)) + self._pack([end]), self.code)
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -157,7 +179,7 @@ def pack_tails(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 
 
 def _tokens_udf(path: str, end: int, capacity: int):
-    @F.pandas_udf("n long, whole array<long>, tail binary, width int")
+    @F.pandas_udf("n long, whole array<long>, tail binary, code string")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(path)  # once per task
         for texts in batches:
@@ -166,8 +188,8 @@ def _tokens_udf(path: str, end: int, capacity: int):
                 ids = encoder.encode(text, end)
                 cut = len(ids) // capacity * capacity
                 whole = [checksum(ids[i : i + capacity]) for i in range(0, cut, capacity)]
-                rows.append((len(ids), whole, ids[cut:].tobytes(), ids.itemsize))
-            yield pd.DataFrame(rows, columns=["n", "whole", "tail", "width"])
+                rows.append((len(ids), whole, ids[cut:].tobytes(), ids.dtype.char))
+            yield pd.DataFrame(rows, columns=["n", "whole", "tail", "code"])
 
     return tokens
 
@@ -181,7 +203,7 @@ def _pack_group(capacity: int):
             for k, crc in enumerate(whole):
                 rows.append((doc, k * capacity, capacity, crc, n, number, 0))
                 number += 1
-        tails = [np.frombuffer(t, f"<u{w}") for t, w in zip(group["tail"], group["width"], strict=True)]
+        tails = [np.frombuffer(t, c) for t, c in zip(group["tail"], group["code"], strict=True)]
         filled = [i for i, tail in enumerate(tails) if len(tail)]
         for sequence in pack_tails([len(tails[i]) for i in filled], capacity):
             offset = 0
