@@ -1,7 +1,8 @@
 """The corpus pipeline: language, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes all rows its predecessor kept, as written to Parquet, and all but the last return
-the columns of ``documents``.  The stages use the operators with the parameters of their queries.
+the columns of ``documents``.  The stages use the operators with the parameters of their queries,
+but near-duplicates are documents that share 0.8 of their shingles of five words.
 ``n_chars`` follows a text that a stage changed.
 """
 
@@ -27,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, n=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

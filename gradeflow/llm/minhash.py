@@ -1,7 +1,7 @@
 """Near-duplicate detection: b-bit MinHash with bands, exact confirmation and components.
 
 1. ``fingerprints``: per text the set of hashed word shingles, its 128-bit digest, ``K`` minima of
-   permuted hashes, ``BANDS`` band keys of ``ROWS`` minima each, and the lowest two bits of every
+   permuted hashes, band keys of :func:`rows_for` minima each, and the lowest two bits of every
    minimum packed into 64-bit words.  Stored once in the shared folder.
 2. Texts with equal sets form a class; only classes go on, so copies cost one row each.
 3. Per band key the smallest class is the pivot.  Members meet their pivot, never each other: one
@@ -16,8 +16,8 @@
    work on a large group of near copies is linear unless it falls into many parts.
 5. Components of confirmed links give each document the smallest id reachable.
 
-A linked pair with similarity s is missed with probability (1 - s^ROWS)^BANDS, 3e-6 at 0.85, below
-1e-9 from 0.9 on.
+A linked pair with similarity s is missed with probability (1 - s^rows)^bands.  At the threshold that
+is at most ``MISSED``: 3e-6 at 0.85 (8 minima a band, 40 bands), 1e-7 at 0.80 (6 minima, 53 bands).
 
 Nulls and empties: a null or wordless text has an empty set and is linked with nothing.  A null id
 counts as larger than any other; a component of null ids has a null ``component_id``.  Of repeated
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from gradeflow.llm.common import connected_components
 from gradeflow.session import checkpointed
 
-ROWS, BANDS, BITS = 8, 40, 2
-K = ROWS * BANDS
+K, BITS = 320, 2
+#: The highest probability of missing a pair at the threshold.
+MISSED = 1e-5
 SLACK, WIDE = 0.2, 16
 #: Classes, and shingles, of one block of a family; members shared by all blocks of a family.
 BLOCK, BLOCK_SHINGLES, SHARED = 256, 4_000_000, 8
@@ -90,14 +91,21 @@ def pack_bits(least: np.ndarray) -> np.ndarray:
     return np.concatenate(planes).view(np.int64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
+def rows_for(percent: int) -> int:
+    """The most minima a band may have for pairs at the threshold to be missed by ``MISSED`` at most."""
+    fits = [r for r in range(1, K + 1) if (1 - (percent / 100) ** r) ** (K // r) <= MISSED]
+    return max(fits, default=1)
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    bands = K // rows
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for part in least[: bands * rows].reshape(bands, rows).T:
         keys = _mix(keys * np.uint64(31) + part.astype(np.uint64))
     return keys.view(np.int64)
 
 
-def _fingerprint_udf(n: int):
+def _fingerprint_udf(n: int, band_rows: int):
     @F.pandas_udf(FINGERPRINT)
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
         import xxhash
@@ -108,7 +116,7 @@ def _fingerprint_udf(n: int):
             shingles = shingle_set(text, n)
             if len(shingles):
                 least = minima(shingles, factors, shifts)
-                rows.append((len(shingles), xxhash.xxh3_128_hexdigest(shingles.tobytes()), band_keys(least), pack_bits(least)))
+                rows.append((len(shingles), xxhash.xxh3_128_hexdigest(shingles.tobytes()), band_keys(least, band_rows), pack_bits(least)))
             else:
                 rows.append((0, None, None, None))
         return pd.DataFrame(rows, columns=["n", "digest", "bands", "bits"])
@@ -116,13 +124,15 @@ def _fingerprint_udf(n: int):
     return fingerprint
 
 
-def fingerprints(documents: DataFrame, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(
+    documents: DataFrame, n: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Stored (row, id, textkey, n, digest, bands, bits), one row per document; ``row`` is unique."""
     prints = documents.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).alias("id"),
         F.md5(F.col(text)).alias("textkey"),
-        _fingerprint_udf(n)(F.col(text).cast("string")).alias("f"),
+        _fingerprint_udf(n, rows_for(percent))(F.col(text).cast("string")).alias("f"),
     ).select("row", "id", "textkey", "f.*")
     return checkpointed(documents.sparkSession, prints, "fingerprints")
 
@@ -265,7 +275,7 @@ def confirmed_links(members: DataFrame, n: int, percent: int) -> DataFrame:
 def _rooted(documents: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Fingerprints with ``root``, the component as the smallest row of a class in it."""
     spark = documents.sparkSession
-    prints = fingerprints(documents, n, doc_id, text)
+    prints = fingerprints(documents, n, percent, doc_id, text)
     classes = checkpointed(
         spark,
         prints.filter("n > 0")

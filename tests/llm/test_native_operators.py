@@ -160,6 +160,29 @@ def test_dropping_near_duplicates_keeps_one_row_each(spark):
     assert minhash.near_duplicates(messy(spark, [(1, None, None, None), (2, None, None, None)])).filter("kept").count() == 2
 
 
+def test_pipeline_stage_links_blocks_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    rng, docs = random.Random(8), []
+    for i in range(60):  # one block replaced: 0.80 to 0.85 of the five-word shingles are shared
+        base, size = prose(rng, 200, 3000), 17 + i % 5
+        docs += [(2 * i, base, "en", "a"), (2 * i + 1, " ".join(base.split()[:-size]) + " " + prose(rng, size, 3000), "en", "a")]
+    for i in range(60, 90):  # scattered edits: linked by shingles of three words only
+        docs += [(2 * i + j, t, "en", "a") for j, t in enumerate(near_copies(i, 2, 3))]
+    sets = {d: shingles(t, 5) for d, t, *_ in docs}
+    share = {d: len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in range(0, 180, 2)}
+    assert all(0.8 <= share[d] < 0.85 for d in range(0, 120, 2)) and any(share[d] < 0.8 for d in range(120, 180, 2))
+    left = corpus_pipeline.one_of_each(spark, messy(spark, docs), "")
+    assert {r.doc_id for r in left.collect()} == {d for d in sets if d % 2 == 0 or share[d - 1] < 0.8}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bands_miss_few_pairs_at_the_threshold(percent):
+    rows = minhash.rows_for(percent)
+    assert (1 - (percent / 100) ** rows) ** (minhash.K // rows) <= minhash.MISSED
+    assert minhash.rows_for(85) == 8
+
+
 def test_estimate_is_corrected_for_chance():
     import numpy as np
 
