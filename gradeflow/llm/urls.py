@@ -2,9 +2,8 @@
 
 1. Rules (verdict, host, path) fit their host and all subdomains if the path starts with theirs; the
    longest fitting rule decides, and labels its page for the tree.
-2. Every path becomes a template: segments with digits become wildcards, keeping a file ending, and
-   what lies deeper than ``DEPTH`` segments becomes one wildcard.  Pages are counted per (host, template), and
-   only these counts go on.
+2. Every path becomes a template of all its segments: those with digits become wildcards, keeping a file
+   ending.  Pages are counted per (host, template), and only these counts go on.
 3. Level by level, where a branch of a host has at least ``FAN`` different literal segments with fewer than
    ``REUSE`` pages each on average, its segments are variable too and become one wildcard.
 4. Sibling branches whose labelled share of rejected pages lies surely on the same side of one half (a
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 from gradeflow.llm.common import lower_ascii
 from gradeflow.session import checkpointed
 
-DEPTH, FAN, REUSE, PRIOR_PAGES, REJECT, BASE_RATE = 6, 20, 3, 5.0, 0.8, 0.1
+FAN, REUSE, PRIOR_PAGES, REJECT, BASE_RATE = 20, 3, 5.0, 0.8, 0.1
+#: No path is cut: as many segments as an array can hold.
+DEPTH = 2**31 - 1
 #: Rules are literals of the plan; longer lists belong in a table.
 MAX_RULES = 200
 
@@ -51,18 +52,31 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def template_of(path: Column) -> Column:
-    """Segments with digits as wildcards, at most ``DEPTH`` and one for all below."""
+    """All segments, those with digits as wildcards."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
     ending = r"^.*[0-9].*?(\.[A-Za-z]{1,5})?$"
-    wild = F.transform(F.slice(segments, 1, DEPTH), lambda s: F.regexp_replace(s, ending, "*$1"))
-    return F.when(F.size(segments) > DEPTH, F.concat(wild, F.array(F.lit("**")))).otherwise(wild)
+    return F.transform(segments, lambda s: F.regexp_replace(s, ending, "*$1"))
+
+
+def _variable_depth(templates: DataFrame) -> int:
+    """The deepest level a host has ``FAN`` templates at; below it no segment can be variable."""
+    sizes = templates.groupBy("host", F.size("segments").alias("size")).agg(F.count("*").alias("n"))
+    reach = sizes.groupBy("host").agg(F.collect_list(F.struct("size", "n")).alias("sizes"))
+    deeper = F.transform(
+        "sizes",
+        lambda x: F.struct(
+            x["size"].alias("size"),
+            F.aggregate("sizes", F.lit(0).cast("long"), lambda n, y: n + F.when(y["size"] >= x["size"], y["n"]).otherwise(0)).alias("n"),
+        ),
+    )
+    deepest = F.array_max(F.transform(F.filter(deeper, lambda x: x["n"] >= FAN), lambda x: x["size"]))
+    return reach.agg(F.max(deepest)).first()[0] or 0
 
 
 def _generalised(templates: DataFrame) -> DataFrame:
     """``templates`` with variable literal segments of ``segments`` as wildcards, level by level."""
     spark = templates.sparkSession
-    depth = templates.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):
+    for level in range(_variable_depth(templates)):
         here = F.slice("segments", 1, level)
         segment = F.col("segments")[level]
         literal = (F.size("segments") > level) & ~segment.startswith("*")
@@ -77,7 +91,7 @@ def _generalised(templates: DataFrame) -> DataFrame:
             .filter((F.col("fan") >= FAN) & (F.col("pages") < REUSE * F.col("fan")))
             .select("host", "above", F.lit(True).alias("variable"))
         )
-        wild = F.concat(here, F.array(F.lit("*")), F.slice("segments", level + 2, DEPTH + 1))
+        wild = F.concat(here, F.array(F.lit("*")), F.slice("segments", level + 2, DEPTH))
         templates = checkpointed(
             spark,
             templates.withColumn("above", here)

@@ -167,6 +167,21 @@ def test_url_templates_match_brute_force(spark):
     assert urls.judge_urls(frame.limit(0), RULES).count() == 0
 
 
+def test_deep_branches_are_judged_apart(spark):
+    deep = "http://net/" + "/".join("abcdefghij")
+    pages = [f"{deep}/es/{i}" for i in range(300)] + [f"{deep}/en/{i}" for i in range(300)]
+    pages += [f"http://o.org/{'x/' * 8}{format(i, 'b').translate(str.maketrans('01', 'uv'))}/{j}" for i in range(30) for j in range(2)]
+    pages.append("http://one.org" + "/s" * 300)
+    rules = [("block", "net", f"/{'/'.join('abcdefghij')}/es/{d}") for d in range(1, 10)] + [("allow", "net", f"/{'/'.join('abcdefghij')}/en/{d}") for d in range(1, 10)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    found = {r.page_id: r for r in urls.judge_urls(frame, rules).collect()}
+    assert len(found) == len(pages)
+    assert found[0].rule is None and found[0].verdict == "block" and found[0].template.endswith("/j/es/*")
+    assert found[300].rule is None and found[300].verdict == "allow" and found[300].template.endswith("/j/en/*")
+    assert {found[i].template for i in range(600, 660)} == {"/" + "x/" * 8 + "*/*"}
+    assert found[660].template == "/s" * 300
+
+
 # --- archives ---
 
 
