@@ -12,6 +12,9 @@ several names yield the smallest name.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 #: Each notice and text listed here has one of these words, and SPELLINGS never make one.
-CUE = r"(?i)under|permission"
+CUE = r"(?i)under|permission|redistribution"
 TEXTS = (
     (
         "MIT",
@@ -92,9 +95,45 @@ def canonical(text: Column) -> Column:
     return F.trim(form)
 
 
+#: Public full texts, one file by SPDX name.
+FULL_TEXTS = Path(__file__).parent / "license_texts"
+#: Usual titles of texts that do not begin with their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "BSD-3-Clause-UC": ("BSD License", "BSD 3-Clause License"),
+}
+FURTHER_NOTICES = (
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+)
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _forms(name: str, text: str) -> set[str]:
+    """A full text with and without its title, and with and without what follows its terms."""
+    whole = [text]
+    if END in text:
+        terms, _, _ = text.partition(END)
+        whole += [terms, terms + END]
+    if name in TITLES:
+        return {form for body in whole for form in (body, *(f"{title}\n\n{body}" for title in TITLES[name]))}
+    return {form for body in whole for form in (body, re.split(r"\n[ \t]*\n", body.strip(), maxsplit=1)[-1])}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of all notices, and of all full texts in each of their forms."""
+    files = [(path.stem, path.read_text("utf-8")) for path in sorted(FULL_TEXTS.glob("*.txt"))]
+    full = [(name, form) for name, text in (*TEXTS, *files) for form in sorted(_forms(name, text))]
+    return [*NOTICES, *FURTHER_NOTICES, *full]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license, text) of the texts listed here; any table of that form can stand in for it."""
-    return spark.createDataFrame([*NOTICES, *TEXTS], "license string, text string")
+    """(license, text) of the texts known here; any table of that form can stand in for it."""
+    return spark.createDataFrame(known_texts(), "license string, text string")
 
 
 def license_digests(licenses: DataFrame) -> DataFrame:

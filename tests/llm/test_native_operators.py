@@ -284,3 +284,26 @@ def test_license_spellings_and_whole_texts(spark):
         assert found[4].license is None and found[4].digest == hashlib.md5(b"").hexdigest()
     assert licenses.scan_licenses(messy(spark, []), known).count() == 0
     assert licenses.scan_licenses(messy(spark), known.limit(0)).filter("license is not null").count() == 0
+
+
+def test_full_license_texts_with_and_without_titles(spark):
+    import re
+
+    files = {path.stem: path.read_text("utf-8") for path in licenses.FULL_TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0"} <= set(files)
+    assert all(re.search(licenses.CUE, text) for _, text in licenses.known_texts())
+    mit, isc = (dict(licenses.TEXTS)[x] for x in ("MIT", "ISC"))
+    cases = [(name, text.replace("\n", " \n")) for name, text in files.items()]
+    cases += [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\n\n" + mit),
+        ("ISC", "ISC License\n\nCopyright (c) 2020 A. Person\n\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + files["BSD-3-Clause"]),
+        ("GPL-3.0", files["GPL-3.0"].split("END OF TERMS")[0]),
+        ("Apache-2.0", files["Apache-2.0"].split("http://www.apache.org/licenses/\n", 1)[1]),
+        (None, files["GPL-3.0"][:3000]),
+        (None, "MIT License"),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(docs, licenses.known_licenses(spark), licenses.CUE).collect()}
+    assert [found[i] for i in range(len(cases))] == [name for name, _ in cases]
