@@ -148,19 +148,35 @@ def line_statistics(
     """Squared errors of every fold under the line fitted on all others, from sums alone.
 
     The error of a line is a quadratic form of a fold's count, sums and sums of products, so the
-    rows are read once and neither models nor predictions are made.  Give a ``centre`` near the mean
-    of a feature whose mean is large against its spread.  One row per fold with rows elsewhere:
+    rows are read once and neither models nor predictions are made.  Lines are fitted on rows that have
+    all targets and the feature; a target's errors are those of all rows that have it and the feature, and
+    ``n_rows`` counts every row.  Give a ``centre`` near the mean
+    of a feature whose mean is large against its spread.  One row per fold with complete rows here and elsewhere:
     ``fold, n_rows, <target>_sum, <target>_n``.
     """
     x = F.col(feature).cast("double") - F.lit(float(centre))
     ys = {t: F.col(t).cast("double") for t in targets}
-    per_fold = complete_rows(df, [*targets, feature]).groupBy(F.col(key).alias("fold")).agg(
-        F.count("*").alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(x * x).alias("sxx"),
-        *[F.sum(y).alias(f"sy_{t}") for t, y in ys.items()],
-        *[F.sum(y * y).alias(f"syy_{t}") for t, y in ys.items()],
-        *[F.sum(x * y).alias(f"sxy_{t}") for t, y in ys.items()],
+    complete = present(feature)
+    for t in targets:
+        complete = complete & present(t)
+
+    def total_of(rows: Column, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, value)), F.lit(0.0))
+
+    def own(t: str) -> list[Column]:
+        rows, y = present(feature) & present(t), ys[t]
+        parts = {"sx": x, "sxx": x * x, "sy": y, "syy": y * y, "sxy": x * y}
+        count = F.count(F.when(rows, 1)).alias(f"own_n_{t}")
+        return [count, *[total_of(rows, v).alias(f"own_{name}_{t}") for name, v in parts.items()]]
+
+    per_fold = df.groupBy(F.col(key).alias("fold")).agg(
+        F.count("*").alias("n_rows"),
+        F.count(F.when(complete, 1)).alias("n"),
+        total_of(complete, x).alias("sx"),
+        total_of(complete, x * x).alias("sxx"),
+        *[total_of(complete, y).alias(f"sy_{t}") for t, y in ys.items()],
+        *[total_of(complete, x * y).alias(f"sxy_{t}") for t, y in ys.items()],
+        *[c for t in targets for c in own(t)],
     )
     names = [c for c in per_fold.columns if c != "fold"]
     total = per_fold.agg(*[F.sum(c).alias(c) for c in names]).select(F.struct(*names)).scalar()
@@ -175,16 +191,17 @@ def line_statistics(
         slope = F.coalesce(slope, F.lit(0.0))
         start = my - slope * mx
         error = (
-            F.col(f"syy_{t}") - 2 * start * F.col(f"sy_{t}") - 2 * slope * F.col(f"sxy_{t}")
-            + F.col("n") * start * start + 2 * start * slope * F.col("sx") + slope * slope * F.col("sxx")
+            F.col(f"own_syy_{t}") - 2 * start * F.col(f"own_sy_{t}") - 2 * slope * F.col(f"own_sxy_{t}")
+            + F.col(f"own_n_{t}") * start * start + 2 * start * slope * F.col(f"own_sx_{t}")
+            + slope * slope * F.col(f"own_sxx_{t}")
         )
         return F.greatest(error, F.lit(0.0))
 
-    return folds.filter(rest("n") > 0).select(
+    return folds.filter((F.col("n") > 0) & (rest("n") > 0)).select(
         "fold",
-        F.col("n").alias("n_rows"),
+        "n_rows",
         *[squared_error(t).alias(f"{t}_sum") for t in targets],
-        *[F.col("n").alias(f"{t}_n") for t in targets],
+        *[F.col(f"own_n_{t}").alias(f"{t}_n") for t in targets],
     )
 
 

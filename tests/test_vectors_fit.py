@@ -255,3 +255,19 @@ def test_robust_fit_is_the_least_loss(spark):
     assert model.n == 200
     with pytest.raises(ValueError):
         fit.fit_robust(df, "all", "content", 0.0)
+
+
+def test_report_from_sums_scores_rows_with_one_target(spark):
+    from gradeflow.operators import evaluate, fit, score
+
+    nan = float("nan")
+    rows = [(f, float(i), 0.5 * i + (i * i) % 7, 2.0 - 0.1 * i + i % 3) for i, f in enumerate("aaaabbbbccccc")]
+    rows += [("a", 3.5, None, 4.0), ("b", 2.5, 9.0, nan), ("c", None, 1.0, 1.0), ("c", nan, 1.0, 1.0), ("d", 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "prompt_id string, x double, content double, wording double")
+    scored = score.oof_predict(df, fit.fit_logo_line(df, "x"), ["x"])
+    by_rows = {(r.level, r.fold): r for r in evaluate.score_report(scored).collect()}
+    by_sums = {(r.level, r.fold): r for r in evaluate.report_from_statistics(fit.line_statistics(df, "x", centre=5.0)).collect()}
+    assert by_rows.keys() == by_sums.keys() and by_sums["fold", "a"].n_rows == 5 and by_sums["fold", "c"].n_rows == 7
+    for level, r in by_rows.items():
+        assert by_sums[level].n_rows == r.n_rows
+        assert all(abs(by_sums[level][s] - r[s]) < 1e-9 for s in evaluate.SCORES)
