@@ -9,7 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import decontaminate, langid, licenses, lines, minhash, packing, pii, toxicity, urls, warc
+from gradeflow.llm import (
+    decontaminate,
+    langid,
+    licenses,
+    lines,
+    minhash,
+    packing,
+    pii,
+    planes,
+    secrets,
+    toxicity,
+    urls,
+    variants,
+    warc,
+)
 from gradeflow.llm.sql import ORACLES
 
 QUERIES = {}
@@ -114,4 +128,36 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def misspelt(doc_id: Column, run: Column, one_in: int = 31) -> Column:
+    """``run``, or, for one in so many by the hash of id and run, ``run`` without one code point."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    return F.when(h % one_in == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs_of(table(spark, sf_dir, "documents"), min_length=7)
+    counted = variants.count_words(runs, misspelt(F.col("doc_id"), F.col("run")), min_length=7, min_count=2)
+    return variants.group_variants(counted, min_ratio=10)
+
+
+@query
+def op13_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = planes.cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    return planes.with_inertia(assigned, centroids)
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -158,10 +158,95 @@ SELECT p.page_id, payload_bytes::BIGINT AS payload_bytes, {_QUAD} AS payload_dig
 FROM page p JOIN winner w USING (hex)
 """
 
+_RUN = "'[a-zÀ-ÿ]{7,}'"
+
+#: CRC-32 byte by byte, from a table of 256 remainders.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, bit:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS remainders
+), run AS (
+  SELECT doc_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, {_RUN})) AS run FROM documents
+), hashed AS (
+  SELECT run, xor(4294967295, list_reduce(
+    list_transform(range(strlen(key)), lambda b: ('0x' || substr(hex(key), 2 * b + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+  FROM (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM run), crc
+), damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed
+), counted AS (
+  SELECT word, count(*) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM counted)
+), near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n
+  FROM cut x JOIN cut y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN counted y ON x.head || x.tail = y.word
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN counted y ON x.head || x.tail = y.word
+), best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place
+  FROM near
+), formed AS (
+  SELECT c.word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM counted c LEFT JOIN best b ON c.word = b.word AND place = 1
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed r ON c.root = r.word WHERE r.form IS NULL
+"""
+
+
+def _round(number: int) -> str:
+    return f"""
+), assigned{number} AS (
+  SELECT row, vec_id, c, k, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, k) AS place FROM (
+      SELECT row, vec_id, c, k, list_inner_product(c, c) + list_inner_product(m, m) - 2 * list_inner_product(c, m) AS distance
+      FROM kept, centroid{number}
+    )
+  ) WHERE place = 1"""
+
+
+def _moved(number: int) -> str:
+    return f"""
+), total{number} AS (
+  SELECT k, j, sum(c[j]::BIGINT) AS s, count(*) AS n
+  FROM (SELECT k, c, unnest(range(1, 65)) AS j FROM assigned{number}) GROUP BY k, j
+), centroid{number + 1} AS (
+  SELECT o.k, coalesce(t.m, o.m) AS m FROM centroid{number} o LEFT JOIN (
+    SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS m FROM total{number} GROUP BY k
+  ) t ON o.k = t.k"""
+
+
+BIT_PLANE_CLUSTERS = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS c
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = 64
+), centroid0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, c AS m
+  FROM (SELECT sha256('1:' || vec_id) AS h, c FROM kept ORDER BY h LIMIT 16){"".join(_round(r) + _moved(r) for r in range(3))}{_round(3)}
+), digest AS (
+  SELECT k, sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM centroid3
+)
+SELECT vec_id, a.k::INT AS cluster, distance::BIGINT AS distance,
+  (sum(distance) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  centroid_sha256
+FROM assigned3 a JOIN digest d ON a.k = d.k
+"""
+
 ORACLES = {
     "op1_license_scan": LICENSE_SCAN,
     "op2_decontamination": DECONTAMINATION,
     "op3_minhash_dedup": NEAR_DUPLICATES,
     "op6_arc_to_warc": ARC_TO_WARC,
     "op10_line_quality": LINE_QUALITY,
+    "op12_spelling_variants": SPELLING_VARIANTS,
+    "op13_bit_plane_clusters": BIT_PLANE_CLUSTERS,
 }

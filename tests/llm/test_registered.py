@@ -16,7 +16,7 @@ SMALL = f"{TESTDATA}/sf0.001"
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(contract.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
