@@ -168,7 +168,7 @@ DEPENDS = {
 }
 
 
-def with_(body: str, *names: str) -> str:
+def with_(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` preceded by the named CTEs and all they build on."""
     ordered: list[str] = []
 
@@ -181,7 +181,7 @@ def with_(body: str, *names: str) -> str:
     for name in names:
         add(name)
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in ordered)
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 # ``+ 1e-10`` below shifts means of two-decimal values off exact rounding ties, as on the Spark side.
@@ -248,17 +248,18 @@ THREE = ", ".join([r("(c + w) / 2", "MCRMSE"), r("c", "ContentRMSE"), r("w", "Wo
 
 
 def _report(source: str) -> str:
-    return with_(
-        f""", per_fold AS (SELECT prompt_id AS fold, count(*) AS n_rows, {SCORES} FROM {source} GROUP BY 1),
+    return with_(_report_body(source), source)
+
+
+def _report_body(source: str) -> str:
+    return f""", per_fold AS (SELECT prompt_id AS fold, count(*) AS n_rows, {SCORES} FROM {source} GROUP BY 1),
         levels AS (
             SELECT 'fold' AS level, fold, n_rows, (c + w) / 2 AS m, c, w FROM per_fold
             UNION ALL SELECT 'cv', NULL, CAST(sum(n_rows) AS BIGINT), avg((c + w) / 2), avg(c), avg(w) FROM per_fold
             UNION ALL SELECT 'oof', NULL, n, (c + w) / 2, c, w
             FROM (SELECT count(*) AS n, {SCORES} FROM {source}))
         SELECT level, fold, n_rows, {r("m", "MCRMSE")}, {r("c", "ContentRMSE")}, {r("w", "WordingRMSE")}
-        FROM levels""",
-        source,
-    )
+        FROM levels"""
 
 
 def _ridge(rows: str, lam: float = 1.0, columns: str | None = None) -> str:
@@ -305,6 +306,78 @@ def _huber_steps(steps: int = 3, threshold: float = 0.4) -> str:
     return f", {', '.join(ctes for ctes, _ in parts.values())} {lines}"
 
 
+def _word_ridge(size: int, lam: float, value: str, steps: int, scaled: bool) -> str:
+    """CTEs up to word_oof: held-out predictions of ridge models on word counts, by conjugate gradients.
+
+    Each step joins every model with all words of its rows.  ``value`` is the number of a word seen
+    ``n`` times; ``scaled`` divides residuals by the diagonal.
+    """
+    by = "/ d" if scaled else ""
+    diagonal = (
+        f"""SELECT fold, id, coalesce(s2, 0) - s1 * s1 / n + {lam} AS d FROM (
+            SELECT fold, id, n, s1, (SELECT sum(v * v) FROM x WHERE x.id = c.id AND x.prompt_id <> c.fold) AS s2
+            FROM centre c)"""
+        if scaled
+        else "SELECT fold, id, 1.0 AS d FROM centre"
+    )
+    return f""", word_counts AS MATERIALIZED (
+        SELECT student_id, token, count(*) AS n
+        FROM (SELECT student_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM train)
+        WHERE token NOT IN ('<title>', '<text>', '<question>', '<summary>', '<reference>') GROUP BY 1, 2),
+    words AS MATERIALIZED (
+        SELECT token, row_number() OVER (ORDER BY sum(n) DESC, token) AS id
+        FROM word_counts GROUP BY token ORDER BY sum(n) DESC, token LIMIT {size}),
+    labelled AS MATERIALIZED (SELECT student_id, prompt_id, content, wording FROM train),
+    x AS MATERIALIZED (
+        SELECT student_id, prompt_id, id, CAST({value} AS DOUBLE) AS v
+        FROM word_counts JOIN words USING (token) JOIN labelled USING (student_id)),
+    y AS MATERIALIZED (
+        SELECT student_id, prompt_id, 'content' AS target, content AS y FROM labelled
+        UNION ALL SELECT student_id, prompt_id, 'wording', wording FROM labelled),
+    mean_y AS MATERIALIZED (
+        SELECT fold, target, count(*) AS n, avg(y) AS my FROM folds JOIN y ON prompt_id <> fold GROUP BY 1, 2),
+    centre AS MATERIALIZED (
+        SELECT f.fold, w.id, f.n, coalesce(s.s1, 0) AS s1 FROM (SELECT DISTINCT fold, n FROM mean_y) f
+        CROSS JOIN words w
+        LEFT JOIN (SELECT fold, id, sum(v) AS s1 FROM folds JOIN x ON prompt_id <> fold GROUP BY 1, 2) s
+        ON s.fold = f.fold AND s.id = w.id),
+    diagonal AS MATERIALIZED ({diagonal}),
+    start AS MATERIALIZED (
+        SELECT c.fold, m.target, c.id, c.n, c.s1, d.d, coalesce(xy, 0) - s1 * my AS b
+        FROM centre c JOIN mean_y m USING (fold) JOIN diagonal d USING (fold, id)
+        LEFT JOIN (SELECT fold, target, id, sum(v * y) AS xy FROM folds JOIN x ON x.prompt_id <> fold
+                   JOIN y USING (student_id) GROUP BY 1, 2, 3) p USING (fold, target, id)),
+    steps AS (
+        SELECT 0 AS step, fold, target, id, n, s1, d, CAST(0 AS DOUBLE) AS w, b AS r, b {by} AS p FROM start
+        UNION ALL
+        SELECT step + 1, fold, target, id, n, s1, d, w, r, r {by} + lower_ / nullif(height, 0) * p FROM (
+            SELECT *, sum(r * r {by}) OVER (PARTITION BY fold, target) AS lower_ FROM (
+                SELECT step, fold, target, id, n, s1, d, p, height, w + a * p AS w, r - a * q AS r FROM (
+                    SELECT *, coalesce(height / nullif(sum(p * q) OVER (PARTITION BY fold, target), 0), 0) AS a FROM (
+                        SELECT s.*, sum(r * r {by}) OVER (PARTITION BY fold, target) AS height,
+                               coalesce(xxp, 0) - s1 / n * sum(s1 * p) OVER (PARTITION BY fold, target) + {lam} * p AS q
+                        FROM steps s LEFT JOIN (
+                            SELECT fold, target, x.id, sum(x.v * xp) AS xxp
+                            FROM (SELECT fold, target, student_id, sum(v * p) AS xp
+                                  FROM steps JOIN x USING (id) WHERE prompt_id <> fold GROUP BY 1, 2, 3)
+                            JOIN x USING (student_id) GROUP BY 1, 2, 3) USING (fold, target, id)))))
+        WHERE step < {steps}),
+    weights AS MATERIALIZED (SELECT * FROM steps WHERE step = {steps}),
+    offsets AS (
+        SELECT fold, target, my - m AS intercept FROM mean_y
+        JOIN (SELECT fold, target, sum(w * s1 / n) AS m FROM weights GROUP BY 1, 2) USING (fold, target)),
+    scored AS MATERIALIZED (
+        SELECT l.student_id, o.target, o.intercept + coalesce(s.xw, 0) AS p
+        FROM labelled l JOIN offsets o ON o.fold = l.prompt_id
+        LEFT JOIN (SELECT student_id, target, sum(v * w) AS xw FROM x JOIN weights k
+                   ON k.id = x.id AND k.fold = x.prompt_id GROUP BY 1, 2) s
+        ON s.student_id = l.student_id AND s.target = o.target),
+    word_oof AS MATERIALIZED (
+        SELECT l.*, c.p AS predicted_content, w.p AS predicted_wording FROM labelled l
+        JOIN scored c ON c.student_id = l.student_id AND c.target = 'content'
+        JOIN scored w ON w.student_id = l.student_id AND w.target = 'wording')"""
+
+
 RIDGE_COLUMNS = ", ".join(
     ["fold, target, n", r("my - w1 * m1 - w2 * m2", "intercept"), r("w1", "w_chars"), r("w2", "w_tokens")]
 )
@@ -593,6 +666,14 @@ ORACLES: dict[str, str] = {
         "folds",
         "train_x",
     ),
+    "logo_ridge_sparse": with_(
+        f"""{_word_ridge(5000, 100.0, "ln(1 + n)", 45, scaled=False)}
+        SELECT student_id, prompt_id, {r("predicted_content", "predicted_content")},
+            {r("predicted_wording", "predicted_wording")} FROM word_oof""",
+        "folds",
+        recursive=True,
+    ),
+    "logo_ridge_words": with_(_word_ridge(32, 1.0, "n", 120, scaled=True) + _report_body("word_oof"), "folds", recursive=True),
     "fold_huber_steps": with_(_huber_steps(), "train_x"),
     "fold_squared": with_(
         _ridge(

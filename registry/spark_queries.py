@@ -22,6 +22,7 @@ from gradeflow.operators import (
     pairs,
     pooling,
     score,
+    sparse,
     spelling,
     summarise,
     vocab,
@@ -44,6 +45,7 @@ WORD_FEATURES = 32
 LOG_INTERVAL = 10
 SPELL_THRESHOLD = 5
 RIDGE = 1.0
+SPARSE_RIDGE = 100.0
 DIMENSIONS = 64
 HUBER_THRESHOLD, HUBER_STEPS = 0.4, 3
 LOG_CHARS = 7.0  # near the mean of the feature
@@ -615,6 +617,19 @@ def logo_ridge_words(spark, sf_dir):
     return tidy(workflows.cross_validate(data, lam=RIDGE))
 
 
+@query
+def logo_ridge_sparse(spark, sf_dir):
+    """Held-out predictions of ridge models on all words of the vocabulary, fitted without products of words."""
+    data = train(spark, sf_dir, whole_texts=True)
+    tokens = checkpointed(spark, vocab.tokenise(data, "text").select("student_id", "tokens"), "tokens")
+    words = checkpointed(spark, vocab.build_vocab(tokens, VOCAB_SIZE), "vocabulary")
+    bags = vocab.vocab_features(tokens, words)
+    narrow = data.select("student_id", "prompt_id", *TARGETS)
+    rows = checkpointed(spark, sparse.bag_rows(narrow, bags, value=F.log1p("n")), "bags")
+    scored = sparse.oof_predict_sparse(rows, sparse.fit_logo_sparse(rows, VOCAB_SIZE, lam=SPARSE_RIDGE))
+    return tidy(scored.select("student_id", "prompt_id", *PREDICTED))
+
+
 @query
 def oof_predictions(spark, sf_dir):
     return tidy(
