@@ -542,3 +542,92 @@ def fit_rank(
     model = estimator.fit(rows)
     row = (ALL, target, None, 0.0, model.coefficients.tolist())
     return pairs.sparkSession.createDataFrame([row], MODEL_SCHEMA)
+
+
+def _pair_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per group, half the sum of ``(z_a - z_b)(z_a - z_b)'`` over all its rows a and b, from the group's sums."""
+    for pdf in batches:
+        sums = []
+        for products in pdf["products"]:
+            size = int((np.sqrt(8 * len(products) + 1) - 1) / 2)
+            n, first = products[0], products[:size]
+            row, column = np.triu_indices(size)
+            cells = n * products - first[row] * first[column]
+            # the cell of the constant has no difference: it counts the pairs
+            cells[0] = n * (n - 1) / 2
+            sums.append(cells)
+        yield pd.DataFrame({"fold": pdf["fold"], "products": sums})
+
+
+def pair_gram(
+    df: DataFrame,
+    features: str = "features",
+    targets: Sequence[str] = ("content", "wording"),
+    group: str = "prompt_id",
+) -> DataFrame:
+    """Products of differences of all pairs of rows of a group: ``(fold, cell, value)``, a group as a fold.
+
+    With ``z = [1, features, targets]`` of a group of ``n`` rows, the sum over its pairs of
+    ``(z_a - z_b)(z_a - z_b)'`` is ``n`` times the sum of ``z z'`` less the product of the sums of ``z``.
+    So no pair is ever made: one pass, whatever the sizes of the groups.  The first cell is the number of
+    pairs.  Features and targets are taken about their means over all rows, which no difference sees.
+    Rows without a group, a target or a feature pair with none.
+    """
+    usable = complete_rows(df, targets).filter(F.col(group).isNotNull() & _finite(features))
+    middles = usable.agg(F.struct(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets])).scalar()
+    shifted = usable.withColumn("middles_", middles).withColumns(
+        {t: F.col(t).cast("double") - F.col("middles_")[t] for t in targets}
+    )
+    gram = fold_gram(shifted, features, targets, group, feature_means(usable, features))
+    # a group is one triangle of products
+    triangles = gram.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("cell", "value")))["value"].alias("products"))
+    pairs = triangles.mapInPandas(_pair_products, "fold string, products array<double>")
+    return pairs.select("fold", F.posexplode("products").alias("cell", "value"))
+
+
+def _rank_solver(targets: Sequence[str], lam: float):
+    """Ranking weights of one fold from the products of its pairs."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("cell")["value"].to_numpy()
+        size = int((np.sqrt(8 * len(values) + 1) - 1) / 2)
+        gram = np.zeros((size, size))
+        gram[np.triu_indices(size)] = values
+        gram = gram + np.triu(gram, 1).T
+        d = size - len(targets)
+        if values[0] < 0.5:  # no pair is left
+            return pd.DataFrame(columns=MODEL_SCHEMA.names)
+        weights = np.linalg.lstsq(gram[1:d, 1:d] + lam * np.eye(d - 1), gram[1:d, d:], rcond=None)[0]
+        return pd.DataFrame(
+            {
+                "fold": pdf["fold"].iloc[0],
+                "target": list(targets),
+                "n": round(float(values[0])),
+                "intercept": 0.0,
+                "weights": [weights[:, j].tolist() for j in range(len(targets))],
+            }
+        )
+
+    return solve
+
+
+def fit_rank_pairs(
+    df: DataFrame,
+    features: str = "features",
+    targets: Sequence[str] = ("content", "wording"),
+    lam: float = 1.0,
+    key: str = "prompt_id",
+    include_all: bool = True,
+) -> DataFrame:
+    """Ranking weights from all pairs of rows of one prompt, one model per held-out prompt and ``"all"``.
+
+    Minimises the sum over pairs of ``((y_a - y_b) - w . (x_a - x_b))^2`` plus ``lam |w|^2``: the squared
+    form of the ranking loss, which sums per prompt hold completely.  ``n`` is the number of pairs; the
+    intercept, which no order depends on, is 0.
+    """
+    gram = pair_gram(df, features, targets, key)
+    total = gram.groupBy("cell").agg(F.sum("value").alias("total"))
+    rest = gram.join(total, "cell").select("fold", "cell", (F.col("total") - F.col("value")).alias("value"))
+    if include_all:
+        rest = rest.unionByName(total.select(F.lit(ALL).alias("fold"), "cell", F.col("total").alias("value")))
+    return rest.groupBy("fold").applyInPandas(_rank_solver(targets, lam), MODEL_SCHEMA)

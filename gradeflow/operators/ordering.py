@@ -7,11 +7,15 @@ run per bucket and only a table of at most 65,536 bucket rows is ever looked at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeflow.session import checkpointed
+
 BUCKET_DIGITS = 4  # 16**4 = 65,536 buckets: the size bound of every broadcast below
 HASH, BUCKET = "order_hash", "order_bucket"
+# A row's number holds its partition above so many bits and its place in it below.
+PLACE, PLACE_BITS = "order_place", 33
 
 
 def order_hash(df: DataFrame, key: str, seed: int | str):
@@ -78,3 +82,24 @@ def with_successor(
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str = 0) -> DataFrame:
     """``n`` rows chosen by hash order: the same rows whatever the partition layout."""
     return df.orderBy(order_hash(df, key, seed), F.col(key)).limit(n)
+
+
+def with_rank(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """Add the 1-based rank of each row in ``order``, exactly, with no task that sees all rows.
+
+    Rows are dealt into ranges of the order, sorted there and written to the shared folder with the number
+    of their range and their place in it; the rows of all ranges before are added as a prefix sum over
+    one row per range.  Rows that are equal in ``order`` take ranks of their own in some order.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = checkpointed(df.sparkSession, ranged.withColumn(PLACE, F.monotonically_increasing_id()), "ranked")
+    part, inside = F.shiftright(PLACE, PLACE_BITS), F.col(PLACE).bitwiseAND((1 << PLACE_BITS) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy(part.alias("part"))
+        .agg(F.count("*").alias("rows"))
+        # a row per range from here on
+        .select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    )
+    numbered = stored.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return numbered.withColumn(out, F.col("start") + inside + 1).select(*df.columns, out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from gradeflow.schemas import TARGET_COLUMNS
 
 # Model files that one Python worker keeps loaded.
 MODELS_IN_MEMORY = 8
+# Bytes of coefficients that may travel as matrices, and the models multiplied at a time.
+MATRIX_BYTES, MODEL_BLOCK = 128 << 20, 256
 
 
 def _as_vector(features: str | Sequence[str]) -> Column:
@@ -121,6 +124,83 @@ def predict_ensemble(
     return scored.select(*kept, *[F.col(f"ensemble_{t}").alias(prefix + t) for t in targets])
 
 
+def model_matrices(models: DataFrame, targets: Sequence[str], allow_missing: bool = False) -> dict[str, np.ndarray]:
+    """Per target, all its models as the columns of a matrix, intercepts in the first line.
+
+    The table is measured first: more than ``MATRIX_BYTES`` are an error (average the coefficients,
+    :func:`predict_ensemble`), and so is a target without a model unless ``allow_missing``.
+    """
+    wanted = models.filter(F.col("target").isin(list(targets)))
+    size = wanted.agg(F.sum(8 * (F.size("weights") + 1)).alias("bytes")).first()["bytes"] or 0
+    if size > MATRIX_BYTES:
+        raise ValueError(f"models of {size} bytes exceed {MATRIX_BYTES}: average their coefficients instead")
+    columns: dict[str, list[list[float]]] = {}
+    for row in wanted.select("target", "intercept", "weights").orderBy("target", "fold").collect():
+        columns.setdefault(row.target, []).append([row.intercept, *row.weights])
+    absent = [t for t in targets if t not in columns]
+    if absent and not allow_missing:
+        raise ValueError(f"no model predicts {absent}")
+    for t, models_of in columns.items():
+        if len({len(c) for c in models_of}) > 1:
+            raise ValueError(f"models of {t} have unequal numbers of features")
+    return {t: np.array(models_of, float).T for t, models_of in columns.items()}
+
+
+def _running(x: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation over all models of each row, a block of models at a time."""
+    mean, squares, seen = np.zeros(len(x)), np.zeros(len(x)), 0
+    for start in range(0, matrix.shape[1], MODEL_BLOCK):
+        block = matrix[:, start : start + MODEL_BLOCK]
+        values = x @ block[1:] + block[0]
+        own, gap, more = values.mean(axis=1), values.mean(axis=1) - mean, block.shape[1]
+        squares += ((values - own[:, None]) ** 2).sum(axis=1) + gap * gap * seen * more / (seen + more)
+        seen += more
+        mean += gap * more / seen
+    return mean, np.sqrt(squares / seen)
+
+
+def predict_models(
+    df: DataFrame,
+    models: DataFrame,
+    features: str | Sequence[str] = "features",
+    targets: Sequence[str] = TARGET_COLUMNS,
+    prefix: str = "",
+    allow_missing: bool = False,
+    spread: bool = False,
+) -> DataFrame:
+    """Mean prediction of all models of each target, and with ``spread`` their standard deviation.
+
+    All models of a target are one matrix; a batch of rows is multiplied by it and averaged as it
+    goes, so neither the rows nor the plan grow with the number of models.  A row whose features are missing
+    or of another length has no prediction.  A target without a model is an error unless
+    ``allow_missing``, which leaves it NULL.
+    """
+    matrices = model_matrices(models, targets, allow_missing)
+    names = [n for t in targets for n in ([f"{prefix}{t}", f"{prefix}{t}_spread"] if spread else [f"{prefix}{t}"])]
+    layout = ", ".join(f"`{n}` double" for n in names)
+
+    @F.arrow_udf(f"struct<{layout}>")
+    def ensemble(x: pa.Array) -> pa.Array:
+        lengths = x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        flat = x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        fields = []
+        for t in targets:
+            values = np.full((2, len(lengths)), np.nan)
+            fits = np.zeros(len(lengths), bool)
+            if t in matrices:
+                width = matrices[t].shape[0] - 1
+                fits = lengths == width
+                rows = flat[starts[fits][:, None] + np.arange(width)[None, :]] if width else np.zeros((fits.sum(), 0))
+                values[:, fits] = _running(rows, matrices[t])
+            fields += [pa.array(v, mask=~fits) for v in values[: 1 + spread]]
+        return pa.StructArray.from_arrays(fields, names)
+
+    kept = [c for c in df.columns if c not in set(names)]
+    scored = df.withColumn("ensemble_", ensemble(_as_vector(features).cast("array<double>")))
+    return scored.select(*kept, *[F.col("ensemble_")[n].alias(n) for n in names])
+
+
 def predict_each(
     df: DataFrame,
     models: DataFrame,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as text_fn
+from gradeflow.operators.ordering import with_rank
 from gradeflow.schemas import TAGS
+from gradeflow.session import checkpointed
 
 # Reserved ids; the tags follow in their table order, words come after them.
 RESERVED = {"pad": 0, "unk": 1, "cls": 2, "sep": 3}
@@ -29,17 +33,88 @@ def token_frequencies(df: DataFrame, col: str = "tokens") -> DataFrame:
     return text_fn.each(df, F.col(col), "token").groupBy("token").agg(F.count("*").alias("n"))
 
 
-def build_vocab(df: DataFrame, size: int, col: str = "tokens") -> DataFrame:
-    """The ``size`` most frequent words as ``(token, id, n)``; ties go to the smaller word."""
-    top = (
-        token_frequencies(df, col)
-        .filter(~F.col("token").isin(list(TAGS.values())))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
-    )
-    # the limit has left one partition of ``size`` rows
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return top.select("token", (rank + F.lit(FIRST_WORD_ID - 1)).alias("id"), "n")
+def heavy_hitters(df: DataFrame, counters: int, col: str = "tokens") -> tuple[DataFrame, int]:
+    """``(token, low)`` and ``error``: a token occurs at least ``low`` and at most ``low + error`` times.
+
+    Each task keeps at most ``2 * counters`` counts.  When they are full, the count of rank
+    ``counters`` is taken off all and what falls to 0 goes; what was taken off is the task's error.
+    Summaries of tasks add up, so no token that is not listed occurs more than ``error`` times, and
+    ``error`` is at most the number of tokens divided by ``counters``.
+    """
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        error = 0
+        for batch in batches:
+            column = batch.column(0).flatten()
+            for start in range(0, len(column), counters):
+                for cell in pc.value_counts(column.slice(start, counters)).to_pylist():
+                    if cell["values"] is not None:
+                        counts[cell["values"]] = counts.get(cell["values"], 0) + cell["counts"]
+                if len(counts) > counters:
+                    cut = sorted(counts.values(), reverse=True)[counters]
+                    counts = {token: n - cut for token, n in counts.items() if n > cut}
+                    error += cut
+        tokens = pa.array([*counts, None], pa.string())
+        yield pa.RecordBatch.from_arrays([tokens, pa.array([*counts.values(), error], pa.int64())], ["token", "low"])
+
+    parts = df.select(col).mapInArrow(summarise, "token string, low long")
+    merged = checkpointed(df.sparkSession, parts.groupBy("token").agg(F.sum("low").alias("low")), "heavy-hitters")
+    error = merged.filter(F.col("token").isNull()).select("low").first()
+    return merged.filter(F.col("token").isNotNull()), error["low"] if error else 0
+
+
+def _possible(df: DataFrame, size: int, counters: int, col: str) -> DataFrame | None:
+    """Tokens that may be among the ``size`` most frequent words, or NULL if the summary cannot tell.
+
+    At least ``size`` words occur as often as the word of that rank in the summary, so a token
+    whose most is below cannot be among them.
+    """
+    listed, error = heavy_hitters(df, counters, col)
+    words = listed.filter(~F.col("token").isin(list(TAGS.values())))
+    last = words.orderBy(F.desc("low")).limit(size).agg(F.count("*").alias("n"), F.min("low").alias("low")).first()
+    if last["n"] < size or error >= last["low"]:
+        return None
+    return words.filter(F.col("low") + error >= last["low"]).select("token")
+
+
+def _ranked_words(spark: SparkSession, words: DataFrame, size: int) -> DataFrame:
+    counts = checkpointed(spark, words, "token-counts")
+    power = F.length(F.bin("n"))  # a row per power of two below
+    reached, cut = 0, 0
+    for row in sorted(counts.groupBy(power.alias("power")).count().collect(), key=lambda r: -r["power"]):
+        reached, cut = reached + row["count"], row["power"]
+        if reached >= size:
+            break
+    ranked = with_rank(counts.filter(power >= cut), F.desc("n"), F.col("token"))
+    return ranked.filter(F.col("rank") <= size)
+
+
+def build_vocab(
+    df: DataFrame, size: int, col: str = "tokens", how: str = "top", counters: int | None = None
+) -> DataFrame:
+    """The ``size`` most frequent words as ``(token, id, n)``; ties go to the smaller word.
+
+    With ``how="top"`` the chosen words are ranked in one task, which must hold ``size`` of them.  With
+    ``how="ranked"`` words below a power of two that enough words reach are left out and the rest are ranked
+    in ranges (:func:`ordering.with_rank`), so no task needs more for a larger ``size``.  With ``counters``
+    a first pass summarises the tokens (:func:`heavy_hitters`) and only those that may be chosen are counted;
+    where the summary is too coarse to tell, all are.  All ways give the same rows.
+    """
+    if how not in ("top", "ranked"):
+        raise ValueError("how must be 'top' or 'ranked'")
+    tokens = text_fn.each(df, F.col(col), "token").filter(~F.col("token").isin(list(TAGS.values())))
+    possible = None if counters is None else _possible(df, size, counters, col)
+    if possible is not None:
+        tokens = tokens.join(possible, "token", "left_semi")
+    words = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    if how == "ranked":
+        top = _ranked_words(df.sparkSession, words, size)
+    else:
+        top = words.orderBy(F.desc("n"), "token").limit(size)
+        # the limit has left one partition of ``size`` rows
+        top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    return top.select("token", (F.col("rank") + F.lit(FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
 
 
 def _with_tags(vocab: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def train_fold(
 
     ``mse``, ``rmse`` and ``mcrmse`` have the same best linear model and share one fit;
     ``huber`` and ``smoothl1`` are fitted by reweighting with the loss's own ``threshold``,
-    ``ranking`` on seeded pairs.  Fold ``"all"`` trains on every row and is not evaluated.
+    ``ranking`` on seeded pairs, ``ranking_squares`` on all pairs of rows of one prompt.  Fold ``"all"`` trains on every row and is not evaluated.
     ``save_strategy`` and ``epoch`` are those of ``save_models``.
     """
     targets = target_columns(target)
@@ -97,6 +97,8 @@ def train_fold(
     elif loss in ("huber", "smoothl1"):
         one = [fit.fit_robust(train, ALL, t, threshold, features) for t in targets]
         models = one[0] if len(one) == 1 else one[0].unionByName(one[1])
+    elif loss == "ranking_squares":
+        models = fit.fit_rank_pairs(train, features, targets, lam).filter(F.col("fold") == ALL)
     elif loss == "ranking":
         pairing = pairs.pair_rows(train, targets=targets, seed=seed)
         sides = pairs.attach_sides(pairing, train, [features])

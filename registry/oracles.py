@@ -306,6 +306,25 @@ def _huber_steps(steps: int = 3, threshold: float = 0.4) -> str:
     return f", {', '.join(ctes for ctes, _ in parts.values())} {lines}"
 
 
+def _rank_pairs(lam: float = 1.0) -> str:
+    """Squared pairwise loss over every pair of rows of one prompt, in closed form for two features."""
+    per_target = " UNION ALL ".join(
+        f"""SELECT fold, '{t}' AS target, count(*) AS n, sum(x1 * x1) + {lam} AS a, sum(x1 * x2) AS b,
+            sum(x2 * x2) + {lam} AS d, sum(x1 * {t}) AS e, sum(x2 * {t}) AS f FROM fitted GROUP BY fold"""
+        for t in ("content", "wording")
+    )
+    return f""", pairs AS MATERIALIZED (
+        SELECT s.prompt_id, s.log_chars - o.log_chars AS x1, s.log_tokens - o.log_tokens AS x2,
+               s.content - o.content AS content, s.wording - o.wording AS wording
+        FROM train_x s JOIN train_x o ON s.prompt_id = o.prompt_id AND s.student_id < o.student_id),
+    fitted AS (
+        SELECT fold, pairs.* FROM folds JOIN pairs ON prompt_id <> fold
+        UNION ALL SELECT 'all', * FROM pairs),
+    sums AS ({per_target})
+    SELECT fold, target, n, {r("(e * d - b * f) / (a * d - b * b)", "w_chars")},
+           {r("(a * f - b * e) / (a * d - b * b)", "w_tokens")} FROM sums"""
+
+
 def _word_ridge(size: int, lam: float, value: str, steps: int, scaled: bool) -> str:
     """CTEs up to word_oof: held-out predictions of ridge models on word counts, by conjugate gradients.
 
@@ -539,6 +558,12 @@ ORACLES: dict[str, str] = {
            CAST(len(list_distinct(tokens)) AS BIGINT) AS n_distinct FROM corpus""",
         "corpus",
     ),
+    "vocab_ranked": with_(
+        """SELECT token, 8 + row_number() OVER (ORDER BY n DESC, token) AS id, n
+           FROM (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM corpus)
+                 WHERE token NOT IN ('<title>', '<text>', '<question>', '<summary>', '<reference>') GROUP BY token)""",
+        "corpus",
+    ),
     "vocab_topk": with_("SELECT token, id, n FROM vocab", "vocab"),
     "assign_batches_null_keys": with_(
         """SELECT CAST(floor(p / 32) AS BIGINT) AS batch_id, count(*) AS n, min(p) AS first, max(p) AS last
@@ -674,6 +699,7 @@ ORACLES: dict[str, str] = {
         recursive=True,
     ),
     "logo_ridge_words": with_(_word_ridge(32, 1.0, "n", 120, scaled=True) + _report_body("word_oof"), "folds", recursive=True),
+    "rank_fit": with_(_rank_pairs(), "folds", "train_x"),
     "fold_huber_steps": with_(_huber_steps(), "train_x"),
     "fold_squared": with_(
         _ridge(
@@ -725,9 +751,16 @@ ORACLES: dict[str, str] = {
         FROM each_model GROUP BY student_id""",
         "each_model",
     ),
+    "ensemble_rows": with_(
+        f"""SELECT student_id, {r("avg(content)", "content")}, {r("avg(wording)", "wording")}
+        FROM each_model GROUP BY student_id""",
+        "each_model",
+    ),
     "ensemble_by_target": with_(
         f"""SELECT student_id, {r("avg(prediction) FILTER (target = 'content')", "content")},
-            {r("avg(prediction) FILTER (target = 'wording')", "wording")}
+            {r("avg(prediction) FILTER (target = 'wording')", "wording")},
+            {r("stddev_pop(prediction) FILTER (target = 'content')", "content_spread")},
+            {r("stddev_pop(prediction) FILTER (target = 'wording')", "wording_spread")}
         FROM (SELECT student_id, 'content' AS target, content AS prediction FROM each_model
               UNION ALL SELECT student_id, 'wording', wording FROM each_model) GROUP BY student_id""",
         "each_model",

@@ -41,6 +41,7 @@ FOLD = "src3"
 BATCH_SIZE = 32
 MAX_TOKENS = 512
 VOCAB_SIZE = 5000
+COUNTERS, MOST_WORDS = 100_000, 10_000_000
 WORD_FEATURES = 32
 LOG_INTERVAL = 10
 SPELL_THRESHOLD = 5
@@ -420,7 +421,15 @@ def token_counts(spark, sf_dir):
 
 @query
 def vocab_topk(spark, sf_dir):
-    return tidy(vocabulary(spark, sf_dir))
+    """The most frequent words, those out of the question left out before they are counted."""
+    tokens = checkpointed(spark, corpus_tokens(spark, sf_dir).select("tokens"), "tokens")
+    return tidy(vocab.build_vocab(tokens, VOCAB_SIZE, how="ranked", counters=COUNTERS))
+
+
+@query
+def vocab_ranked(spark, sf_dir):
+    """Every word of the corpus up to the ten millionth with its rank, ranked in ranges."""
+    return tidy(vocab.build_vocab(corpus_tokens(spark, sf_dir), MOST_WORDS, how="ranked"))
 
 
 @query
@@ -675,6 +684,13 @@ def fold_squared(spark, sf_dir):
 
 @query
 def rank_fit(spark, sf_dir):
+    """Ranking weights from all pairs of responses to one prompt, for each held-out prompt and for all."""
+    return two_weights(fit.fit_rank_pairs(train_features(spark, sf_dir), lam=RIDGE)).drop("intercept")
+
+
+@query
+def rank_fit_hinge(spark, sf_dir):
+    """Ranking weights from seeded pairs by the margin loss."""
     data = workflows.feature_table(train_features(spark, sf_dir))
     paired = pairs.pair_rows(data, seed=SEED)
     sides = pairs.attach_sides(paired, data, ["features"])
@@ -706,28 +722,29 @@ def predict_ensemble(spark, sf_dir):
     return tidy(scored.select("student_id", *TARGETS))
 
 
-def each_model(spark, sf_dir) -> DataFrame:
-    return score.predict_each(
-        test_features(spark, sf_dir), line_models(spark, sf_dir), ["log_chars"]
-    )
-
-
 @query
 def ensemble_mean(spark, sf_dir):
-    return tidy(ensemble.ensemble_mean(each_model(spark, sf_dir)))
+    """Every model of both targets as one matrix per target."""
+    scored = score.predict_models(test_features(spark, sf_dir), line_models(spark, sf_dir), ["log_chars"])
+    return tidy(scored.select("student_id", *TARGETS))
 
 
 @query
 def ensemble_by_target(spark, sf_dir):
-    by_target = each_model(spark, sf_dir).select(
-        "student_id",
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(t).alias("target"), F.col(t).alias("prediction")) for t in TARGETS]
-            )
-        ),
+    """Models of one target each, content models and wording models averaged apart, and how far they spread."""
+    models = line_models(spark, sf_dir)
+    content, wording = (models.filter(F.col("target") == t) for t in TARGETS)
+    scored = score.predict_models(
+        test_features(spark, sf_dir), content.unionByName(wording), ["log_chars"], allow_missing=True, spread=True
     )
-    return tidy(ensemble.ensemble_by_target(by_target, allow_missing=True))
+    return tidy(scored.select("student_id", *TARGETS, *[f"{t}_spread" for t in TARGETS]))
+
+
+@query
+def ensemble_rows(spark, sf_dir):
+    """The same means from one row per response and model."""
+    each = score.predict_each(test_features(spark, sf_dir), line_models(spark, sf_dir), ["log_chars"])
+    return tidy(ensemble.ensemble_mean(each))
 
 
 # --- streams ----------------------------------------------------------------
