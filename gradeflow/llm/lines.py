@@ -1,13 +1,13 @@
 """Quality rules: lines that many documents of a host share, and repetition inside a document.
 
 A line is normalised (A-Z lower-cased, digit runs to 0, other ASCII signs and white space to one
-blank) and hashed to 96 bits together with its host.  Per hash the distinct texts are counted, over
-all documents; copies of one text count once, so that copies alone never make a line frequent.
-Lines found in more than ``max_documents`` texts of their host are removed, and a document that
-loses more than ``max_lost`` percent of its words is depleted and rejected.
+blank) and hashed to 96 bits together with its host.  Per hash the distinct documents are counted, over
+the whole table: rows of one id are one document, a row without an id is one of its own, and copies
+under several ids are several.  Lines found in more than ``max_documents`` documents of their host are
+removed, and a document that loses more than ``max_lost`` percent of its words is depleted and rejected.
 
-The counts need one shuffle of (host and line hash, text hash), pre-aggregated per task; a frequent
-line is one small row per task after that.  Lines above the limit meet the lines of the documents in
+A row sends each of its lines once; rows of one id meet by (host and line hash, id), which no hot
+line or host holds together, and are then counted per line, pre-aggregated per task.  Lines above the limit meet the lines of the documents in
 an unhinted join: broadcast by Spark when small, else shuffled with skewed lines split.
 
 Nulls and empties: a null text has no words and fails the base rules; null hosts form a host of
@@ -32,10 +32,6 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(plain, OTHER, " "))
 
 
-def _line_key(host: Column, line: Column) -> Column:
-    return F.struct(F.xxhash64(host, line).alias("h"), F.hash(line, host).alias("g"))
-
-
 def _text_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
 
@@ -55,16 +51,17 @@ def _keyed_lines(host: Column, lines: Column) -> Column:
 
 
 def frequent_lines(
-    documents: DataFrame, max_documents: int = 30, host: str = "source", text: str = "text"
+    documents: DataFrame, max_documents: int = 30, host: str = "source", text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(h, g, documents): hashes of lines found in more than ``max_documents`` texts of their host."""
+    """(h, g, documents): hashes of lines found in more than ``max_documents`` documents of their host."""
     keys = F.array_distinct(
         F.transform(_keyed_lines(F.col(host), _text_lines(F.col(text))), lambda x: F.struct(x["h"], x["g"]))
     )
-    per_text = documents.select(F.xxhash64(text).alias("t"), F.explode_outer(keys).alias("k"))
+    unnamed = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())
+    per_row = documents.select(F.col(doc_id).alias("d"), unnamed.alias("u"), F.explode_outer(keys).alias("k"))
     return (
-        per_text.filter("k is not null")
-        .select("k.h", "k.g", "t")
+        per_row.filter("k is not null")
+        .select("k.h", "k.g", "d", "u")
         .distinct()
         .groupBy("h", "g")
         .agg(F.count("*").alias("documents"))
@@ -155,7 +152,7 @@ def quality(
     found = (
         measured.select("row", F.explode_outer(F.concat(F.array(head), bare)).alias("x"))
         .select("row", "x.*")
-        .join(frequent_lines(documents, max_documents, host, text), ["h", "g"], "left")
+        .join(frequent_lines(documents, max_documents, host, text, doc_id), ["h", "g"], "left")
         .filter("m is not null or documents is not null")
         .groupBy("row")
         .agg(
@@ -179,26 +176,30 @@ def _measure_type(measured: DataFrame, measures: list[str]):
 
 
 def remove_frequent_lines(
-    documents: DataFrame, max_documents: int = 30, host: str = "source", text: str = "text"
+    documents: DataFrame, max_documents: int = 30, host: str = "source", text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """``documents`` with their frequent lines cut out of the text; all other lines stay in place.
 
     Null texts stay null; rows without a frequent line are unchanged.  The lines to cut are gathered
     per distinct (host, text) that has any.
     """
+    key = F.struct("h", "g")
     keys = F.transform(_keyed_lines(F.col(host), _text_lines(F.col(text))), lambda x: F.struct(x["h"], x["g"]))
     digest = F.md5(F.concat_ws("\n", F.xxhash64(host).cast("string"), F.col(text)))
     bad = (
         documents.select(digest.alias("digest"), F.explode_outer(F.array_distinct(keys)).alias("k"))
         .select("digest", "k.h", "k.g")
-        .join(frequent_lines(documents, max_documents, host, text), ["h", "g"], "left_semi")
+        .join(frequent_lines(documents, max_documents, host, text, doc_id), ["h", "g"], "left_semi")
         .groupBy("digest")
-        .agg(F.collect_set("h").alias("bad"))
+        .agg(F.collect_set(key).alias("bad"))
     )
     rows = documents.select(F.struct("*").alias("doc"), digest.alias("digest")).join(bad, "digest", "left")
     lines = F.split(F.col("doc")[text], "\n", -1)
-    kept = F.filter(
-        lines, lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(F.col("doc")[host], normal_line(x)))
-    )
-    cut = F.when(F.col("bad").isNull(), F.col("doc")[text]).otherwise(F.array_join(kept, "\n"))
+
+    def is_bad(line: Column) -> Column:
+        normal = normal_line(line)
+        named = F.struct(F.xxhash64(F.col("doc")[host], normal).alias("h"), F.hash(normal, F.col("doc")[host]).alias("g"))
+        return F.array_contains(F.col("bad"), named)
+
+    cut = F.when(F.col("bad").isNull(), F.col("doc")[text]).otherwise(F.array_join(F.filter(lines, lambda x: ~is_bad(x)), "\n"))
     return rows.select(*[cut.alias(c) if c == text else F.col("doc")[c].alias(c) for c in documents.columns])

@@ -105,16 +105,17 @@ _NORMAL = (
 
 LINE_QUALITY = f"""
 WITH doc AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'row ' || row_number() OVER ()) AS document, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), {_WORD}) AS w
   FROM documents
 ), line AS (
-  SELECT doc_id, source, text, x, {_NORMAL} AS line, len(regexp_extract_all(x, {_WORD})) AS words
-  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM doc)
+  SELECT doc_id, document, source, x, {_NORMAL} AS line, len(regexp_extract_all(x, {_WORD})) AS words
+  FROM (SELECT doc_id, document, source, unnest(string_split(text, chr(10))) AS x FROM doc)
   WHERE regexp_matches(x, {_WORD})
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY doc_id
 ), frequent AS (
-  SELECT source, line FROM line WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 30
+  SELECT source, line FROM line WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT document) > 30
 ), lost AS (
   SELECT doc_id, count(*) AS n_frequent_lines, sum(words)::BIGINT AS n_lost_words
   FROM line l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id

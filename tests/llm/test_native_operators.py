@@ -212,10 +212,10 @@ def normal(line):
 
 def brute_quality(docs, limit):
     seen = defaultdict(set)
-    for _, text, _, host in docs:
+    for row, (doc, text, _, host) in enumerate(docs):
         for line in (text or "").split("\n"):
             if WORD.search(line) and normal(line):
-                seen[host, normal(line)].add(text)
+                seen[host, normal(line)].add(("row", row) if doc is None else doc)
     out = []
     for doc, text, _, host in docs:
         text = text or ""
@@ -243,6 +243,18 @@ def test_quality_matches_brute_force(spark, limit):
     assert as_set(rows) == as_set(brute_quality(messy_texts(), limit))
 
 
+def test_copies_under_many_ids_make_a_line_frequent(spark):
+    line = "The same words on every page of this host"
+    docs = [(i, line, "en", "a") for i in range(100)] + [(500, line, "en", "b")] * 40 + [(None, line, "en", "c")] * 31
+    docs += [(600 + i, f"{line}\n{line}", "en", "d") for i in range(30)]
+    found = lines.quality(messy(spark, docs)).collect()
+    assert {(r.n_frequent_lines, r.kept) for r in found if r.doc_id is not None and r.doc_id < 500} == {(1, False)}
+    assert {r.n_frequent_lines for r in found if r.doc_id is None} == {1}
+    assert {r.n_frequent_lines for r in found if r.doc_id is not None and r.doc_id >= 500} == {0}
+    cut = lines.remove_frequent_lines(messy(spark, docs)).filter("source = 'a'").collect()
+    assert {r.text for r in cut} == {""}
+
+
 def test_frequent_lines_are_cut(spark):
     docs = messy(spark)
     cut = {r.doc_id: r.text for r in lines.remove_frequent_lines(docs, max_documents=5).collect()}
