@@ -3,10 +3,12 @@
 A text is lower-cased, everything but letters becomes one blank, and every run of two to four
 characters is hashed into a table of embeddings.  Their mean goes through a linear softmax.  Both
 are trained by stochastic gradient descent in numpy on the driver, on a bounded sample: at most
-``PER_LANGUAGE`` labelled rows per language in expectation (chosen by hash of id and text), each giving
-``PIECES`` pieces spread over its whole text.  A fifth of the sampled rows is set apart: it fixes the
-temperature of the softmax, and the confidence below which a text is rejected, so that at most
-``REJECTED`` of the rightly recognised pieces would be.
+``PER_LANGUAGE`` labelled rows per language in expectation (chosen by hash of id and text) of the
+``LANGUAGES`` most frequent labels.  Each row gives its whole text, as counts of buckets, ``PIECES`` short
+pieces spread over it, and one piece of noise: its letters in random order, which is to be no language more
+than another.  A fifth of the sampled rows is set apart: it fixes the temperature of the softmax, and the
+confidence below which a text is rejected, the largest that rejects at most ``REJECTED`` of the rightly
+recognised texts and pieces.
 
 Averaging and the linear layer commute, so scoring sums rows of one (bucket, language) table, over
 whole texts, in blocks.  The model is a few numbers per bucket and language and travels to the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
-PER_LANGUAGE, PIECES, REJECTED = 600, 6, 0.0005
+LANGUAGES, PER_LANGUAGE, PIECES, REJECTED = 256, 600, 6, 0.0005
 EPOCHS, RATE = 3, 0.5
 UNKNOWN = "und"
 BLOCK = 1 << 16
@@ -83,9 +85,26 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(samples: list[tuple[str, str, bool]]) -> LanguageModel | None:
-    """``samples``: (piece, language, set apart for calibration), in a fixed order."""
-    languages = sorted({language for _, language, _ in samples})
+def bag(text: str | None, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's subwords in order and how often each occurs, block by block."""
+    total = np.zeros(BUCKETS, np.int64)
+    for ids in subwords(text or "", is_letter):
+        total += np.bincount(ids, minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
+@dataclass
+class Sampled:
+    language: str
+    apart: bool
+    whole: tuple[np.ndarray, np.ndarray]
+    pieces: list[str]
+
+
+def train(samples: list[Sampled]) -> LanguageModel | None:
+    """The model of sampled rows, given in a fixed order."""
+    languages = sorted({sample.language for sample in samples})
     if not languages:
         return None
     is_letter, place = letters(), {language: i for i, language in enumerate(languages)}
@@ -93,71 +112,97 @@ def train(samples: list[tuple[str, str, bool]]) -> LanguageModel | None:
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     weights += rng.normal(0, 0.1, weights.shape)
-    encoded = []
-    for piece, language, apart in samples:
-        parts = list(subwords(piece, is_letter))
-        if parts:
-            encoded.append((np.concatenate(parts), place[language], apart))
-    fit = [e for e in encoded if not e[2]] or encoded
+    even = np.full(len(languages), 1 / len(languages))
+    fit, apart = [], []  # (buckets, shares, wanted chances)
+    for sample in samples:
+        wanted = np.eye(len(languages))[place[sample.language]]
+        noise = list(sample.pieces[1])
+        rng.shuffle(noise)
+        bags = [(sample.whole, wanted), *((bag(piece, is_letter), wanted) for piece in sample.pieces)]
+        if not sample.apart and len(languages) > 1:
+            bags.append((bag("".join(noise), is_letter), even))
+        into = apart if sample.apart else fit
+        into += [(ids, counts / counts.sum(), chances) for (ids, counts), chances in bags if len(ids)]
+    fit = fit or apart
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fit)):
-            ids, target, _ = fit[k]
+            ids, shares, wanted = fit[k]
             rate = RATE * (1 - done / steps)
             done += 1
-            hidden = embeddings[ids].mean(axis=0)
-            error = softmax(hidden @ weights + bias)
-            error[target] -= 1
+            hidden = shares @ embeddings[ids]
+            error = softmax(hidden @ weights + bias) - wanted
             back = weights @ error
             weights -= rate * np.outer(hidden, error)
             bias -= rate * error
-            np.add.at(embeddings, ids, -rate / len(ids) * WIDTH * back)
+            embeddings[ids] -= np.outer(shares, rate * WIDTH * back)
     table = (embeddings @ weights).astype(np.float32)
-    apart = [e for e in encoded if e[2]] or fit
-    raw = np.array([table[ids].mean(axis=0) + bias for ids, _, _ in apart])
-    targets = np.array([target for _, target, _ in apart])
+    apart = apart or [f for f in fit if f[2].max() == 1]
+    raw = np.array([shares @ table[ids] + bias for ids, shares, _ in apart])
+    targets = np.array([int(wanted.argmax()) for _, _, wanted in apart])
     temperatures = np.geomspace(0.05, 20, 60)
     losses = [-np.log(softmax(raw / t)[np.arange(len(raw)), targets] + 1e-12).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(losses))])
     chances = softmax(raw / temperature)
     right = chances.max(axis=1)[chances.argmax(axis=1) == targets]
-    threshold = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.0
+    threshold = float(np.quantile(right, REJECTED)) if len(right) else 0.0
     return LanguageModel(languages, table, bias, temperature, threshold)
 
 
-def sampled_pieces(
+def _bag_udf():
+    @F.pandas_udf("ids binary, counts binary")
+    def bags(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        is_letter = letters()
+        for texts in batches:
+            found = [bag(text, is_letter) for text in texts]
+            rows = [(ids.astype("<i4").tobytes(), counts.astype("<i8").tobytes()) for ids, counts in found]
+            yield pd.DataFrame(rows, columns=["ids", "counts"])
+
+    return bags
+
+
+def sampled_rows(
     documents: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE
-) -> list[tuple[str, str, bool]]:
-    """Pieces of at most 300, 100 and 30 characters of a bounded sample of the rows where ``learn`` holds."""
-    rows = documents.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()}
+) -> list[Sampled]:
+    """A bounded sample of the rows where ``learn`` holds: bags of whole texts, and pieces of at most 300,
+    100 and 30 characters.  Repeated rows are drawn once."""
+    named = documents.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("id")
+    )
+    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
     if not counts:
         return []
     million = 1_000_000
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(million, million * per_language // n + 1))])
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(million))
-    length = F.char_length(text)
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(million, million * per_language // n + 1))])
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(million))
+    drawn = named.filter(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).withColumn(
+        "order", F.xxhash64("text", "id", "lang")
+    )
+    most = 2 * per_language * len(counts)
+    last = drawn.select("order").distinct().orderBy("order").limit(most).agg(F.max("order").alias("last")).first()["last"]
+    if last is None:
+        return []
+    chosen = drawn.filter(F.col("order") <= last).groupBy("order").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    length = F.char_length("text")
     sizes = [300, 100, 30] * (PIECES // 3)
-    pieces = [
-        F.substring(F.col(text), F.floor(length * (k / len(sizes))).cast("int") + 1, F.lit(size)) for k, size in enumerate(sizes)
-    ]
-    sample = (
-        rows.filter(draw < share[F.col(lang).cast("string")])
-        .select(
-            F.xxhash64(F.col(text), F.col(doc_id)).alias("order"),
-            F.col(lang).cast("string").alias("lang"),
-            F.array(*pieces).alias("pieces"),
+    pieces = [F.substring("text", F.floor(length * (k / len(sizes))).cast("int") + 1, F.lit(size)) for k, size in enumerate(sizes)]
+    sample = chosen.select("order", "lang", F.array(*pieces).alias("pieces"), _bag_udf()("text").alias("bag"))
+    return [
+        Sampled(
+            r["lang"],
+            r["order"] % 5 == 0,
+            (np.frombuffer(r["bag"]["ids"], "<i4"), np.frombuffer(r["bag"]["counts"], "<i8")),
+            r["pieces"],
         )
-        .orderBy("order", "lang", "pieces")
-        .limit(2 * per_language * len(counts))
-    )
-    return [(piece, r["lang"], r["order"] % 5 == 0) for r in sample.collect() for piece in r["pieces"]]
+        for r in sorted(sample.collect(), key=lambda r: r["order"])
+    ]
 
 
 def fit(
     documents: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> LanguageModel | None:
-    return train(sampled_pieces(documents, F.lit(True) if learn is None else learn, doc_id, text, lang))
+    return train(sampled_rows(documents, F.lit(True) if learn is None else learn, doc_id, text, lang))
 
 
 def _predict_udf(shared):

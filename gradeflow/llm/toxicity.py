@@ -8,18 +8,20 @@ risk
 
 estimates the risk on fully labelled data without bias while its second part is not negative.  On a
 batch where that part falls below zero, the step goes the other way (the non-negative estimator),
-which keeps the model from fitting the unlabelled positives away.  l is the logistic loss.  A fifth
-of the sample is set apart; the slope and shift of the logistic curve that turns values into scores
-are those of least risk, as above, on it.
+which keeps the model from fitting the unlabelled positives away.  l is the logistic loss.  A
+feature's step is scaled by how far its share among confirmed texts stands out, in standard
+deviations, so that a few dozen of them are enough to find their words.  ``PARTS`` further models, each
+trained without a part of the sample, give that part values; the slope and shift of the logistic curve
+that turns values into scores are those of least risk, as above, on all of them.
 
 Features: each distinct word of a text, in lower case, and its beginnings of four to six letters.
 A word's weight is the sum over its features; a text's value is the sum over its distinct words
 divided by the square root of their number, plus a bias.
 
 The model is fitted on a bounded sample of rows that may be learned from: at most ``POSITIVES``
-confirmed ones and ``UNLABELLED`` of any kind, chosen by hash.  Whole texts are reduced to features in
-the tasks, and of a sampled text with more than ``SAMPLED_WORDS`` distinct words an even choice by
-hash travels to the driver.  Scoring reads all words of all rows.
+confirmed ones and ``UNLABELLED`` of any kind, chosen by hash.  The sample is drawn first; then whole
+texts, repeated rows once, are reduced in the tasks to counts of buckets, as many as there are buckets
+at most.  Scoring reads all words of all rows.
 
 Nulls and empties: a null or wordless text has the score of the bias alone.  A null label is
 unlabelled, of several labels of one id the largest counts, and null ids are never confirmed.
@@ -41,13 +43,18 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
-POSITIVES, UNLABELLED, SAMPLED_WORDS = 3000, 9000, 3000
-EPOCHS, RATE, DECAY, BATCH, POSITIVE_BATCH = 12, 0.3, 1e-4, 128, 32
+POSITIVES, UNLABELLED = 3000, 9000
+#: Passes over the unlabelled sample, more if they are fewer steps; step size, shrinkage and batches.
+EPOCHS, STEPS, RATE, DECAY, BATCH, POSITIVE_BATCH = 12, 300, 1.0, 1e-4, 128, 32
+#: Standard deviations from which a feature's steps are whole, and the least scale of a step.
+STANDS_OUT, LEAST_STEP = 6.0, 0.01
+PARTS = 5
 WORDS = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 400_000
 
 
-Sample = list[tuple[np.ndarray, int]]
+#: (buckets, how often a distinct word's features fall into each, distinct words) of texts that have words.
+Sample = list[tuple[np.ndarray, np.ndarray, int]]
 
 
 @dataclass
@@ -71,13 +78,21 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of all features of a text in order, their counts, and the number of distinct words."""
+    words = distinct_words(text)
+    ids = np.array([i for word in words for i in word_features(word)], np.int64)
+    return *np.unique(ids, return_counts=True), len(words)
+
+
 def values(sample: Sample, model: ToxicityModel) -> np.ndarray:
-    return np.array([model.weights[ids].sum(dtype=np.float64) / words**0.5 + model.bias for ids, words in sample])
+    return np.array(
+        [(model.weights[ids] * counts).sum(dtype=np.float64) / words**0.5 + model.bias for ids, counts, words in sample]
+    )
 
 
-def calibrated(model: ToxicityModel, positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel:
-    """The model with slope and shift of least non-negative risk on rows it was not trained on."""
-    fp, fu = values(positives, model), values(unlabelled, model)
+def calibrated(model: ToxicityModel, fp: np.ndarray, fu: np.ndarray, prior: float) -> ToxicityModel:
+    """The model with slope and shift of least non-negative risk on values of rows it was not trained on."""
     best = (np.inf, 1.0, 0.0)
     for slope in np.geomspace(0.25, 8, 21):
         for shift in np.linspace(-6, 6, 97):
@@ -89,30 +104,57 @@ def calibrated(model: ToxicityModel, positives: Sample, unlabelled: Sample, prio
 
 
 def train(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel | None:
-    """Both samples hold (features of all words, number of words) of texts that have words."""
+    """The calibrated model of both samples."""
     if not positives:
         return None
-    apart = {ids.tobytes() for ids, _ in positives[::5]}
-    fit_p = [p for p in positives if p[0].tobytes() not in apart] or positives
-    fit_u = [u for i, u in enumerate(unlabelled) if i % 5 and u[0].tobytes() not in apart]
-    return calibrated(_trained(fit_p, fit_u, prior), positives[::5], unlabelled[::5] or positives[::5], prior)
+    unlabelled = unlabelled or positives
+
+    def name(row) -> bytes:
+        return row[0].tobytes() + row[1].tobytes()
+
+    held_p, held_u = [], []
+    for part in range(PARTS):
+        apart = {name(p) for p in positives[part::PARTS]}
+        rest_p = [p for p in positives if name(p) not in apart]
+        rest_u = [u for i, u in enumerate(unlabelled) if i % PARTS != part and name(u) not in apart]
+        if rest_p and rest_u and apart:
+            model = _trained(rest_p, rest_u, prior)
+            held_p.append(values(positives[part::PARTS], model))
+            held_u.append(values(unlabelled[part::PARTS], model))
+    model = _trained(positives, unlabelled, prior)
+    if not held_p:  # a single confirmed text: nothing to hold apart
+        return model
+    return calibrated(model, np.concatenate(held_p), np.concatenate(held_u), prior)
+
+
+def _step_scales(positives: Sample, unlabelled: Sample) -> np.ndarray:
+    """Per bucket, how far its share among confirmed texts stands out."""
+    in_p, in_u = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for ids, _, _ in positives:
+        in_p[ids] += 1
+    for ids, _, _ in unlabelled:
+        in_u[ids] += 1
+    expected = (in_p + in_u) * len(positives) / (len(positives) + len(unlabelled))
+    return np.clip((in_p - expected) / np.sqrt(expected + 0.3) / STANDS_OUT, LEAST_STEP, 1.0)
 
 
 def _trained(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityModel:
-    unlabelled = unlabelled or positives
     rng = np.random.default_rng(11)
+    scales = _step_scales(positives, unlabelled)
     weights, squares, bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2), float(np.log(prior / (1 - prior)))
     mean_weights, mean_bias, averaged = np.zeros(BUCKETS), 0.0, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(unlabelled) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), BATCH):
             u = [unlabelled[i] for i in order[at : at + BATCH]]
             batch = u + [positives[i] for i in rng.integers(0, len(positives), POSITIVE_BATCH)]
-            lengths = np.array([len(ids) for ids, _ in batch])
-            scale = 1 / np.sqrt([words for _, words in batch])
-            ids = np.concatenate([ids for ids, _ in batch])
+            lengths = np.array([len(ids) for ids, _, _ in batch])
+            scale = 1 / np.sqrt([words for _, _, words in batch])
+            ids = np.concatenate([ids for ids, _, _ in batch])
+            counts = np.concatenate([counts for _, counts, _ in batch])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            value = np.add.reduceat(weights[ids], starts) * scale + bias
+            value = np.add.reduceat(weights[ids] * counts, starts) * scale + bias
             fu, fp = value[: len(u)], value[len(u) :]
             second = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
             slope_u, slope_p = _logistic(fu) / len(fu), -prior * _logistic(fp) / len(fp)
@@ -122,11 +164,11 @@ def _trained(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityMod
                 slope_u, slope_p = -slope_u, -slope_p
             slope = np.concatenate([slope_u, slope_p])
             touched, place = np.unique(ids, return_inverse=True)
-            gradient = np.bincount(place, np.repeat(slope * scale, lengths)) + DECAY * weights[touched]
+            gradient = np.bincount(place, np.repeat(slope * scale, lengths) * counts) + DECAY * weights[touched]
             squares[touched] += gradient**2
-            weights[touched] -= RATE * gradient / np.sqrt(squares[touched])
+            weights[touched] -= RATE * scales[touched] * gradient / np.sqrt(squares[touched])
             bias -= 0.1 * slope.sum()
-        if epoch >= EPOCHS // 2:
+        if epoch >= epochs // 2:
             averaged += 1
             mean_weights += (weights - mean_weights) / averaged
             mean_bias += (bias - mean_bias) / averaged
@@ -134,31 +176,31 @@ def _trained(positives: Sample, unlabelled: Sample, prior: float) -> ToxicityMod
 
 
 def _features_udf():
-    @F.pandas_udf("ids binary, words int")
+    @F.pandas_udf("ids binary, counts binary, words int")
     def features(texts: pd.Series) -> pd.DataFrame:
-        from zlib import crc32
-
-        rows = []
-        for text in texts:
-            words = distinct_words(text)
-            if len(words) > SAMPLED_WORDS:
-                words = sorted(words, key=lambda w: crc32(w.encode("utf-8", "surrogatepass")))[:SAMPLED_WORDS]
-            ids = [i for word in sorted(words) for i in word_features(word)]
-            rows.append((np.array(ids, "<i4").tobytes(), len(words)))
-        return pd.DataFrame(rows, columns=["ids", "words"])
+        bags = [bag(text) for text in texts]
+        rows = [(ids.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), words) for ids, counts, words in bags]
+        return pd.DataFrame(rows, columns=["ids", "counts", "words"])
 
     return features
 
 
 def _collected(rows: DataFrame, order: Column, limit: int, text: str) -> Sample:
-    found = (
-        rows.select(order.alias("order"), _features_udf()(F.col(text).cast("string")).alias("f"))
-        .select("order", "f.*")
-        .filter("words > 0")
-        .orderBy("order", "ids")
-        .limit(limit)
-    )
-    return [(np.frombuffer(r["ids"], "<i4"), r["words"]) for r in found.collect()]
+    """Bags of the rows of smallest ``order``, at most ``limit`` different ones; wordless ones are dropped.
+
+    The last number to be taken is found from the numbers alone, so only chosen texts are reduced.
+    """
+    named = rows.select(order.alias("order"), F.col(text).cast("string").alias("text"))
+    last = named.select("order").distinct().orderBy("order").limit(limit).agg(F.max("order").alias("last")).first()["last"]
+    if last is None:
+        return []
+    chosen = named.filter(F.col("order") <= last).groupBy("order").agg(F.first("text").alias("text"))
+    found = chosen.select("order", _features_udf()("text").alias("f")).select("order", "f.*").collect()
+    return [
+        (np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["words"])
+        for r in sorted(found, key=lambda r: r["order"])
+        if r["words"]
+    ]
 
 
 def fit(

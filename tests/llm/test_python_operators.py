@@ -251,7 +251,8 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
 
 def test_non_negative_risk_keeps_the_bias_in_bounds():
     rng = np.random.default_rng(1)
-    sample = [(rng.integers(0, 500, 40).astype("<i4"), 20) for _ in range(300)]
+    sample = [(np.unique(rng.integers(0, 500, 40)), np.ones(1), 20) for _ in range(300)]
+    sample = [(ids, np.ones(len(ids), int), words) for ids, _, words in sample]
     model = toxicity.train(sample[:30], sample, 0.1)
     assert np.isfinite(model.weights).all() and abs(model.bias) < 50
     assert toxicity.train([], sample, 0.1) is None
