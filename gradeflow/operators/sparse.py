@@ -7,10 +7,11 @@ adding nothing to its own fold.  Centring and shrinkage are of rank one or diago
 the summed result.  Directions are not scaled by the diagonal: with fewer rows than words that would
 spread the spectrum and take several times as many steps.
 
-Rows carry their bag as two arrays (:func:`bag_rows`) and are read once per step: store them first
-(:func:`gradeflow.plans.workflows.feature_table`).  A step hands one matrix of features by folds and
+Rows carry their bag as two arrays (:func:`bag_rows`).  They are packed once into blocks of ``BLOCK_ROWS``
+rows, each with the list of its own words, and written to the shared folder; a step reads blocks only and
+multiplies dense matrices of a block's rows and words.  It hands one matrix of features by folds and
 targets to the tasks and gets one back, summed in pieces by as many tasks as there are shuffle
-partitions.  ``STATE_BYTES`` bounds that matrix: more folds are fitted in blocks, one after the other.
+partitions.  ``STATE_BYTES`` bounds that matrix: more folds are fitted in groups, one after the other.
 
 Rows with a missing target are left out; rows without a known word count like all others.
 """
@@ -30,12 +31,13 @@ from gradeflow.operators.folds import ALL
 from gradeflow.operators.score import wide_models
 from gradeflow.operators.vocab import FIRST_WORD_ID
 from gradeflow.schemas import TARGET_COLUMNS
-from gradeflow.session import scratch_dir
+from gradeflow.session import checkpointed, scratch_dir
 
 #: Bytes of one matrix of features by folds and targets.
 STATE_BYTES = 64 << 20
-#: Numbers of a task that are worked on at a time, and that travel in one row.
-STRIP_CELLS, PIECE = 4_000_000, 4096
+#: Rows and cells of a packed block, and the numbers that travel in one row of a sum.
+BLOCK_ROWS, BLOCK_CELLS, PIECE = 256, 2_000_000, 4096
+BLOCK = "folds binary, targets binary, words binary, places binary, counts binary"
 
 
 def bag_rows(
@@ -63,53 +65,67 @@ def bag_rows(
 
 
 @dataclass
-class Strip:
-    """Some rows: their fold numbers (-1 for folds not asked for), targets and bags."""
+class Block:
+    """Some rows: numbers of their folds (-1 for none), targets, the words they hold, and a line of counts each."""
 
     folds: np.ndarray
     targets: np.ndarray
-    row: np.ndarray
-    ids: np.ndarray
+    words: np.ndarray
     counts: np.ndarray
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """``X matrix``, a line per row."""
-        out = np.zeros((len(self.folds), matrix.shape[1]))
-        if len(self.ids):
-            starts = np.flatnonzero(np.diff(self.row, prepend=-1))
-            out[self.row[starts]] = np.add.reduceat(self.counts[:, None] * matrix[self.ids], starts, axis=0)
-        return out
+        return self.counts @ matrix[self.words]
 
     def add_transposed(self, values: np.ndarray, total: np.ndarray) -> None:
         """Add ``X' values`` to ``total``."""
-        order = np.argsort(self.ids, kind="stable")
-        ids = self.ids[order]
-        starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        cells = self.counts[order, None] * values[self.row[order]]
-        if len(starts):
-            total[ids[starts]] += np.add.reduceat(cells, starts, axis=0)
-
-
-def _strips(batch: pa.RecordBatch, place: dict[str, int], n_targets: int, columns: int) -> Iterator[Strip]:
-    """Cut a batch (fold, targets, ids, counts) so that bags times columns stay within bounds."""
-    names = batch.column(0).dictionary_encode()
-    codes = np.array([place.get(name, -1) for name in names.dictionary.to_pylist()] + [-1])
-    folds = codes[names.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
-    targets = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1 : 1 + n_targets]])
-    lists = batch.column(1 + n_targets)
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
-    counts = batch.column(2 + n_targets).flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, int)
-    weight = ends + np.arange(1, batch.num_rows + 1)
-    start = 0
-    while start < batch.num_rows:
-        before = weight[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(weight, before + STRIP_CELLS // columns, "right")))
-        low, high = (ends[start - 1] if start else 0), ends[stop - 1]
-        sizes = np.diff(ends[start:stop], prepend=low)
-        row = np.repeat(np.arange(stop - start), sizes)
-        yield Strip(folds[start:stop], targets[start:stop], row, ids[low:high], counts[low:high])
-        start = stop
+        total[self.words] += self.counts.T @ values
+
+
+def _packed(rows: DataFrame, place: dict[str, int], n_targets: int) -> DataFrame:
+    """Blocks of rows ``(fold, targets, ids, counts)``; a place is row times words plus word."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes = np.array([place.get(name, -1) for name in names.dictionary.to_pylist()] + [-1], np.int32)
+            folds = codes[names.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+            targets = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1 : 1 + n_targets]])
+            lists = batch.column(1 + n_targets)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            counts = batch.column(2 + n_targets).flatten().to_numpy(zero_copy_only=False)
+            ends, start = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while start < batch.num_rows:
+                stop, used = start, 0
+                while stop < batch.num_rows and stop - start < BLOCK_ROWS:
+                    used += sizes[stop]
+                    if stop > start and used * (stop + 1 - start) > BLOCK_CELLS:
+                        break
+                    stop += 1
+                span = slice(ends[start], ends[stop])
+                words, word = np.unique(ids[span], return_inverse=True)
+                row = np.repeat(np.arange(stop - start), sizes[start:stop])
+                parts = (folds[start:stop], targets[start:stop], words.astype(np.int32), row * len(words) + word, counts[span])
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], BLOCK_NAMES)
+                start = stop
+
+    return checkpointed(rows.sparkSession, rows.mapInArrow(pack, BLOCK), "bag-blocks")
+
+
+BLOCK_NAMES = [part.split()[0] for part in BLOCK.split(", ")]
+
+
+def _blocks(batch: pa.RecordBatch, n_targets: int) -> Iterator[Block]:
+    types = (np.int32, np.float64, np.int32, np.int64, np.float64)
+    columns = [batch.column(name) for name in BLOCK_NAMES]
+    for i in range(batch.num_rows):
+        folds, targets, words, places, counts = (
+            np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(columns, types, strict=True)
+        )
+        # a word given twice in a row counts twice
+        cells = np.bincount(places, counts, len(folds) * len(words)).reshape(len(folds), len(words))
+        yield Block(folds, targets.reshape(len(folds), n_targets), words, cells)
 
 
 def _summed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +151,23 @@ def _pieces(held: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 
 def _total(
-    rows: DataFrame, place: dict[str, int], n_targets: int, shape: tuple[int, int], add: Callable[[Strip, np.ndarray], None]
+    blocks: DataFrame, n_targets: int, shape: tuple[int, int], add: Callable[[Block, np.ndarray], None]
 ) -> np.ndarray:
-    """The sum over all rows of the matrices that ``add`` adds up strip by strip."""
+    """The sum over all blocks of the matrices that ``add`` adds up."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        seen = False
+        total = None
         for batch in batches:
-            for strip in _strips(batch, place, n_targets, shape[1]):
-                add(strip, total)
-                seen = True
-        if seen:
+            for block in _blocks(batch, n_targets):
+                total = np.zeros(shape) if total is None else total
+                add(block, total)
+        if total is not None:
             flat = total.ravel()
             for start in range(0, len(flat), PIECE):
                 yield _pieces({start // PIECE: flat[start : start + PIECE]})
 
     layout = "piece int, cells array<double>"
-    summed = rows.mapInArrow(partial, layout).repartition("piece").mapInArrow(_summed_pieces, layout)
+    summed = blocks.mapInArrow(partial, layout).repartition("piece").mapInArrow(_summed_pieces, layout)
     out = np.zeros(shape[0] * shape[1])
     table = summed.toArrow()  # one matrix, bounded by STATE_BYTES
     for piece, cells in zip(table.column("piece").to_pylist(), table.column("cells").to_pylist(), strict=True):
@@ -161,18 +176,26 @@ def _total(
 
 
 def _solve(
-    rows: DataFrame, names: list[str], sums: dict, targets: Sequence[str], size: int, lam: float, tolerance: float, max_steps: int
+    blocks: DataFrame,
+    names: list[str],
+    first: int,
+    sums: dict,
+    targets: Sequence[str],
+    size: int,
+    lam: float,
+    per_row: bool,
+    tolerance: float,
+    max_steps: int,
 ) -> list[tuple]:
-    """Models of the folds ``names``, by conjugate gradients."""
-    spark, k, f = rows.sparkSession, len(targets), len(names)
-    place = {name: i for i, name in enumerate(names) if name != ALL}
+    """Models of the folds ``names``, of which the first has number ``first``, by conjugate gradients."""
+    spark, k, f = blocks.sparkSession, len(targets), len(names)
 
-    def first_sums(strip: Strip, total: np.ndarray) -> None:
-        ones = np.column_stack([np.ones(len(strip.folds)), strip.targets])  # count and targets
-        own = (strip.folds[:, None] == np.arange(f)[None, :])[:, :, None] * ones[:, None, :]
-        strip.add_transposed(np.concatenate([ones[:, None, :], own], axis=1).reshape(len(ones), -1), total)
+    def first_sums(block: Block, total: np.ndarray) -> None:
+        ones = np.column_stack([np.ones(len(block.folds)), block.targets])  # count and targets
+        own = (block.folds[:, None] == first + np.arange(f)[None, :])[:, :, None] * ones[:, None, :]
+        block.add_transposed(np.concatenate([ones[:, None, :], own], axis=1).reshape(len(ones), -1), total)
 
-    products = _total(rows, place, k, (size, (f + 1) * (k + 1)), first_sums).reshape(size, f + 1, k + 1)
+    products = _total(blocks, k, (size, (f + 1) * (k + 1)), first_sums).reshape(size, f + 1, k + 1)
     products = products[:, :1] - products[:, 1:]  # all rows less those of the own fold
     n = np.array([sums[None][0] - sums.get(name, [0.0] * (k + 1))[0] for name in names])
     y_sum = np.array([[sums[None][1 + t] - sums.get(name, [0.0] * (k + 1))[1 + t] for t in range(k)] for name in names])
@@ -182,21 +205,22 @@ def _solve(
     mean = np.repeat(x_sum / n, k, axis=1)
     weight = np.repeat(n, k)
     target = (xy - x_sum[:, :, None] * (y_sum / n[:, None])[None]).reshape(wide)
-    column = np.arange(f * k) // k
+    column = first + np.arange(f * k) // k
+    shrink = lam * weight if per_row else np.full(f * k, lam)
 
     def applied(direction: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(direction)
 
-        def add(strip: Strip, total: np.ndarray) -> None:
-            value = strip.times(shared.value)
-            value[strip.folds[:, None] == column[None, :]] = 0.0
-            strip.add_transposed(value, total)
+        def add(block: Block, total: np.ndarray) -> None:
+            value = block.times(shared.value)
+            value[block.folds[:, None] == column[None, :]] = 0.0
+            block.add_transposed(value, total)
 
         try:
-            product = _total(rows, place, k, wide, add)
+            product = _total(blocks, k, wide, add)
         finally:
             shared.unpersist()
-        return product - mean * (weight * (mean * direction).sum(axis=0)) + lam * direction
+        return product - mean * (weight * (mean * direction).sum(axis=0)) + shrink * direction
 
     solution, residual = np.zeros(wide), target.copy()
     direction, height = target.copy(), (target * target).sum(axis=0)
@@ -229,12 +253,14 @@ def fit_logo_sparse(
     lam: float = 1.0,
     key: str = "prompt_id",
     include_all: bool = False,
+    per_row: bool = False,
     tolerance: float = 1e-9,
     max_steps: int = 500,
 ) -> DataFrame:
     """Ridge regressors on bags of ``size`` words (``ids``, ``counts``), one per held-out fold.
 
-    ``lam`` shrinks the weights, not the intercept.  Steps end when every residual of the normal
+    ``lam`` shrinks the weights, not the intercept; with ``per_row`` it is the shrinkage per row fitted
+    on, which keeps the number of steps the same however many rows there are.  Steps end when every residual of the normal
     equations is at most ``tolerance`` of their right side.  A lone fold has no rows to be fitted on
     and gives no model; rows without a fold are trained on.
     """
@@ -255,12 +281,14 @@ def fit_logo_sparse(
     if include_all and found:
         names.append(ALL)
     path, schema = scratch_dir(spark, "sparse-models"), MODEL_SCHEMA
-    block = max(1, STATE_BYTES // (8 * size * (len(targets) + 1)) - 1)
-    models = spark.createDataFrame([], schema)
-    models.write.parquet(path)
-    for start in range(0, len(names), block):
-        fitted = _solve(usable, names[start : start + block], sums, targets, size, lam, tolerance, max_steps)
-        spark.createDataFrame(fitted, schema).write.mode("append").parquet(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    if names:
+        blocks = _packed(usable, {name: i for i, name in enumerate(names) if name != ALL}, len(targets))
+        together = max(1, STATE_BYTES // (8 * size * (len(targets) + 1)) - 1)
+        for first in range(0, len(names), together):
+            some = names[first : first + together]
+            fitted = _solve(blocks, some, first, sums, targets, size, lam, per_row, tolerance, max_steps)
+            spark.createDataFrame(fitted, schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -325,11 +325,11 @@ def _rank_pairs(lam: float = 1.0) -> str:
            {r("(a * f - b * e) / (a * d - b * b)", "w_tokens")} FROM sums"""
 
 
-def _word_ridge(size: int, lam: float, value: str, steps: int, scaled: bool) -> str:
+def _word_ridge(size: int, lam: str, value: str, steps: int, scaled: bool) -> str:
     """CTEs up to word_oof: held-out predictions of ridge models on word counts, by conjugate gradients.
 
-    Each step joins every model with all words of its rows.  ``value`` is the number of a word seen
-    ``n`` times; ``scaled`` divides residuals by the diagonal.
+    Each step joins every model with all words of its rows.  ``lam`` may use a model's number ``n`` of
+    rows, ``value`` the number ``n`` of times a word is seen; ``scaled`` divides residuals by the diagonal.
     """
     by = "/ d" if scaled else ""
     diagonal = (
@@ -692,13 +692,13 @@ ORACLES: dict[str, str] = {
         "train_x",
     ),
     "logo_ridge_sparse": with_(
-        f"""{_word_ridge(5000, 100.0, "ln(1 + n)", 45, scaled=False)}
+        f"""{_word_ridge(5000, "0.2 * n", "ln(1 + n)", 45, scaled=False)}
         SELECT student_id, prompt_id, {r("predicted_content", "predicted_content")},
             {r("predicted_wording", "predicted_wording")} FROM word_oof""",
         "folds",
         recursive=True,
     ),
-    "logo_ridge_words": with_(_word_ridge(32, 1.0, "n", 120, scaled=True) + _report_body("word_oof"), "folds", recursive=True),
+    "logo_ridge_words": with_(_word_ridge(32, "1.0", "n", 120, scaled=True) + _report_body("word_oof"), "folds", recursive=True),
     "rank_fit": with_(_rank_pairs(), "folds", "train_x"),
     "fold_huber_steps": with_(_huber_steps(), "train_x"),
     "fold_squared": with_(

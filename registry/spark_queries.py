@@ -46,7 +46,7 @@ WORD_FEATURES = 32
 LOG_INTERVAL = 10
 SPELL_THRESHOLD = 5
 RIDGE = 1.0
-SPARSE_RIDGE = 100.0
+SPARSE_RIDGE = 0.2  # per row
 DIMENSIONS = 64
 HUBER_THRESHOLD, HUBER_STEPS = 0.4, 3
 LOG_CHARS = 7.0  # near the mean of the feature
@@ -635,7 +635,7 @@ def logo_ridge_sparse(spark, sf_dir):
     bags = vocab.vocab_features(tokens, words)
     narrow = data.select("student_id", "prompt_id", *TARGETS)
     rows = checkpointed(spark, sparse.bag_rows(narrow, bags, value=F.log1p("n")), "bags")
-    scored = sparse.oof_predict_sparse(rows, sparse.fit_logo_sparse(rows, VOCAB_SIZE, lam=SPARSE_RIDGE))
+    scored = sparse.oof_predict_sparse(rows, sparse.fit_logo_sparse(rows, VOCAB_SIZE, lam=SPARSE_RIDGE, per_row=True))
     return tidy(scored.select("student_id", "prompt_id", *PREDICTED))
 
 

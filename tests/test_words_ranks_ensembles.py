@@ -39,6 +39,7 @@ def dense_models(rows, size, lam, fold):
         line[row[4]] = row[5]
     y = np.array([[r[2], r[3]] for r in usable])
     centre = x.mean(axis=0)
+    lam = 0.5 * len(usable) if lam is None else lam
     w = np.linalg.solve((x - centre).T @ (x - centre) + lam * np.eye(size), (x - centre).T @ (y - y.mean(axis=0)))
     return len(usable), y.mean(axis=0) - centre @ w, w
 
@@ -46,7 +47,7 @@ def dense_models(rows, size, lam, fold):
 @pytest.mark.parametrize("state", [sparse.STATE_BYTES, 3 * 8 * 30 * 6])
 def test_sparse_ridge_equals_dense_solution(spark, monkeypatch, state):
     monkeypatch.setattr(sparse, "STATE_BYTES", state)  # the small one cuts the folds into blocks
-    monkeypatch.setattr(sparse, "STRIP_CELLS", 2000)
+    monkeypatch.setattr(sparse, "BLOCK_CELLS", 2000)
     rows, size = bag_table()
     df = spark.createDataFrame(rows, BAGS).repartition(5)
     models = sparse.fit_logo_sparse(df, size, lam=20.0, include_all=True, tolerance=1e-10)
@@ -77,6 +78,19 @@ def test_sparse_ridge_equals_the_dense_fit(spark, skewed):
         assert r.intercept == pytest.approx(other.intercept, abs=1e-7)
 
 
+def test_shrinkage_by_row_and_words_given_twice(spark):
+    rows, size = bag_table()
+    df = spark.createDataFrame(rows, BAGS)
+    twice = df.withColumns({"ids": F.concat("ids", "ids"), "counts": F.transform(F.concat("counts", "counts"), lambda n: n / 2)})
+    n, intercept, w = dense_models(rows, size, None, "hot")
+    for table in (df, twice):
+        models = sparse.fit_logo_sparse(table, size, lam=0.5, per_row=True).filter("fold = 'hot'").collect()
+        for model in models:
+            j = TARGET_COLUMNS.index(model.target)
+            assert model.intercept == pytest.approx(intercept[j], abs=1e-6)
+            assert np.abs(np.array(model.weights) - w[:, j]).max() < 1e-6
+
+
 def test_sparse_ridge_without_rows_or_other_folds(spark):
     none = spark.createDataFrame([], BAGS)
     assert sparse.fit_logo_sparse(none, 10).count() == 0
