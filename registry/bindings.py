@@ -59,6 +59,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(all_responses(spark, sf_dir), sf_dir, "student_id")
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("student_id"),
+        F.col("quality").cast("double").alias("content"),
+        F.col("toxic").cast("double").alias("wording"),
+    )
+
+
 def train_responses(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
     """Labelled documents, spread over the cores when their whole texts are worked on."""
     documents = table(spark, sf_dir, "documents")

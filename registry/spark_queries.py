@@ -107,16 +107,30 @@ def train_features(spark, sf_dir) -> DataFrame:
     return workflows.length_features(train(spark, sf_dir), PARTS)
 
 
+def train_numbers(spark, sf_dir, whole_texts: bool = False) -> DataFrame:
+    """Keys, targets and length features of labelled responses.
+
+    Features are computed where the texts are and only these numbers meet the targets, so no text moves.
+    """
+    data = workflows.length_features(everything(spark, sf_dir, whole_texts), PARTS)
+    numbers = data.select("student_id", "prompt_id", *workflows.LENGTH_FEATURES)
+    joined = numbers.join(bindings.targets(spark, sf_dir), "student_id")
+    return joined.withColumn("features", F.array(*workflows.LENGTH_FEATURES))
+
+
 def test_features(spark, sf_dir) -> DataFrame:
-    return workflows.length_features(test(spark, sf_dir), PARTS)
+    """Keys and length features of responses without targets, told apart by their numbers alone."""
+    data = workflows.length_features(everything(spark, sf_dir), PARTS)
+    numbers = data.select("student_id", "prompt_id", *workflows.LENGTH_FEATURES, "features")
+    return numbers.join(bindings.targets(spark, sf_dir).select("student_id"), "student_id", "left_anti")
 
 
 def line_models(spark, sf_dir) -> DataFrame:
-    return fit.fit_logo_line(train_features(spark, sf_dir), "log_chars", centre=LOG_CHARS)
+    return fit.fit_logo_line(train_numbers(spark, sf_dir), "log_chars", centre=LOG_CHARS)
 
 
 def line_oof(spark, sf_dir) -> DataFrame:
-    data = train_features(spark, sf_dir).select("student_id", "prompt_id", *TARGETS, "log_chars")
+    data = workflows.feature_table(train_numbers(spark, sf_dir), ["log_chars"])
     return score.oof_predict(data, fit.fit_logo_line(data, "log_chars", centre=LOG_CHARS), ["log_chars"])
 
 
@@ -306,7 +320,7 @@ def oof_pooled(spark, sf_dir):
 @query
 def score_report(spark, sf_dir):
     """From sums per fold: one pass over the texts, no models or predictions."""
-    statistics = fit.line_statistics(train_features(spark, sf_dir), "log_chars", centre=LOG_CHARS)
+    statistics = fit.line_statistics(train_numbers(spark, sf_dir), "log_chars", centre=LOG_CHARS)
     return tidy(evaluate.report_from_statistics(statistics))
 
 
@@ -593,7 +607,7 @@ def two_weights(models: DataFrame) -> DataFrame:
 
 @query
 def logo_ridge(spark, sf_dir):
-    data = workflows.length_features(train(spark, sf_dir, whole_texts=True), PARTS)
+    data = workflows.feature_table(train_numbers(spark, sf_dir, whole_texts=True))
     return two_weights(fit.fit_logo(data, lam=RIDGE))
 
 
@@ -685,7 +699,8 @@ def fold_squared(spark, sf_dir):
 @query
 def rank_fit(spark, sf_dir):
     """Ranking weights from all pairs of responses to one prompt, for each held-out prompt and for all."""
-    return two_weights(fit.fit_rank_pairs(train_features(spark, sf_dir), lam=RIDGE)).drop("intercept")
+    data = workflows.feature_table(train_numbers(spark, sf_dir, whole_texts=True))
+    return two_weights(fit.fit_rank_pairs(data, lam=RIDGE)).drop("intercept")
 
 
 @query
