@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeflow.functions import text as text_fn
+from gradeflow.functions.metrics import eval_metrics
 from gradeflow.operators import fit, pairs, score, vocab
 from gradeflow.operators.assemble import compose_prompt
 from gradeflow.operators.ensemble import unpack_predictions
@@ -17,6 +19,7 @@ from gradeflow.operators.folds import ALL, fold_split, folds
 from gradeflow.schemas import TARGET_COLUMNS, target_columns
 from gradeflow.session import checkpointed
 from gradeflow.sources import sinks
+from gradeflow.sources.catalog import model_catalog, read_model_files, resolve_model
 
 DEFAULT_PARTS = ("summary", "question")
 LENGTH_FEATURES = ("log_chars", "log_tokens")
@@ -67,6 +70,39 @@ def validate(predictions: DataFrame) -> DataFrame:
     return score_report(predictions)
 
 
+def write_evaluated(
+    predictions: DataFrame, path: str, target: str = "both", fmt: str = "parquet", prefix: str = "eval_"
+) -> DataFrame:
+    """Write predictions and give their metrics, as ``evaluate`` does, from the same single pass.
+
+    The metrics are observed while the rows are written; as the writing tasks are the last of their
+    job, a task that is run again is counted once.
+    """
+    columns = eval_metrics(target)
+    seen = Observation(f"metrics-{uuid.uuid4().hex}")
+    observed = predictions.observe(seen, *[c.alias(prefix + name) for name, c in columns.items()])
+    sinks.write_predictions(observed, path, fmt)
+    found = seen.get
+    layout = ", ".join(f"`{prefix}{name}` double" for name in columns)
+    return predictions.sparkSession.createDataFrame([tuple(found.get(prefix + name) for name in columns)], layout)
+
+
+def out_of_fold_from_files(
+    data: DataFrame, directory: str, features: str | Sequence[str] = "features"
+) -> DataFrame:
+    """Out-of-fold predictions by the model files of a folder, one per fold of ``data``.
+
+    Each row gets a vector of predictions of the model that did not see its prompt, which is
+    then unpacked into a column per target.
+    """
+    chosen = resolve_model(model_catalog(data.sparkSession, directory), folds(data))
+    models = read_model_files(chosen, directory)
+    scored = score.oof_predict(data, models, features, prefix="from_file_")
+    vector = F.array(*[f"from_file_{t}" for t in TARGET_COLUMNS])
+    unpacked = unpack_predictions(scored.withColumn("prediction", vector), "prediction")
+    return unpacked.select(*data.columns, *[f"predicted_{t}" for t in TARGET_COLUMNS])
+
+
 def train_fold(
     data: DataFrame,
     fold: str,
@@ -204,8 +240,6 @@ def out_of_fold_with_files(
     Each row learns its file by a join on the fold id and stays where it is, so a fold holding a
     third of all rows is scored by all tasks.  A worker loads the files its rows ask for.
     """
-    from gradeflow.sources.catalog import resolve_model
-
     chosen = resolve_model(catalog, folds(data)).select(
         F.col("fold").alias("prompt_id"), F.col("path").alias("model_path")
     )

@@ -56,3 +56,19 @@ def single_target_models(catalog: DataFrame) -> DataFrame:
     if not catalog.filter(F.col("target").isNull()).limit(1).isEmpty():
         raise ValueError("every model file name must contain 'content' or 'wording'")
     return catalog
+
+
+def read_model_files(files: DataFrame, directory: str, fold: str | None = None) -> DataFrame:
+    """The model table held by the listed files, as :func:`sinks.write_model_files` writes them.
+
+    Contents are read by Spark, so the store may be one that only Spark reaches.  With ``fold`` only
+    files whose name holds it are listed at all.
+    """
+    glob = "*.bin" if fold is None else f"*-{fold}*.bin"
+    contents = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
+    held = "array<struct<target:string,n:long,intercept:double,weights:array<double>>>"
+    return (
+        contents.select("path", "content")
+        .join(files.select("path", "fold"), "path")
+        .select("fold", F.inline(F.from_json(F.col("content").cast("string"), held)))
+    )

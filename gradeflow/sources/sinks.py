@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gradeflow.schemas import COEFFICIENTS, METRIC_LOG
 
 STRATEGIES = ("all", "last")
+# Bytes of coefficients that may be written as single files.
+MODEL_FILE_BYTES = 128 << 20
 
 
 def write_predictions(
@@ -143,3 +145,32 @@ def load_runs(spark: SparkSession, directory: str) -> DataFrame:
     for run in runs[1:]:
         whole = whole.unionByName(run)
     return whole
+
+
+def write_model_files(
+    models: DataFrame, directory: str, run_id: str, model: str, epoch: int | None = None, by_target: bool = False
+) -> None:
+    """One ``.bin`` file per fold, or per fold and target, named as :func:`catalog.model_catalog` reads it.
+
+    A file holds its models as JSON.  Files are as many as folds and are written one by one through
+    the store's own file system; coefficients beyond ``MODEL_FILE_BYTES`` in all belong into a table
+    (:func:`save_models`) and are an error.
+    """
+    size = models.agg(F.sum(F.size("weights") * 24 + 100).alias("bytes")).first()["bytes"] or 0
+    if size > MODEL_FILE_BYTES:
+        raise ValueError(f"models of {size} bytes exceed {MODEL_FILE_BYTES}: save them as a table")
+    spark = models.sparkSession
+    one = F.struct("target", "n", "intercept", "weights")
+    kinds = ["fold", "target"] if by_target else ["fold"]
+    # a file's models
+    files = models.groupBy(*kinds).agg(F.to_json(F.sort_array(F.collect_list(one))).alias("content")).collect()
+    names = spark._jvm.org.apache.hadoop.fs.Path
+    for row in files:
+        name = f"{model}_{row.target}" if by_target else model
+        ending = "" if epoch is None else f"-epoch{epoch}"
+        path = names(f"{directory.rstrip('/')}/{run_id}-{name.replace('/', '_')}-{row.fold}{ending}.bin")
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            stream.write(bytearray(row.content.encode()))
+        finally:
+            stream.close()

@@ -781,3 +781,7 @@ ORACLES: dict[str, str] = {
         "everything",
     ),
 }
+# other ways to the same rows
+ORACLES["eval_written"] = ORACLES["eval_holdout"]
+ORACLES["model_file_predictions"] = ORACLES["oof_predictions"]
+ORACLES["model_file_ensemble"] = ORACLES["ensemble_mean"]

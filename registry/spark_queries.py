@@ -29,7 +29,7 @@ from gradeflow.operators import (
 )
 from gradeflow.plans import load, workflows
 from gradeflow.session import checkpointed, scratch_dir
-from gradeflow.sources import sinks, tables
+from gradeflow.sources import catalog, sinks, tables
 from gradeflow.streaming import meter, scoring
 from registry import bindings
 
@@ -341,6 +341,13 @@ def eval_holdout(spark, sf_dir):
     return tidy(evaluate.evaluate(held_out, "both"))
 
 
+@query
+def eval_written(spark, sf_dir):
+    """The same metrics, observed while the held-out predictions are written."""
+    _, held_out = folds.fold_split(line_oof(spark, sf_dir), FOLD, check=False)
+    return tidy(workflows.write_evaluated(held_out, f"{scratch_dir(spark, 'held-out')}/oof"))
+
+
 def loss_query(name: str, threshold: float = 0.5) -> Query:
     def run(spark, sf_dir):
         columns = losses.get_loss(name, threshold).columns(PREDICTED, TARGETS)
@@ -660,6 +667,27 @@ def oof_predictions(spark, sf_dir):
     )
 
 
+@query
+def model_file_predictions(spark, sf_dir):
+    """The same predictions by model files, one per fold, found in a folder by their names."""
+    data = workflows.feature_table(train_numbers(spark, sf_dir), ["log_chars"])
+    folder = scratch_dir(spark, "model-files")
+    models = fit.fit_logo_line(data, "log_chars", centre=LOG_CHARS)
+    sinks.write_model_files(models, folder, "run1", "line/log_chars", epoch=1)
+    return tidy(workflows.out_of_fold_from_files(data, folder, ["log_chars"]).drop("log_chars"))
+
+
+@query
+def model_file_ensemble(spark, sf_dir):
+    """Mean predictions of model files of a single target each, told apart by their names."""
+    folder = scratch_dir(spark, "model-files")
+    sinks.write_model_files(line_models(spark, sf_dir), folder, "run1", "line", by_target=True)
+    files = catalog.single_target_models(catalog.model_catalog(spark, folder))
+    models = catalog.read_model_files(files, folder)
+    scored = score.predict_models(test_features(spark, sf_dir), models, ["log_chars"])
+    return tidy(scored.select("student_id", *TARGETS))
+
+
 @query
 def full_model(spark, sf_dir):
     return tidy(model_lines(fit.fit_line_all(train_features(spark, sf_dir), "log_chars")))
