@@ -58,7 +58,7 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 #: Each notice and text listed here has one of these words, and SPELLINGS never make one.
-CUE = r"(?i)under|permission|redistribution"
+CUE = r"(?i)under|permission|redistribution|subject|spdx"
 TEXTS = (
     (
         "MIT",
@@ -109,7 +109,28 @@ FURTHER_NOTICES = (
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2 or later."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3 or later."),
 )
+#: Names that stand in an identifier line as they are, and those that say "only" or "or later" behind.
+PLAIN_NAMES = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "CC0-1.0")
+PLAIN_NAMES += ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+GNU_NAMES = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+
+
+def identifier_lines() -> list[tuple[str, str]]:
+    """Notices by machine-readable identifier."""
+    names = [(name, name) for name in (*PLAIN_NAMES, *GNU_NAMES)]
+    names += [(name, f"{name}{kind}") for name in GNU_NAMES for kind in ("-only", "-or-later")]
+    return [(name, f"SPDX-License-Identifier: {identifier}") for name, identifier in names]
+
+
 END = "END OF TERMS AND CONDITIONS"
 
 
@@ -128,7 +149,7 @@ def known_texts() -> list[tuple[str, str]]:
     """(license, text) of all notices, and of all full texts in each of their forms."""
     files = [(path.stem, path.read_text("utf-8")) for path in sorted(FULL_TEXTS.glob("*.txt"))]
     full = [(name, form) for name, text in (*TEXTS, *files) for form in sorted(_forms(name, text))]
-    return [*NOTICES, *FURTHER_NOTICES, *full]
+    return [*NOTICES, *FURTHER_NOTICES, *identifier_lines(), *full]
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

@@ -23,7 +23,7 @@ def _canonical(text: str) -> str:
     return f"trim({form})"
 
 
-_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in (*licenses.NOTICES, *licenses.TEXTS))
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.known_texts())
 
 LICENSE_SCAN = f"""
 WITH known AS (

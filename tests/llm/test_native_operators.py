@@ -319,3 +319,36 @@ def test_full_license_texts_with_and_without_titles(spark):
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
     found = {r.doc_id: r.license for r in licenses.scan_licenses(docs, licenses.known_licenses(spark), licenses.CUE).collect()}
     assert [found[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
+REAL_NOTICES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+    ("LGPL-2.1", "# spdx-licence-identifier: LGPL-2.1-only"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International Licence"),
+    ("MPL-2.0", " * This Source Code Form is subject-to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-3.0", "This program is distributed under the terms of the GNU General Public License version 3 or later"),
+    (None, "SPDX-License-Identifier: MIT OR Apache-2.0"),
+]
+
+
+def test_license_query_equals_its_sql_on_full_texts_and_notices(spark, tmp_path):
+    import duckdb
+
+    from gradeflow.llm import queries
+
+    docs = [(i, f"first\n{text}\nlast", "en", "a") for i, (_, text) in enumerate(REAL_NOTICES)]
+    docs += [(100 + i, text.upper(), "en", "a") for i, (_, text) in enumerate(licenses.known_texts())]
+    docs += [(1000 + i, t, lang, s) for i, (_, t, lang, s) in enumerate(messy_texts())]
+    messy(spark, docs).repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()}
+    assert [found[i].notices or None for i in range(len(REAL_NOTICES))] == [name for name, _ in REAL_NOTICES]
+    assert all(found[100 + i].license is not None for i in range(len(licenses.known_texts())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    relation = con.execute(queries.ORACLES["op1_license_scan"])
+    names = [d[0] for d in relation.description]
+    expected = [tuple(dict(zip(names, row, strict=True)).items()) for row in relation.fetchall()]
+    assert as_set(expected) == as_set(tuple((n, r[n]) for n in names) for r in found.values())
