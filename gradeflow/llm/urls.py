@@ -6,8 +6,10 @@
    ending.  Pages are counted per (host, template), and only these counts go on.
 3. Level by level, where a branch of a host has at least ``FAN`` different literal segments with fewer than
    ``REUSE`` pages each on average, its segments are variable too and become one wildcard.
-4. Sibling branches whose labelled share of rejected pages lies surely on the same side of one half (a
-   smoothed share two standard errors away from it) are merged: they share their counts.
+4. Sibling branches with similar labelled shares of rejected pages are merged: they share their counts.
+   Branches whose smoothed share is known within ``SURE`` are put into ``CELLS`` cells by it; from the least
+   share up, a cell joins the branches merged so far if both shares differ by at most two standard errors of
+   their difference, and begins a new run otherwise.
 5. From the host down to the template, the purity (labelled share of rejected pages) of each branch is
    smoothed towards that of the branch above with the weight of ``PRIOR_PAGES`` pages.  At the host itself
    unlabelled pages count as not rejected, so labels of a few branches do not condemn the others.  A
@@ -26,6 +28,7 @@ from gradeflow.llm.common import lower_ascii
 from gradeflow.session import checkpointed
 
 FAN, REUSE, PRIOR_PAGES, REJECT, BASE_RATE = 20, 3, 5.0, 0.8, 0.1
+SURE, CELLS = 0.1, 256
 #: No path is cut: as many segments as an array can hold.
 DEPTH = 2**31 - 1
 #: Rules are literals of the plan; longer lists belong in a table.
@@ -103,11 +106,25 @@ def _generalised(templates: DataFrame) -> DataFrame:
     return templates
 
 
-def _rate_side(labelled: Column, rejected: Column) -> Column:
-    """Which side of one half the rejected share surely lies on: 1, -1, or null."""
+def _share(labelled: Column, rejected: Column) -> tuple[Column, Column]:
+    """The smoothed rejected share and its variance."""
     share = (rejected + 1) / (labelled + 2)
-    error = F.sqrt(share * (1 - share) / (labelled + 3))
-    return F.when(share - 2 * error > 0.5, 1).when(share + 2 * error < 0.5, -1)
+    return share, share * (1 - share) / (labelled + 3)
+
+
+def _runs(cells: Column) -> Column:
+    """Cells (cell, n, bad), sorted, merged into runs (high, n, bad) of similar shares."""
+
+    def add(runs: Column, cell: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        (low, low_variance), (high, high_variance) = _share(last["n"], last["bad"]), _share(cell["n"], cell["bad"])
+        similar = F.abs(high - low) <= 2 * F.sqrt(low_variance + high_variance)
+        longer = F.struct(cell["cell"].alias("high"), (last["n"] + cell["n"]).alias("n"), (last["bad"] + cell["bad"]).alias("bad"))
+        single = F.struct(cell["cell"].alias("high"), cell["n"].alias("n"), cell["bad"].alias("bad"))
+        joined = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))
+        return F.when(similar, joined).otherwise(F.concat(runs, F.array(single)))
+
+    return F.aggregate(cells, F.array().cast("array<struct<high:int,n:bigint,bad:bigint>>"), add)
 
 
 def purities(templates: DataFrame) -> DataFrame:
@@ -119,23 +136,33 @@ def purities(templates: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("pages", "labelled", "rejected")]
     )
     placed = distinct.select("*", F.explode(levels).alias("l")).select("*", "l.depth", "l.branch").drop("l")
+    share, variance = _share(F.col("labelled"), F.col("rejected"))
+    cell = F.floor(share * CELLS + 0.5).cast("int")
     branches = (
         placed.groupBy("host", "depth", "branch")
         .agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "rejected")])
-        .withColumn("side", _rate_side(F.col("labelled"), F.col("rejected")))
+        .withColumn("cell", F.when((F.col("depth") > 0) & (F.sqrt(variance) <= SURE), cell))
         .withColumn("above", F.when(F.col("depth") > 0, F.slice("branch", F.lit(1), F.col("depth") - 1)))
     )
     merged = (
-        branches.filter("side is not null and depth > 0")
-        .groupBy("host", "depth", "above", "side")
-        .agg(F.sum("labelled").alias("all_labelled"), F.sum("rejected").alias("all_rejected"))
+        branches.filter("cell is not null")
+        .groupBy("host", "depth", "above", "cell")
+        .agg(F.sum("labelled").alias("n"), F.sum("rejected").alias("bad"))
+        .groupBy("host", "depth", "above")
+        # at most a few hundred cells
+        .agg(_runs(F.sort_array(F.collect_list(F.struct("cell", "n", "bad")))).alias("runs"))
     )
-    weighed = branches.join(merged, ["host", "depth", "above", "side"], "left").select(
-        "host",
-        "depth",
-        "branch",
-        F.when(F.col("depth") == 0, F.col("pages")).otherwise(F.coalesce("all_labelled", "labelled")).alias("n"),
-        F.coalesce("all_rejected", "rejected").alias("bad"),
+    run = F.when(F.col("cell").isNotNull(), F.try_element_at(F.filter("runs", lambda r: r["high"] >= F.col("cell")), F.lit(1)))
+    weighed = (
+        branches.join(merged, ["host", "depth", "above"], "left")
+        .withColumn("run", run)
+        .select(
+            "host",
+            "depth",
+            "branch",
+            F.when(F.col("depth") == 0, F.col("pages")).otherwise(F.coalesce("run.n", "labelled")).alias("n"),
+            F.coalesce("run.bad", "rejected").alias("bad"),
+        )
     )
     chain = F.sort_array(F.collect_list(F.struct("depth", "n", "bad")))
     smoothed = F.aggregate(
