@@ -344,7 +344,8 @@ def _solver(targets: Sequence[str], lam: float):
     """Ridge solution of one fold from its triangle; the intercept is not shrunk."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        shift = np.asarray(pdf["means"].iloc[0] if pdf["means"].iloc[0] is not None else [], float)
+        given = pdf.loc[pdf["cell"] == 0, "means"].iloc[0]  # on the first cell only
+        shift = np.asarray(given if given is not None else [], float)
         values = pdf.sort_values("cell")["value"].to_numpy()
         size = int((np.sqrt(8 * len(values) + 1) - 1) / 2)
         gram = np.zeros((size, size))
@@ -397,7 +398,7 @@ def fit_logo(
     if include_all:
         rest = rest.unionByName(total.select(F.lit(ALL).alias("fold"), "cell", F.col("total").alias("value")))
     # a group is one triangle of products
-    return rest.withColumn("means", means).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
+    return rest.withColumn("means", F.when(F.col("cell") == 0, means)).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
 
 
 def fit_all(
@@ -410,7 +411,7 @@ def fit_all(
     whole = df.withColumn("fold_all", F.lit(ALL))
     means = feature_means(complete_rows(df, targets), features)
     gram = fold_gram(whole, features, targets, "fold_all", means)
-    return gram.withColumn("means", means).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
+    return gram.withColumn("means", F.when(F.col("cell") == 0, means)).groupBy("fold").applyInPandas(_solver(targets, lam), MODEL_SCHEMA)
 
 
 def fit_line_all(

@@ -271,3 +271,18 @@ def test_report_from_sums_scores_rows_with_one_target(spark):
     for level, r in by_rows.items():
         assert by_sums[level].n_rows == r.n_rows
         assert all(abs(by_sums[level][s] - r[s]) < 1e-9 for s in evaluate.SCORES)
+
+
+def test_wide_ridge_carries_its_means_once(spark):
+    """250 features: 32,000 cells a fold, of which one holds the means."""
+    rng, d = np.random.default_rng(4), 250
+    x = rng.normal(size=(600, d)) + 50
+    y = x[:, :5].sum(axis=1)
+    rows = [(f"s{i}", "pq"[i % 2], x[i].tolist(), float(y[i]), float(-y[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "student_id string, prompt_id string, features array<double>, content double, wording double")
+    for r in fit.fit_logo(df, lam=2.0).filter("target = 'content'").collect():
+        rest = np.array([i for i in range(600) if "pq"[i % 2] != r.fold])
+        centred = x[rest] - x[rest].mean(axis=0)
+        w = np.linalg.solve(centred.T @ centred + 2.0 * np.eye(d), centred.T @ (y[rest] - y[rest].mean()))
+        assert r.weights == pytest.approx(w.tolist(), abs=1e-7)
+        assert r.intercept == pytest.approx(y[rest].mean() - x[rest].mean(axis=0) @ w, abs=1e-5)
