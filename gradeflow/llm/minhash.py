@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import connected_components
+from gradeflow.llm.common import broadcast_if_small, connected_components
 from gradeflow.session import checkpointed
 
 K, BITS = 320, 2
@@ -294,6 +294,11 @@ def _rooted(documents: DataFrame, n: int, percent: int, doc_id: str, text: str)
     texts = documents.select(
         F.col(doc_id).alias("own_id"), F.md5(F.col(text)).alias("own_key"), F.col(text).cast("string").alias("text")
     )
+    # Ids and digests of texts that are asked for: counted, and broadcast while they are few, so that
+    # only those texts move.
+    wanted = broadcast_if_small(chosen.select(F.col("id").alias("wanted_id"), F.col("textkey").alias("wanted_key")))
+    asked = texts["own_id"].eqNullSafe(wanted["wanted_id"]) & (texts["own_key"] == wanted["wanted_key"])
+    texts = texts.join(wanted, asked, "left_semi")
     # One row of each class is fetched, not its copies.
     same = chosen["id"].eqNullSafe(texts["own_id"]) & (chosen["textkey"] == texts["own_key"])
     members = chosen.join(texts, same).dropDuplicates(["node"]).select("node", "family", "n", "bits", "text")
