@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import broadcast_if_small, lower_ascii, positions
+from gradeflow.session import checkpointed
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of a text that was not lower-cased, with all that stands before it.
@@ -192,7 +193,9 @@ def decontaminate(
     )
     rows = documents.select(F.struct("*").alias("doc"), digest.alias("digest"))
     if remove == "document":
-        return rows.join(hit.select("digest"), "digest", "left_anti").select("doc.*")
+        # Digests of one width: counted, and broadcast while they are few, so that no text moves.
+        found = checkpointed(documents.sparkSession, hit.select("digest"), "contaminated")
+        return rows.join(broadcast_if_small(found), "digest", "left_anti").select("doc.*")
     pieces = F.regexp_extract_all(F.col("doc")[text], F.lit(PIECE), F.lit(0))
     rest = F.substring(F.col("doc")[text], F.char_length(F.array_join("pieces", "")) + 1, F.char_length(F.col("doc")[text]))
     hit_words = F.array_distinct(
