@@ -33,11 +33,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it.  Where that is unset, the folder lies in the warehouse, which
-    is shared too.  The path is deleted when the driver's JVM ends.
+    is shared too; a warehouse on the driver's own disk is an error on a cluster.  The path is
+    deleted when the driver's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gradeflow-scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{warehouse.rstrip('/')}/gradeflow-scratch"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
