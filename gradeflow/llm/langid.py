@@ -90,7 +90,7 @@ def bag(text: str | None, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(BUCKETS, np.int64)
     for ids in subwords(text or "", is_letter):
         total += np.bincount(ids, minlength=BUCKETS)
-    ids = np.flatnonzero(total)
+    ids = np.flatnonzero(total).astype(np.int32)
     return ids, total[ids]
 
 
@@ -122,7 +122,7 @@ def train(samples: list[Sampled]) -> LanguageModel | None:
         if not sample.apart and len(languages) > 1:
             bags.append((bag("".join(noise), is_letter), even))
         into = apart if sample.apart else fit
-        into += [(ids, counts / counts.sum(), chances) for (ids, counts), chances in bags if len(ids)]
+        into += [(ids, (counts / counts.sum()).astype(np.float32), chances) for (ids, counts), chances in bags if len(ids)]
     fit = fit or apart
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
@@ -155,7 +155,7 @@ def _bag_udf():
         is_letter = letters()
         for texts in batches:
             found = [bag(text, is_letter) for text in texts]
-            rows = [(ids.astype("<i4").tobytes(), counts.astype("<i8").tobytes()) for ids, counts in found]
+            rows = [(ids.astype("<i4").tobytes(), counts.astype("<i4").tobytes()) for ids, counts in found]
             yield pd.DataFrame(rows, columns=["ids", "counts"])
 
     return bags
@@ -192,7 +192,7 @@ def sampled_rows(
         Sampled(
             r["lang"],
             r["order"] % 5 == 0,
-            (np.frombuffer(r["bag"]["ids"], "<i4"), np.frombuffer(r["bag"]["counts"], "<i8")),
+            (np.frombuffer(r["bag"]["ids"], "<i4"), np.frombuffer(r["bag"]["counts"], "<i4")),
             r["pieces"],
         )
         for r in sorted(sample.collect(), key=lambda r: r["order"])
