@@ -10,7 +10,9 @@ others are ``revisit`` records without payload that refer to it.
 
 Archives are written by Spark's own text writer, one record per row with the blank lines that end a
 WARC record as its separator, so tasks commit whole files or none.  They are read back as binary
-files of at most ``RECORDS`` records.  Equal payloads are found on narrow (digest, key) rows,
+files of at most ``RECORDS`` records, unpacked record by record.  Python workers take Arrow
+batches in slices and return them in batches of ``ARC_RECORDS`` rows or ``SLICE_BYTES`` bytes, so what
+they hold beside their input does not grow with it.  Equal payloads are found on narrow (digest, key) rows,
 aggregated before the shuffle.
 
 Nulls and empties: a null payload is empty; a null key counts as smallest, and records whose largest
@@ -22,12 +24,14 @@ empty table makes no archive records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,10 @@ from gradeflow.session import scratch_dir
 
 #: Records of a WARC file, and of an ARC archive in memory.
 RECORDS, ARC_RECORDS = 2000, 200
+#: Payload bytes after which a batch of returned rows ends.
+SLICE_BYTES = 4 << 20
+#: Tasks a core that write archives: files are closed by records, so more tasks make only smaller ones.
+WRITERS = 4
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {
@@ -45,6 +53,31 @@ FIELDS = {
 DATE = "20240101000000"
 CONVERTED = "key long, url string, date string, ip string, head binary, payload binary, payload_bytes long, digest string, record_id string"
 READ = "key long, record_type string, record_id string, refers_to_id string, url string, payload_bytes long, payload_digest string"
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def in_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARC_RECORDS):
+            yield batch.slice(at, ARC_RECORDS)
+
+
+def as_batches(rows: Iterable[tuple], fields: str) -> Iterator[pa.RecordBatch]:
+    """``rows`` of the DDL ``fields`` in batches of ``ARC_RECORDS``, earlier once they hold ``SLICE_BYTES``."""
+    schema = pa.schema([(name, ARROW[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) == ARC_RECORDS or size >= SLICE_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def sha1_base32(data: bytes) -> str:
@@ -140,28 +173,27 @@ def converted(data: bytes) -> Iterator[tuple]:
 def archives(pages: DataFrame, version: int = 1, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(arc): ARC archives of the pages as binary values, one per ``ARC_RECORDS`` rows."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for batch in (whole[i : i + ARC_RECORDS] for i in range(0, len(whole), ARC_RECORDS)):
-                keys = [int(k) if k is not None else None for k in batch["key"]]
-                bodies = [http_block(k, (h or "").encode("utf-8", "surrogatepass")) for k, h in zip(keys, batch["html"], strict=True)]
-                yield pd.DataFrame({"arc": [build_arc(list(zip(batch["url"], bodies, strict=True)), version)]})
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in in_slices(batches):
+            keys = [int(k) if k is not None else None for k in part["key"].to_pylist()]
+            bodies = [http_block(k, h or b"") for k, h in zip(keys, part["html"].to_pylist(), strict=True)]
+            yield (build_arc(list(zip(part["url"].to_pylist(), bodies, strict=True)), version),)
 
-    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInPandas(write, "arc binary")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return as_batches(built(batches), "arc binary")
+
+    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"))
+    return rows.mapInArrow(write, "arc binary")
 
 
 def convert(arcs: DataFrame, arc: str = "arc") -> DataFrame:
     """The records of ARC archives with all that their WARC records need, except the type."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in CONVERTED.split(", ")]
-        for batch in batches:
-            for data in batch["arc"]:
-                rows = pd.DataFrame(list(converted(data or b"")), columns=names)
-                yield rows.astype({"key": "Int64", "payload_bytes": "int64"})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for batch in batches for arc in batch.column(0) for row in converted(arc.as_py() or b""))
+        return as_batches(found, CONVERTED)
 
-    return arcs.select(F.col(arc).alias("arc")).mapInPandas(parse, CONVERTED)
+    return arcs.select(F.col(arc).alias("arc")).mapInArrow(parse, CONVERTED)
 
 
 def typed(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -178,26 +210,26 @@ def typed(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("winner", F.when(revisit, F.col("winner")))
 
 
-def warc_record(row) -> bytes:
+def warc_record(row: dict) -> bytes:
     """One record without the two line ends that close it."""
-    revisit = row.winner is not None
-    block = row.head if revisit else row.head + row.payload
+    revisit = row["winner"] is not None
+    block = row["head"] if revisit else row["head"] + row["payload"]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {row.record_id}",
-        f"WARC-Date: {row.date}",
-        f"WARC-Target-URI: {row.url}",
-        f"WARC-IP-Address: {row.ip}",
-        f"WARC-Payload-Digest: sha1:{row.digest}",
+        f"WARC-Record-ID: {row['record_id']}",
+        f"WARC-Date: {row['date']}",
+        f"WARC-Target-URI: {row['url']}",
+        f"WARC-IP-Address: {row['ip']}",
+        f"WARC-Payload-Digest: sha1:{row['digest']}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
     ]
     if revisit:
         lines += [
             f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: {row.winner['record_id']}",
-            f"WARC-Refers-To-Target-URI: {row.winner['url']}",
-            f"WARC-Refers-To-Date: {row.winner['date']}",
+            f"WARC-Refers-To: {row['winner']['record_id']}",
+            f"WARC-Refers-To-Target-URI: {row['winner']['url']}",
+            f"WARC-Refers-To-Date: {row['winner']['date']}",
         ]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + block
@@ -206,14 +238,15 @@ def warc_record(row) -> bytes:
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Writes typed records as WARC files below ``path``."""
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"record": [warc_record(row) for row in batch.itertuples(index=False)]})
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((warc_record(row),) for part in in_slices(batches) for row in part.to_pylist())
+        return as_batches(made, "record binary")
 
     rows = records.select("record_id", "date", "url", "ip", "digest", "head", F.when(F.col("winner").isNull(), F.col("payload")).alias("payload"), "winner")
     (
-        rows.mapInPandas(render, "record binary")
+        rows.mapInArrow(render, "record binary")
         .select(F.col("record").cast("string"))
+        .coalesce(WRITERS * records.sparkSession.sparkContext.defaultParallelism)
         .write.option("lineSep", END)
         .option("compression", compression)
         .option("maxRecordsPerFile", RECORDS)
@@ -221,46 +254,59 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     )
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        cut = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(cut, at)].split(b"\r\n")
-        if cut < 0 or not lines[0].startswith(b"WARC/"):
+def parse_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of every record, by declared lengths.
+
+    A file is read record by record.
+    """
+    file, at = io.BytesIO(data) if isinstance(data, bytes) else data, 0
+    while first := file.readline():
+        lines = [first]
+        while lines[-1] not in (b"\r\n", b""):
+            lines.append(file.readline())
+        if not lines[-1] or not first.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record at byte {at}")
         fields = {}
-        for line in lines[1:]:
+        for line in lines[1:-1]:
             name, _, field = line.partition(b":")
             fields[name.decode().strip().lower()] = field.decode("utf-8", "replace").strip()
-        start, length = cut + 4, int(fields["content-length"])
-        if start + length > len(data):
+        length = int(fields["content-length"])
+        block = file.read(length)
+        if len(block) < length:
             raise ValueError(f"record at byte {at} is shorter than its declared length")
-        yield fields, data[start : start + length]
-        at = start + length + 4
+        yield fields, block
+        at += sum(map(len, lines)) + length + len(file.read(4))
+
+
+def read_record(fields: dict[str, str], block: bytes) -> tuple:
+    """A row of ``READ``."""
+    head, payload = split_http(block)
+    key = http_field(head, b"x-page-id")
+    revisit = fields["warc-type"] == "revisit"
+    size = int(http_field(head, b"content-length") or 0) if revisit else len(payload)
+    digest = fields["warc-payload-digest"].partition(":")[2]
+    if not revisit and digest != sha1_base32(payload):
+        raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
+    return (int(key) if key else None, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"),
+            fields.get("warc-target-uri"), size, digest)
+
+
+def read_file(data: bytes) -> Iterator[tuple]:
+    """Rows of ``READ`` for the records of one WARC file (plain or gzip), unpacked as they are read."""
+    file = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        file = io.BufferedReader(gzip.GzipFile(fileobj=file))
+    return (read_record(fields, block) for fields, block in parse_warc(file))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files below ``path`` (plain or gzip)."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in READ.split(", ")]
-        for batch in batches:
-            for data in batch["content"]:
-                rows = []
-                for fields, block in parse_warc(zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data):
-                    head, payload = split_http(block)
-                    key = http_field(head, b"x-page-id")
-                    revisit = fields["warc-type"] == "revisit"
-                    size = int(http_field(head, b"content-length") or 0) if revisit else len(payload)
-                    digest = fields["warc-payload-digest"].partition(":")[2]
-                    if not revisit and digest != sha1_base32(payload):
-                        raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-                    rows.append((int(key) if key else None, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"),
-                                 fields.get("warc-target-uri"), size, digest))
-                yield pd.DataFrame(rows, columns=names).astype({"key": "Int64", "payload_bytes": "int64"})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, READ)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for batch in batches for content in batch.column(0) for row in read_file(content.as_py()))
+        return as_batches(found, READ)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, READ)
 
 
 def with_references(read: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,28 @@ def test_pages_through_archives(spark, version, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_handled_in_bounded_pieces(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * 100_000) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    typed = warc.typed(warc.convert(warc.archives(pages)))
+    warc.write_warc(typed.coalesce(1), str(tmp_path / "out"))
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # workers make no pandas objects of their batches
+    assert spark.read.format("binaryFile").load(str(tmp_path / "out")).count() == 1
+    (file,) = (tmp_path / "out").glob("part-*")
+    data = file.read_bytes()
+    tracemalloc.start()
+    keys = {row[0] for row in warc.read_file(data)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys == set(range(300)) and peak < 5_000_000  # of 30 MB unpacked
+    sizes = [batch.num_rows for batch in warc.as_batches(((b"x" * 1_000_000,) for _ in range(20)), "record binary")]
+    assert sum(sizes) == 20 and max(sizes) <= 5
+    # many small partitions are no reason for as many files, each of which costs its executor processes
+    warc.write_warc(typed.repartition(300), str(tmp_path / "dealt"))
+    assert len(list((tmp_path / "dealt").glob("part-*"))) <= warc.WRITERS * spark.sparkContext.defaultParallelism
+
+
 # --- toxicity and language ---
 
 
