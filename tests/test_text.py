@@ -238,6 +238,21 @@ def test_summaries(spark):
             assert len(re.findall(r"[^\W_]+", rows[f"s{i}"])) <= 20
 
 
+def test_summaries_hold_no_more_than_a_row(spark):
+    data = texts(spark, *["a b c. d e a! " * 20 for _ in range(50)])
+    plan = summarise.reference_summary(data, 6, 20, "student_id", "text", "summary")._jdf.queryExecution().executedPlan().toString()
+    # words are counted within the row: nothing is exploded to words, sorted or hashed by them
+    assert "Window" not in plan and "Join" not in plan and "token#" not in plan
+    assert plan.count("Exchange") == 1
+
+
+def test_summaries_of_repeated_and_missing_keys(spark):
+    rows = [("a", "x y z. u v w. " * 4), ("a", "x y z. u v w. " * 4), (None, "p q. " * 20), (None, "short")]
+    data = spark.createDataFrame(rows, "student_id string, text string")
+    found = summarise.reference_summary(data, 6, 20, "student_id", "text", "summary").collect()
+    assert sorted((r.student_id or "", len(r.summary.split())) for r in found) == [("", 1), ("a", 9), ("a", 9)]
+
+
 def test_length_gate(spark):
     data = texts(spark, "a b c", "a b")
     rows = {r.student_id: r for r in summarise.length_gate(data, 3, "student_id", "text").collect()}
