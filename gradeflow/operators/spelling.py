@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from gradeflow.functions import text as text_fn
 
 SALTS = 8
+#: Frequent words whose hashes one broadcast may hold.
+FREQUENT_WORDS = 1_000_000
 
 
 def word_counts(df: DataFrame, col: str = "text") -> DataFrame:
@@ -120,51 +122,68 @@ def spell_candidates(counts: DataFrame, k: int = 5, transpositions: bool = True)
     )
 
 
+def _without_frequent(places: DataFrame, fixes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``places`` without the most frequent words of ``counts`` that have no fix.
+
+    A bounded number of hashes is broadcast, from the largest counts down: by far most words of a text are
+    frequent, whatever its size, and stay where they are.  Words that share the hash of a fixed word are kept.
+    """
+    digits = F.length(F.bin("n"))
+    sizes = counts.groupBy(digits.alias("digits")).agg(F.count("*").alias("words")).collect()
+    least, held = None, 0
+    for size in sorted(sizes, key=lambda row: -row.digits):
+        held += size.words
+        if held > FREQUENT_WORDS:
+            break
+        least = size.digits
+    if least is None:
+        return places
+    frequent = counts.filter(digits >= least).select(F.xxhash64("word").alias("word_id"))
+    frequent = frequent.join(fixes.select(F.xxhash64("word").alias("word_id")), "word_id", "left_anti")
+    return places.withColumn("word_id", F.xxhash64("word")).join(F.broadcast(frequent), "word_id", "left_anti").drop("word_id")
+
+
 def correct_spelling(
     df: DataFrame,
     fixes: DataFrame,
     key: str = "student_id",
     col: str = "text",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the words listed in ``fixes``; everything between words stays as it is.
 
-    A capital first letter is kept.  NULL texts pass through.  ``key`` must be unique.
+    A capital first letter is kept.  NULL texts and rows without a key pass through.
 
-    Each text sends its distinct words to the join, so a frequent word is one narrow row per
-    text, spread over ``SALTS`` keys.  Only texts with a word to be replaced take part in what
-    follows: these words are found again among the runs of their text, gathered, and the text is
-    stitched from the untouched stretches between them.
+    Each text sends the places of its words to the join, spread over ``SALTS`` keys; with the
+    ``counts`` of the corpus (``word``, ``n``) only those of words that are seldom or have a fix.  The fixes
+    found go back to their text, which is stitched from the untouched stretches between them; texts move
+    once.
     """
     runs = text_fn.matches(F.col(col), text_fn.RUN)
     salt = F.pmod(F.hash(key), F.lit(SALTS))
-    words = df.select(
-        key, salt.alias("salt"), F.array_distinct(text_fn.words(F.col(col))).alias("words")
-    )
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = fixes.select("word", "fix", salts.alias("salt"))
-    found = (
-        text_fn.each(words, F.col("words"), "word", key, "salt")
-        .join(salted, ["word", "salt"])
-        .select(key, "word", "fix")
-    )
-    touched = df.select(key, col).join(found.select(key).distinct(), key, "left_semi")
+    # rows that share a key are told apart by their text
+    text_id = F.xxhash64(col).alias("text_id")
+    first = F.substring("run", 1, 1)
     places = (
-        text_fn.each_at(touched, runs, "pos", "run", key)
+        text_fn.each_at(df.select(key, text_id, runs.alias("runs")), F.col("runs"), "pos", "run", key, "text_id")
         .filter(F.col("run").rlike(r"^\p{L}"))
-        .withColumn("word", F.lower("run"))
-        .join(found, [key, "word"])
+        .select(key, "text_id", "pos", F.lower("run").alias("word"), (first != F.lower(first)).alias("capital"))
     )
-    first = F.substring("run", 1, 1)
+    if counts is not None:
+        places = _without_frequent(places, fixes, counts)
+    found = places.withColumn("salt", salt).join(salted, ["word", "salt"])
     letter = F.substring("fix", 1, 1)
     # the capital of one letter is one letter, where there is one
     raised = F.when(letter == "ß", "ẞ").otherwise(F.upper(letter))
-    capital = (first != F.lower(first)) & (F.length(raised) == 1)
+    capital = F.col("capital") & (F.length(raised) == 1)
     fix = F.when(
         capital, F.concat(raised, F.substring(F.col("fix"), F.lit(2), F.length("fix")))
     ).otherwise(F.col("fix"))
     # bounded by the words of one text
-    edits = places.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("edits")
+    edits = found.groupBy(key, "text_id").agg(
+        F.array_sort(F.collect_set(F.struct("pos", fix.alias("fix")))).alias("edits")
     )
 
     def stretch(edit: Column, i: Column) -> Column:
@@ -179,8 +198,9 @@ def correct_spelling(
         F.array_join(F.transform("edits", stretch), ""), F.array_join(tail, "")
     )
     return (
-        df.join(edits, key, "left")
+        df.withColumn("text_id", text_id)
+        .join(edits, [key, "text_id"], "left")
         .withColumn("runs", F.when(F.col("edits").isNotNull(), runs))
         .withColumn(col, F.when(F.col("edits").isNull(), F.col(col)).otherwise(stitched))
-        .drop("edits", "runs")
+        .drop("edits", "runs", "text_id")
     )

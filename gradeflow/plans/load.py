@@ -25,11 +25,12 @@ def with_reference_summaries(
 def corrected(df: DataFrame, k: int = 5, transpositions: bool = True) -> DataFrame:
     """Responses with their spelling corrected from their own vocabulary.
 
-    The word counts feed both the dictionary and the unknown words, so they are written once.
+    The word counts feed both the dictionary and the unknown words, so they are written once; so are the
+    fixes, which also tell which frequent words need not move.
     """
     counts = checkpointed(df.sparkSession, word_counts(df), "word-counts")
-    fixes = spell_candidates(counts, k, transpositions)
-    return correct_spelling(df, fixes)
+    fixes = checkpointed(df.sparkSession, spell_candidates(counts, k, transpositions), "fixes")
+    return correct_spelling(df, fixes, counts=counts)
 
 
 def load_data(

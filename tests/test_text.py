@@ -76,6 +76,22 @@ def test_spelling_survives_a_very_long_word(spark):
     assert fixed["2"] == "house" and junk in fixed["1"]
 
 
+@pytest.mark.parametrize("limit", [0, 3, 1_000_000])
+def test_frequent_words_stay_where_they_are(spark, monkeypatch, limit):
+    monkeypatch.setattr(spelling, "FREQUENT_WORDS", limit)
+    rows = [("1", "Hause, house " + "house " * 6 + "garden " * 3), ("2", "hause-garden garden"), ("2", "a hause"), ("2", "a hause"), (None, "hause")]
+    data = spark.createDataFrame(rows, "student_id string, text string")
+    counts = spelling.word_counts(data)
+    fixes = spark.createDataFrame([("hause", "house")], "word string, fix string")
+    found = spelling.correct_spelling(data, fixes, counts=counts)
+    assert sorted((r.student_id or "", r.text) for r in found.collect()) == [
+        ("", "hause"), ("1", rows[0][1].replace("Hause", "House")), ("2", "a house"), ("2", "a house"), ("2", "house-garden garden"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join LeftAnti" in plan) == (limit > 0)
+    assert plan.count("Generate posexplode") == 1 and "LeftSemi" not in plan  # words leave their texts once
+
+
 def test_encoding_with_a_small_vocabulary_moves_no_rows(spark):
     data = tokens(spark, "a b", "c")
     words = checkpointed(spark, vocab.build_vocab(data, 3), "vocabulary")
